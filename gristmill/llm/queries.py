@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import ngram_join, token_counts, token_files
+from gristmill.llm import fingerprints, ngram_join, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,25 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(url_filters.page_captures(pages), url_filters.page_list(pages), "page_id", "url", "fetched_on")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_url_filters": op9_url_filters,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
+    "op8_fingerprints": fingerprints.ORACLE,
+    "op9_url_filters": url_filters.ORACLE,
 }
