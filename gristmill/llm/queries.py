@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import fingerprints, ngram_join, token_counts, token_files, url_filters
+from gristmill.llm import fingerprints, ngram_join, quality, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,17 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(url_filters.page_captures(pages), url_filters.page_list(pages), "page_id", "url", "fetched_on")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
