@@ -13,6 +13,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at once.
@@ -82,12 +84,28 @@ def _cuts(data: np.ndarray) -> list[int]:
     return [*out, len(data)] if out[-1] < len(data) or len(out) == 1 else out
 
 
-def _words_of_piece(data: np.ndarray, starts_at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes in lower case, capitals of Latin-1 included, and which of them belong to letters or digits: not
+    ASCII signs, U+00A0 to U+00BF and U+2000 to U+207F."""
+    low, solid = _LOWER[data], _LETTER[data]
+    two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))
+    low[two + 1] += 32
+    sign = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] >= 0xA0) & (data[1:] <= 0xBF))
+    solid[sign] = solid[sign + 1] = False
+    sign = np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81)))
+    solid[sign] = solid[sign + 1] = solid[sign + 2] = False
+    return low, solid
+
+
+def _words_of_piece(data: np.ndarray, starts_at: np.ndarray, lower: bool, letters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first bytes and ends of the words of ``data``; a text begins at each of ``starts_at``."""
     n = len(data)
     if not n:
         return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
-    solid = ~_SPACE[data]
+    if letters:
+        data, solid = _letters(data)
+    else:
+        solid = ~_SPACE[data]
     begin = np.empty(n, bool)
     begin[0] = solid[0]
     np.logical_and(solid[1:], ~solid[:-1], out=begin[1:])
@@ -100,23 +118,24 @@ def _words_of_piece(data: np.ndarray, starts_at: np.ndarray, lower: bool) -> tup
     s, e = np.flatnonzero(begin), np.flatnonzero(end)
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, U64)
-    values = (_LOWER[data] if lower else data).astype(U64)
+    values = (_LOWER[data] if lower and not letters else data).astype(U64)
     values += U64(1)
     values *= up[:n]
     np.cumsum(values, out=total[1:])
     return mix((total[e] - total[s]) * down[s] + (e - s).astype(U64)), s, e
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts (A-Z lower-cased unless told
-    otherwise), the text each is in, and its first byte and end in ``data``."""
+    otherwise), the text each is in, and its first byte and end in ``data``. ``letters``: words are runs of
+    letters and digits in lower case instead."""
     if len(data) <= 2 * PIECE:
-        h, s, e = _words_of_piece(data, offsets[:-1], lower)
+        h, s, e = _words_of_piece(data, offsets[:-1], lower, letters)
     else:
         parts = []
         cuts = _cuts(data)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            h, s, e = _words_of_piece(data[a:b], offsets[:-1] - a, lower)
+            h, s, e = _words_of_piece(data[a:b], offsets[:-1] - a, lower, letters)
             parts.append((h, s + a, e + a))
         h, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
     return h, np.searchsorted(offsets, s, side="right") - 1, s, e
