@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import fingerprints, html_text, ngram_join, quality, token_counts, token_files, url_filters
+from gristmill.llm import decontamination, fingerprints, html_text, ngram_join, quality, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer(name: str) -> str:
     """The place of an installed public vocabulary file."""
     import public_tokenizers
@@ -52,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_text": op2_html_text,
+    "op3_decontamination": op3_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
