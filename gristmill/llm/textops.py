@@ -15,6 +15,13 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: 0 white space, 1 other bytes, 2 ASCII letters, 3 ASCII digits, 4 ASCII signs but the apostrophe, 1 again for it.
+_KIND = np.ones(256, dtype=np.uint8)
+_KIND[33:127] = 4
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
+_KIND[48:58] = 3
+_KIND[39] = 1
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at once.
@@ -116,13 +123,83 @@ def _words_of_piece(data: np.ndarray, starts_at: np.ndarray, lower: bool, letter
     begin[inner] |= solid[inner]
     end[inner] |= solid[inner - 1]
     s, e = np.flatnonzero(begin), np.flatnonzero(end)
+    return hash_spans(_LOWER[data] if lower and not letters else data, s, e), s, e
+
+
+def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from s to e - 1, by differences of one running sum."""
+    n = len(data)
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, U64)
-    values = (_LOWER[data] if lower and not letters else data).astype(U64)
+    values = data.astype(U64)
     values += U64(1)
     values *= up[:n]
     np.cumsum(values, out=total[1:])
-    return mix((total[e] - total[s]) * down[s] + (e - s).astype(U64)), s, e
+    return mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
+
+
+def _plain_parts(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data)
+    if not n:
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    low, _ = _letters(data)
+    kind = _KIND[data]
+    wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[wide] = kind[wide + 1] = 2
+    cut = np.zeros(n + 1, bool)
+    a, b = kind[:-1], kind[1:]
+    cut[1:n] = ((a == 0) != (b == 0)) | (a == 3) | (b == 3) | ((a == 2) & (b == 4)) | ((a == 4) & (b == 2))
+    cut[starts_at[(starts_at >= 0) & (starts_at < n)]] = True
+    cut[0] = cut[n] = True
+    at = np.flatnonzero(cut)
+    s, e = at[:-1], at[1:]
+    full = kind[s] != 0
+    s, e = s[full], e[full]
+    return hash_spans(low, s, e), s, e
+
+
+def plain_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut further where plain letters (ASCII, Latin-1) meet ASCII signs other than the apostrophe, and
+    around ASCII digits: hashes in lower case, text, first byte and end of each part."""
+    parts, cuts = [], _cuts(data) if len(data) > 2 * PIECE else [0, len(data)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        h, s, e = _plain_parts(data[a:b], offsets[:-1] - a)
+        parts.append((h, s + a, e + a))
+    h, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, np.searchsorted(offsets, s, side="right") - 1, s, e
+
+
+class HashTable:
+    """Places 0, 1, 2, ... of 64-bit hashes, in open addressing, looked up many at a time."""
+
+    def __init__(self, most: int):
+        """``most``: keys it can hold."""
+        self.most, self.n = most, 0
+        size = 1 << (2 * most).bit_length()
+        self.mask = U64(size - 1)
+        self.keys, self.values = np.zeros(size, U64), np.full(size, -1, np.int32)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The places, -1 where missing."""
+        slot = (h & self.mask).astype(np.int64)
+        out = self.values[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(self.mask)
+            out[open_] = self.values[slot[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[slot[open_]] != h[open_])]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Give distinct new hashes the next places."""
+        slot, rest = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(rest):
+            free = rest[self.values[slot[rest]] < 0]
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[won]], self.values[slot[won]] = h[won], self.n + won
+            rest = rest[self.keys[slot[rest]] != h[rest]]
+            slot[rest] = (slot[rest] + 1) & int(self.mask)
+        self.n += len(h)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -13,10 +13,12 @@ table, so it can lie in any store that Spark writes: part, seq, doc_ids, lengths
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from gristmill.llm.storage import arrow_batches, new_path
 MAGIC = b"DAC1"
 #: Ids after which a segment ends (with the document that reaches them).
 SEGMENT = 1 << 17
-#: Words whose ids a worker keeps.
-KEPT = 300_000
+#: Parts of words whose ids a worker keeps.
+KEPT = 500_000
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -106,56 +108,58 @@ class Segment:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library. The vocabulary is one whose pretokens never span white
-    space, so a text's ids are those of its words; words already met come from a table."""
+    """Ids of texts by the tokenizers library. The vocabulary is one whose pretokens never span white space,
+    nor plain letters and signs (a word's 's and the like aside), nor digits, and take small for capital
+    letters. So a text's ids are those of its parts, and a worker asks the library once for each part that it
+    keeps."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # besides special tokens, what str.split takes for white space and the library doesn't
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()] + [chr(c) for c in range(0x1C, 0x20)]
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.table = textops.HashTable(KEPT)
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, unknown: list[str]) -> None:
-        new = [e.ids for e in self.library.encode_batch_fast(unknown, add_special_tokens=False)]
-        for word in unknown:
-            self.at[word] = len(self.at)
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in new for i in x), np.uint32, int(sizes.sum()))])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
-        split = [t.split() for t in texts]
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        if len(self.at) > KEPT:
-            self.clear()
-        for i in odd:  # whole texts for the library
-            split[i] = []
-        unknown = list({w for s in split for w in s} - self.at.keys())
-        if unknown:
-            self._learn(unknown)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        word = np.fromiter(map(self.at.__getitem__, (w for s in split for w in s)), np.int64, int(sizes.sum()))
-        begin = self.starts[word]
-        length = self.starts[word + 1] - begin
+    def _ask(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a large string column, and how many each text has."""
+        data, offsets = textops.raw(column)
+        h, owner, s, e = textops.plain_parts(data, offsets)
+        place, flat, starts = self.table.get(h), self.flat, self.starts
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            whole = data.tobytes()
+            ids = self._ask([whole[s[i] : e[i]].decode("utf-8", "replace") for i in missing[first]])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            place[missing] = len(starts) - 1 + inverse
+            starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+            if self.table.n + len(new) <= KEPT:  # else they are known for these texts only
+                self.table.add(new)
+                self.flat, self.starts = flat, starts
+        begin = starts[place]
+        length = starts[place + 1] - begin
         ends = np.cumsum(length)
-        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - length), length)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - length), length)]
+        edges = np.concatenate([[0], ends])[np.searchsorted(owner, np.arange(len(offsets)))]
         counts = np.diff(edges)
-        if odd:
-            whole = dict(zip(odd, (np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)), strict=True))
-            ids = np.concatenate([np.empty(0, np.uint32), *(whole.get(i, ids[edges[i] : edges[i + 1]]) for i in range(len(texts)))])
-            counts = np.array([len(whole[i]) if i in whole else c for i, c in enumerate(counts)], np.int64)
+        odd = {i for x in self.special for i in self._holders(data, offsets, x)}
+        if odd:  # whole texts for the library
+            own = {i: np.array(x, np.uint32) for i, x in zip(odd, self._ask([column[i].as_py() for i in odd]), strict=True)}
+            ids = np.concatenate([np.empty(0, np.uint32), *(own[i] if i in own else ids[edges[i] : edges[i + 1]] for i in range(len(counts)))])
+            counts = np.array([len(own[i]) if i in own else c for i, c in enumerate(counts)], np.int64)
         return ids, counts
 
+    @staticmethod
+    def _holders(data: np.ndarray, offsets: np.ndarray, special: bytes) -> list[int]:
+        found = [m.start() for m in re.finditer(re.escape(special), data.tobytes())]
+        return sorted({int(np.searchsorted(offsets, at, side="right")) - 1 for at in found})
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -188,7 +192,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             texts = textops.text_column(batch.column(2))
             part = batch.column(0)[0].as_py() if len(batch) else part
             for a, b in textops.pieces(textops.raw(texts)[1], 1 << 19):
-                own, counts = encode(texts.slice(a, b - a).to_pylist())
+                own, counts = encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
                 values.append(np.insert(own, ends, np.uint32(end_id)))
                 lengths.append(counts + 1)
