@@ -126,16 +126,24 @@ def _words_of_piece(data: np.ndarray, starts_at: np.ndarray, lower: bool, letter
     return hash_spans(_LOWER[data] if lower and not letters else data, s, e), s, e
 
 
+class RunningHash:
+    """Hashes of any spans of some bytes, by differences of one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power_tables(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, U64)
+        values = data.astype(U64)
+        values += U64(1)
+        values *= up[: len(data)]
+        np.cumsum(values, out=self.total[1:])
+
+    def spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the bytes from s to e - 1."""
+        return mix((self.total[e] - self.total[s]) * self.down[s] + (e - s).astype(U64))
+
+
 def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes from s to e - 1, by differences of one running sum."""
-    n = len(data)
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, U64)
-    values = data.astype(U64)
-    values += U64(1)
-    values *= up[:n]
-    np.cumsum(values, out=total[1:])
-    return mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
+    return RunningHash(data).spans(s, e)
 
 
 def _plain_parts(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
