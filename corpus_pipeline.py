@@ -1,12 +1,60 @@
-"""The corpus pipeline: stages that each apply one operator to all that the stage before kept."""
+"""The corpus pipeline: each stage applies one operator to all that the stage before kept.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and read again as the docs of the next. All but the last return the columns of ``documents``. Rows that share a
+doc_id are kept or left out together."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.llm import decontamination, ngram_join, quality
+from gristmill.llm.queries import segment_documents, table
+from gristmill.llm.storage import broadcast_if_small, materialize
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is one of ``ids``, null included. The ids alone are broadcast, if
+    their count allows it; else both sides are shuffled."""
+    gone = broadcast_if_small(materialize(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone"), 16)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return _without(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their shingles the one with the least doc_id; of rows that repeat a doc_id one."""
+    joined = materialize(ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id"), "joined")
+    kept = _without(docs, joined.where("not doc_id <=> component_id"))
+    repeated = materialize(joined.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1"), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    twice = kept.join(repeated.select(F.col("doc_id").alias("again")), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
+    return _without(kept, repeated).union(twice.dropDuplicates(["doc_id"]))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return _without(docs, decontamination.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of each document that is left."""
+    return segment_documents(docs)
+
+
+STAGES = [("quality", keep_quality), ("near_duplicates", keep_one_of_each_group), ("decontamination", keep_clean), ("segmentation", segment)]
 
-STAGES: list = []
+#: SQL can't express the classifier, the latent search or the sampling; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import decontamination, fingerprints, html_text, ngram_join, quality, token_counts, token_files, url_filters
+from gristmill.llm import chat_tools, decontamination, fingerprints, html_text, ngram_join, quality, segmentations, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,27 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.format_chats(chat_tools.turns_as_calls(table(spark, sf_dir, "conversations")), chat_tools.TURN_SCHEMAS)
+
+
+#: Segmentations that are drawn of each document.
+SAMPLES = 2
+
+
+def segment_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, sample, n_pieces, ids, log_prob, log_inclusion, round_trip): the samples of each document, and
+    whether their pieces decode to its text."""
+    model = tokenizer("piece_bpe_32k.model")
+    check = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("check")
+    drawn = segmentations.decode(segmentations.sample_segmentations(docs, model, SAMPLES, keep=(check,)), model, to="decoded")
+    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "log_inclusion", (F.crc32(F.col("decoded").cast("binary")) == F.col("check")).alias("round_trip"))
+
+
+def op5_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -57,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_text": op2_html_text,
     "op3_decontamination": op3_decontamination,
+    "op4_chat_tools": op4_chat_tools,
+    "op5_segmentations": op5_segmentations,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
@@ -66,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
+    "op4_chat_tools": chat_tools.ORACLE,
     "op8_fingerprints": fingerprints.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
 }
