@@ -6,7 +6,8 @@
    X, then for the orthonormal basis of the sum, and a small eigenproblem is left for the driver. Both sums
    have one row for each word of the benchmark, whatever the corpus.
 3. Windows of two neighbouring passages are compared with those of the benchmark by cosine in the latent
-   space. Windows of which too few words are known to the benchmark can't hold a leak and are passed by.
+   space. A window with little weight in the benchmark's words has a low cosine with every item, whatever
+   the directions, and is passed by.
 4. A candidate is checked at the place where it aligns: the longest common subsequence of words with the
    item, and, for paraphrases, whether the item's answer (its rarest words) is there too."""
 
@@ -24,11 +25,12 @@ from gristmill.llm import textops
 from gristmill.llm.storage import arrow_batches, materialize
 
 #: Words of a passage; a window is two of them. Latent places, and extra ones of the random start.
-PASSAGE, RANK, OVERSAMPLE = 8, 48, 8
-#: Least share of known words in a window, least cosine of a candidate.
-KNOWN, COSINE = 0.5, 0.4
+PASSAGE, RANK, OVERSAMPLE = 8, 96, 16
+#: Least share of a window's squared weight in the benchmark's words (its cosine with any item is at most the
+#: root of it), least cosine of a candidate.
+KNOWN, COSINE = 0.15, 0.45
 #: Least share of an item's words in order: for a leak as it is, and for one whose answer is there too.
-VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
+VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.5, 0.5
 #: Items that are looked for at once; more are taken in blocks.
 ITEM_BLOCK = 4096
 U64 = np.uint64
@@ -94,27 +96,78 @@ def _number_texts(docs: DataFrame, items: Items) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, words binary")
 
 
-def _passages(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passage of each known word, and its number less 1."""
-    at = np.flatnonzero(words)
-    return at // PASSAGE, words[at].astype(np.int64) - 1
-
-
-def _runs(batches: Iterator[pa.RecordBatch], kind: type, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Passages and words of many texts at once; passages are numbered through."""
-    passages, words, base, size = [], [], 0, 0
+class Weights:
+    """TF-IDF weights of word numbers. A word that the benchmark doesn't have, number 0, weighs as the rarest
+    do; it has no place in the benchmark's space but counts in a passage's length."""
+
+    def __init__(self, counts: np.ndarray, passages: float):
+        """``counts``: occurrences of each word in the corpus."""
+        self.idf = np.log((passages + 2) / (counts + 1)).clip(0.1)
+        other = np.log(passages + 2)
+        self.known, self.all = np.concatenate([[0.0], self.idf**2]), np.concatenate([[other**2], self.idf**2])
+
+
+class Runs:
+    """Many texts end to end, cut at each text's start and every PASSAGE words."""
+
+    def __init__(self, texts: list[np.ndarray], weights: Weights):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.words = np.concatenate(texts).astype(np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        count = -(-sizes // PASSAGE)
+        self.text = np.repeat(np.arange(len(texts)), count)
+        first = np.cumsum(count) - count
+        self.starts = self.begins[self.text] + PASSAGE * (np.arange(len(self.text)) - first[self.text])
+        self.known = np.add.reduceat(weights.known[self.words], self.starts)
+        self.whole = np.add.reduceat(weights.all[self.words], self.starts)
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray]:
+        """Passage and number less 1 of each known word in the passages that are in the benchmark's space for
+        a good part."""
+        near = np.flatnonzero(self.known >= KNOWN * self.whole)
+        at, row = self._places(near, PASSAGE)
+        words = self.words[at]
+        return row[words > 0], words[words > 0] - 1
+
+    def windows(self) -> np.ndarray:
+        """Passages that begin a window (of them and the next of their text) that is so."""
+        known, whole = self.known.copy(), self.whole.copy()
+        with_next = np.flatnonzero(self.text[1:] == self.text[:-1])
+        known[with_next] += self.known[with_next + 1]
+        whole[with_next] += self.whole[with_next + 1]
+        last = np.r_[self.text[1:] != self.text[:-1], True]
+        alone = np.r_[True, self.text[1:] != self.text[:-1]]
+        return np.flatnonzero((known >= KNOWN * whole) & (~last | alone))
+
+    def _places(self, passages: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words from each passage's start, ``size`` of them or to the text's end."""
+        start = self.starts[passages]
+        length = np.minimum(size, self.ends[self.text[passages]] - start)
+        ends = np.cumsum(length)
+        row = np.repeat(np.arange(len(passages)), length)
+        return np.arange(int(ends[-1]) if len(ends) else 0) + (start - (ends - length))[row], row
+
+    def vectors(self, windows: np.ndarray, latent: np.ndarray) -> np.ndarray:
+        """Unit vectors of windows. ``latent``: a row for each number, zero for 0."""
+        if not len(windows):
+            return np.empty((0, latent.shape[1]), np.float32)
+        at, row = self._places(windows, 2 * PASSAGE)
+        sums = np.add.reduceat(latent[self.words[at]], np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), axis=0)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return sums / np.where(norm > 0, norm, 1)
+
+
+def _text_groups(batches: Iterator[pa.RecordBatch], column: int, kind: type, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+    """Batch, first row, and the numbered texts of some rows."""
     for batch in batches:
-        for x in batch.column(0):
-            text = np.frombuffer(x.as_buffer(), kind)
-            p, w = _passages(text)
-            passages.append(p + base), words.append(w)
-            base += -(-len(text) // PASSAGE)
-            size += len(w)
-            if size >= most:
-                yield np.concatenate(passages), np.concatenate(words)
-                passages, words, base, size = [], [], 0, 0
-    if size:
-        yield np.concatenate(passages), np.concatenate(words)
+        texts, size, first = [], 0, 0
+        for i, x in enumerate(batch.column(column)):
+            texts.append(np.frombuffer(x.as_buffer(), kind))
+            size += len(texts[-1])
+            if size >= most or i + 1 == len(batch):
+                yield batch, first, texts
+                texts, size, first = [], 0, i + 1
 
 
 def _summed(df: DataFrame, run, width: int, n_words: int) -> np.ndarray:
@@ -136,32 +189,32 @@ def _table_batches(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(some, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["row", "v"])
 
 
-def _distinct(p: np.ndarray, w: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passages, words and how often, without repetitions, by passage."""
-    key, count = np.unique(p * n_words + w, return_counts=True)
-    return key // n_words, key % n_words, count
-
-
-def _frequencies(numbered: DataFrame, items: Items, kind: type) -> np.ndarray:
-    """For each word the passages that have it."""
+def _counts(numbered: DataFrame, items: Items, kind: type) -> Weights:
+    """Occurrences of each word in all texts, and the number of passages."""
     n_words = len(items.hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(n_words)
-        for p, w in _runs(batches, kind):
-            table += np.bincount(_distinct(p, w, n_words)[1], minlength=n_words)
+        table = np.zeros(n_words + 1)
+        for _, _, texts in _text_groups(batches, 0, kind):
+            table += np.bincount(np.concatenate(texts), minlength=n_words + 1)
         yield from _table_batches(table[:, None])
 
-    return _summed(numbered.select("words"), run, 1, n_words)[:, 0]
+    table = _summed(numbered.select("words"), run, 1, n_words + 1)[:, 0]
+    return Weights(table[1:], table.sum() / PASSAGE)
 
 
-def _projected(numbered: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, kind: type) -> np.ndarray:
+def _projected(numbered: DataFrame, items: Items, weights: Weights, basis: np.ndarray, kind: type) -> np.ndarray:
     """A'(A basis) over the normalised TF-IDF passages A of all texts and items."""
     n_words, width = basis.shape
+    basis32 = basis.astype(np.float32)
 
-    def add(p: np.ndarray, w: np.ndarray, table: np.ndarray) -> None:
-        p, w, count = _distinct(p, w, n_words)
-        weight = (count * idf[w]).astype(np.float32)
+    def add(runs: Runs, table: np.ndarray) -> None:
+        p, w = runs.passages()
+        if not len(p):
+            return
+        key, count = np.unique(p * n_words + w, return_counts=True)
+        p, w = key // n_words, key % n_words
+        weight = (count * weights.idf[w]).astype(np.float32)
         first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
         sizes = np.diff(np.r_[first, len(p)])
         weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, first)), sizes)
@@ -171,17 +224,14 @@ def _projected(numbered: DataFrame, items: Items, idf: np.ndarray, basis: np.nda
         words, at = np.unique(w[order], return_index=True)
         table[words] += np.add.reduceat(weight[order][:, None] * y[row], at, axis=0)
 
-    basis32 = basis.astype(np.float32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((n_words, width))
-        for p, w in _runs(batches, kind, 1 << 18):
-            add(p, w, table)
+        for _, _, texts in _text_groups(batches, 0, kind):
+            add(Runs(texts, weights), table)
         yield from _table_batches(table)
 
     out = _summed(numbered.select("words"), run, width, n_words)
-    for words in items.words:
-        add(*_passages(words), out)
+    add(Runs(items.words, weights), out)
     return out
 
 
@@ -189,32 +239,17 @@ def _fix_signs(basis: np.ndarray) -> np.ndarray:
     return basis * np.where(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])] < 0, -1, 1)
 
 
-def latent_directions(numbered: DataFrame, items: Items, kind: type, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """idf of each word, and its row of the right singular vectors of the passages' TF-IDF matrix."""
-    df = _frequencies(numbered, items, kind)
-    idf = np.log((df.sum() / PASSAGE + 2) / (df + 1)).clip(0.1)
+def latent_directions(numbered: DataFrame, items: Items, kind: type, rank: int = RANK, seed: int = 7) -> tuple[Weights, np.ndarray]:
+    """Weights of the words, and their rows of the right singular vectors of the passages' TF-IDF matrix, each
+    divided by its singular value, so that common directions don't make all passages alike."""
+    weights = _counts(numbered, items, kind)
     start = np.random.default_rng(seed).normal(size=(len(items.hashes), min(rank + OVERSAMPLE, len(items.hashes))))
-    basis = np.linalg.qr(_projected(numbered, items, idf, start, kind))[0]
-    small = basis.T @ _projected(numbered, items, idf, basis, kind)
+    basis = np.linalg.qr(_projected(numbered, items, weights, start, kind))[0]
+    small = basis.T @ _projected(numbered, items, weights, basis, kind)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return idf, _fix_signs(basis @ vectors[:, np.argsort(-values)[:rank]])
-
-
-def _window_vectors(words: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each passage of a text, the unit vector of the window of it and the next, and the share of known
-    words there. ``latent``: a row for each word number, zero for 0."""
-    n = len(words)
-    starts = np.arange(0, n, PASSAGE)
-    sums = np.add.reduceat(latent[words], starts, axis=0)
-    known = np.add.reduceat((words > 0).astype(np.float32), starts)
-    sizes = np.minimum(PASSAGE, n - starts).astype(np.float32)
-    if len(starts) > 1:
-        sums[:-1] += sums[1:]
-        known[:-1] += known[1:]
-        sizes[:-1] += sizes[1:]
-        sums, known, sizes = sums[:-1], known[:-1], sizes[:-1]
-    norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-    return sums / np.where(norm > 0, norm, 1), known / sizes
+    order = np.argsort(-values)[:rank]
+    values = np.sqrt(np.maximum(values[order], 1e-9 * max(values.max(), 1e-9)))
+    return weights, _fix_signs(basis @ vectors[:, order]) / values
 
 
 def lcs_mask(text: list[int], item: list[int]) -> tuple[int, int]:
@@ -233,64 +268,65 @@ def lcs_mask(text: list[int], item: list[int]) -> tuple[int, int]:
 class Matcher:
     """Finds a block's items in numbered texts."""
 
-    def __init__(self, items: Items, idf: np.ndarray, directions: np.ndarray):
-        self.items = items
+    def __init__(self, items: Items, weights: Weights, directions: np.ndarray):
+        self.items, self.weights = items, weights
         self.latent = np.zeros((len(items.hashes) + 1, directions.shape[1]), np.float32)
-        self.latent[1:] = directions * idf[:, None]
+        self.latent[1:] = directions * weights.idf[:, None]
         vectors, self.owner, self.offset, self.answers = [], [], [], []
         for i, words in enumerate(items.words):
             # windows at every other word, so that one of a text is at most a word off
             for at in range(0, max(1, len(words) - 2 * PASSAGE + 1), 2):
-                vectors.append(_window_vectors(words[at : at + 2 * PASSAGE], self.latent)[0][0])
+                vectors.append(Runs([words[at : at + 2 * PASSAGE]], weights).vectors(np.zeros(1, int), self.latent)[0])
                 self.owner.append(i), self.offset.append(at)
-            rare = sorted(set(words.tolist()), key=lambda w: (-idf[w - 1], w))
+            rare = sorted(set(words.tolist()), key=lambda w: (-weights.idf[w - 1], w))
             self.answers.append(frozenset(rare[: max(3, len(words) // 4)]))
         self.vectors = np.array(vectors, np.float32).T
         self.owner, self.offset = np.array(self.owner), np.array(self.offset)
         self.lists = [w.tolist() for w in items.words]
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(item, place in the text where it would begin, cosine), the best of each item and place."""
-        vectors, known = _window_vectors(words, self.latent)
-        some = np.flatnonzero(known >= KNOWN)
-        for a in range(0, len(some), 4096):
-            at = some[a : a + 4096]
-            cosine = vectors[at] @ self.vectors
+    def candidates(self, runs: Runs) -> dict[int, dict[int, list[tuple[float, int]]]]:
+        """For each text and item, (cosine, place in the text where the item would begin)."""
+        out: dict[int, dict[int, list[tuple[float, int]]]] = {}
+        near = runs.windows()
+        for a in range(0, len(near), 2048):
+            at = near[a : a + 2048]
+            cosine = runs.vectors(at, self.latent) @ self.vectors
             rows, columns = np.nonzero(cosine >= COSINE)
-            if len(rows):
-                best: dict[tuple[int, int], float] = {}
-                for r, c, x in zip(at[rows].tolist(), columns.tolist(), cosine[rows, columns].tolist(), strict=True):
-                    key = (int(self.owner[c]), r * PASSAGE - int(self.offset[c]))
-                    best[key] = max(x, best.get(key, 0.0))
-                for (item, begin), x in best.items():
-                    yield item, begin, x
-
-    def find(self, words: np.ndarray) -> list[tuple[int, int, float, str]]:
-        """(item, common words in order, cosine, kind) of the items that the text holds."""
-        by_item: dict[int, list[tuple[float, int]]] = {}
-        for item, begin, x in self.candidates(words):
-            by_item.setdefault(item, []).append((x, begin))
+            if not len(rows):
+                continue
+            text = runs.text[at[rows]]
+            begin = runs.starts[at[rows]] - runs.begins[text] - self.offset[columns]
+            for t, item, x, b in zip(text.tolist(), self.owner[columns].tolist(), cosine[rows, columns].tolist(), begin.tolist(), strict=True):
+                out.setdefault(t, {}).setdefault(item, []).append((x, b))
+        return out
+
+    def find(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, float, str]]:
+        """(text, item, common words in order, cosine, kind) of the items that texts hold."""
         out = []
-        for item, places in sorted(by_item.items()):
-            goal, best, seen = self.lists[item], None, []
-            slack = max(PASSAGE, len(goal) // 4)
-            for x, begin in sorted(places, key=lambda p: (-p[0], p[1])):
-                if any(abs(begin - s) <= slack // 2 for s in seen):
-                    continue  # the region of a better one holds it
-                seen.append(begin)
-                region = words[max(0, begin - slack) : max(0, begin + len(goal) + slack)].tolist()
-                common, _ = lcs_mask(region, goal)
-                answer = self.answers[item]
-                there = len(answer.intersection(region)) / len(answer)
-                kind = "verbatim" if common >= VERBATIM * len(goal) else "paraphrase" if common >= PARAPHRASE * len(goal) and there >= ANSWER else None
-                if kind and (best is None or common > best[1]):
-                    best = (item, common, x, kind)
-                    if common == len(goal):
-                        break
-            if best:
-                out.append(best)
+        for t, by_item in sorted(self.candidates(Runs(texts, self.weights)).items()):
+            for item, places in sorted(by_item.items()):
+                best = self._check(texts[t], item, places)
+                if best:
+                    out.append((t, item, *best))
         return out
 
+    def _check(self, words: np.ndarray, item: int, places: list[tuple[float, int]]) -> tuple[int, float, str] | None:
+        goal, answer, best, seen = self.lists[item], self.answers[item], None, []
+        slack = max(PASSAGE, len(goal) // 4)
+        for x, begin in sorted(places, key=lambda p: (-p[0], p[1])):
+            if any(abs(begin - s) <= slack // 2 for s in seen):
+                continue  # the region of a better one holds it
+            seen.append(begin)
+            region = words[max(0, begin - slack) : max(0, begin + len(goal) + slack)].tolist()
+            common, _ = lcs_mask(region, goal)
+            there = len(answer.intersection(region)) / len(answer)
+            kind = "verbatim" if common >= VERBATIM * len(goal) else "paraphrase" if common >= PARAPHRASE * len(goal) and there >= ANSWER else None
+            if kind and (best is None or common > best[0]):
+                best = (common, x, kind)
+                if common == len(goal):
+                    break
+        return best
+
 
 def _matches(numbered: DataFrame, matcher: Matcher, kind: type, item_type) -> DataFrame:
     shared = numbered.sparkSession.sparkContext.broadcast(matcher)
@@ -298,11 +334,9 @@ def _matches(numbered: DataFrame, matcher: Matcher, kind: type, item_type) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value
-        for batch in batches:
-            rows, found = [], []
-            for i, x in enumerate(batch.column(1)):
-                for hit in matcher.find(np.frombuffer(x.as_buffer(), kind)):
-                    rows.append(i), found.append(hit)
+        for batch, first, texts in _text_groups(batches, 1, kind):
+            hits = matcher.find(texts)
+            rows, found = [first + h[0] for h in hits], [h[1:] for h in hits]
             yield pa.record_batch(
                 [
                     batch.column(0).take(pa.array(rows, pa.int64())),
@@ -323,7 +357,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row for each pair of a row of ``docs`` and an item that its text holds: (id_col, item_col,
     common_words, item_words, cosine, kind).
 
-    ``kind`` is verbatim if at least 0.8 of the item's words are there in order, paraphrase if at least 0.6
+    ``kind`` is verbatim if at least 0.7 of the item's words are there in order, paraphrase if at least half
     are and its answer is too. Words are runs of letters and digits; case and signs don't count. Null and
     empty texts hold nothing; an item without words is in no text; items with equal texts are all found. A
     repeated row gives its pairs again; a null id stays null. Texts are read whole. Without any item or text
@@ -342,8 +376,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             continue
         kind = np.uint16 if len(items.hashes) < 65535 else np.uint32
         numbered = materialize(_number_texts(docs, items), "numbered")
-        idf, directions = latent_directions(numbered, items, kind)
-        found = materialize(_matches(numbered, Matcher(items, idf, directions), kind, item_type), "leaks")
+        weights, directions = latent_directions(numbered, items, kind)
+        found = materialize(_matches(numbered, Matcher(items, weights, directions), kind, item_type), "leaks")
         out = found if out is None else out.union(found)
     if out is None:
         kind_of = "long" if item_type.simpleString() in ("bigint", "int") else "string"
