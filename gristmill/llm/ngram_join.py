@@ -6,7 +6,7 @@ join is exact up to the 64-bit hashes that stand for shingles:
 1. One pass hashes each text's set. Equal sets are one class from here on, so copies cost nothing more.
 2. Two sets that link share at least l shingles among the first n - ceil(percent * n) + l of either, in
    any global order. In hash order, shingles in two classes' prefixes are found by a combined count, and
-   classes with fewer than l of them drop out. l is an eighth of the set, so that a shared licence line
+   classes with fewer than l of them drop out. l is a sixteenth of the set, so that a shared licence line
    or passage is not enough to stay.
 3. The sets of the classes that stay are ordered globally by frequency. Classes that share one of their
    rarest n - ceil(percent * n) + 1 shingles with others form a block with the least of those classes,
@@ -48,7 +48,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 def slack(n: np.ndarray) -> np.ndarray:
     """l of the module's text for a set of n."""
-    return n // 8 + 1
+    return n // 16 + 1
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -304,7 +304,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = rows.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     shared = rows.join(common, "token").select("sid", "n", "token").distinct().groupBy("sid", "n").count()
     least_n = F.ceil(F.col("n") * percent / 100)
-    stay = shared.where(F.col("count") >= F.floor(least_n / 8) + 1).select("sid")
+    stay = shared.where(F.col("count") >= F.floor(least_n / 16) + 1).select("sid")
     reps = materialize(classes.join(stay, "sid").select(F.col("rep").alias("id"), F.col("sid").alias("want")), "candidates")
 
     wanted = docs.join(broadcast_if_small(reps, 32), "id").select("id", "text", "want")

@@ -25,7 +25,7 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _powers: list[np.ndarray] = []
 
 
