@@ -28,7 +28,7 @@ from gristmill.llm.storage import arrow_batches, materialize
 PASSAGE, RANK, OVERSAMPLE = 8, 96, 16
 #: Least share of a window's squared weight in the benchmark's words (its cosine with any item is at most the
 #: root of it), least cosine of a candidate.
-KNOWN, COSINE = 0.15, 0.45
+KNOWN, COSINE = 0.2, 0.5
 #: Least share of an item's words in order: for a leak as it is, and for one whose answer is there too.
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.5, 0.5
 #: Items that are looked for at once; more are taken in blocks.
@@ -283,6 +283,8 @@ class Matcher:
         self.vectors = np.array(vectors, np.float32).T
         self.owner, self.offset = np.array(self.owner), np.array(self.offset)
         self.lists = [w.tolist() for w in items.words]
+        self.counts = [{w: x.count(w) for w in x} for x in self.lists]
+        self.sets = [frozenset(x) for x in self.lists]
 
     def candidates(self, runs: Runs) -> dict[int, dict[int, list[tuple[float, int]]]]:
         """For each text and item, (cosine, place in the text where the item would begin)."""
@@ -312,12 +314,15 @@ class Matcher:
 
     def _check(self, words: np.ndarray, item: int, places: list[tuple[float, int]]) -> tuple[int, float, str] | None:
         goal, answer, best, seen = self.lists[item], self.answers[item], None, []
-        slack = max(PASSAGE, len(goal) // 4)
+        slack, count, floor = max(PASSAGE, len(goal) // 4), self.counts[item].__getitem__, PARAPHRASE * len(goal)
         for x, begin in sorted(places, key=lambda p: (-p[0], p[1])):
             if any(abs(begin - s) <= slack // 2 for s in seen):
                 continue  # the region of a better one holds it
             seen.append(begin)
             region = words[max(0, begin - slack) : max(0, begin + len(goal) + slack)].tolist()
+            # at most the item's places whose words the region has
+            if sum(map(count, self.sets[item].intersection(region))) < floor:
+                continue
             common, _ = lcs_mask(region, goal)
             there = len(answer.intersection(region)) / len(answer)
             kind = "verbatim" if common >= VERBATIM * len(goal) else "paraphrase" if common >= PARAPHRASE * len(goal) and there >= ANSWER else None
