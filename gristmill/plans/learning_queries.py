@@ -1,4 +1,55 @@
-"""Queries."""
+"""Walk-forward models, calibration, the adaptive ensemble and regimes by mixture."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.functions.expr import r6
+from gristmill.operators import learning as ln
+from gristmill.operators import metrics as mt
+from gristmill.operators.panel import MEMBERS
+from gristmill.plans.base_sql import PANEL_SQL
+from gristmill.plans.intelligence_queries import STATE_COLUMNS, state
+from gristmill.plans.metric_queries import panel
+
+COLUMNS = ["p1", "p2", "p3", "volume_z", "day_move", "spread"]
+
+
+def walkforward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.fold_counts(panel(spark, sf_dir))
+
+
+def walkforward(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a model's out-of-sample probabilities by fold."""
+    out = ln.walk_forward(panel(spark, sf_dir), kind, COLUMNS)
+    return mt.metrics_by_group(out, "fold")
+
+
+def isotonic_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.isotonic_rolling(panel(spark, sf_dir)).select("symbol", "date", r6(F.col("p")).alias("p"), r6(F.col("p_cal")).alias("p_cal"))
+
+
+def adaptive_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ln.adaptive_ensemble(panel(spark, sf_dir), MEMBERS)
+    return rows.select("symbol", "date", *(r6(F.col(c)).alias(c) for c in rows.columns if c not in ("symbol", "date")))
+
+
+def regime_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.regime_mixture(state(spark, sf_dir), STATE_COLUMNS)
+
+
+QUERIES = {"walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_gmm": regime_gmm}
+_W = {m: f"coalesce(exp(-12 * mse_{m}), 1.0)" for m in MEMBERS}
+_T = " + ".join(_W.values())
+ORACLES = {
+    "walkforward_folds": f"""WITH {PANEL_SQL}, sp AS (SELECT min(date) AS a, max(date) AS b FROM panel), c0 AS (SELECT b, unnest(range(0, 60)) AS i, a FROM sp), c1 AS (SELECT b, CAST(a + INTERVAL 36 MONTH AS DATE) AS f, i FROM c0), c2 AS (SELECT b, CAST(f + i * INTERVAL 6 MONTH AS DATE) AS cut FROM c1),
+      fo AS (SELECT row_number() OVER (ORDER BY cut)::INTEGER AS fold, cut, coalesce(lead(cut) OVER (ORDER BY cut), b + 1) AS until FROM c2 WHERE cut <= b)
+      SELECT fold, cut, until, count(*) FILTER (known_at < cut) AS n_train, count(*) FILTER (date >= cut AND date < until) AS n_test FROM fo JOIN panel ON known_at < cut OR (date >= cut AND date < until) GROUP BY 1, 2, 3""",
+    "adaptive_ensemble": f"""WITH {PANEL_SQL}, er AS (SELECT known_at AS d, {', '.join(f'sum(({m} - y) ** 2) AS e_{m}' for m in MEMBERS)}, count(*) AS n FROM panel GROUP BY 1),
+      kn AS (SELECT d, {', '.join(f'sum(e_{m}) OVER w / sum(n) OVER w AS mse_{m}' for m in MEMBERS)} FROM er WINDOW w AS (ORDER BY d ROWS 59 PRECEDING)),
+      jo AS (SELECT p.*, kn.* EXCLUDE (d) FROM panel p ASOF LEFT JOIN kn ON p.date >= kn.d)
+      SELECT symbol, date, round(greatest(1e-4, least(1 - 1e-4, ({' + '.join(f'{_W[m]} * {m}' for m in MEMBERS)}) / ({_T}))), 6) AS p_raw, {', '.join(f'round({_W[m]} / ({_T}), 6) AS w_{m}' for m in MEMBERS)} FROM jo""",
+}

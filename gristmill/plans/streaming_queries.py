@@ -1,4 +1,116 @@
-"""Queries."""
+"""Streams run over all that is there, and the batch twins of their operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gristmill.functions.expr import r6
+from gristmill.operators import sketches as sk
+from gristmill.sources import tables as tb
+from gristmill.streaming import bus, state
+
+
+def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-stream-")
+
+
+def _last_batch(out: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Of complete output the last batch; of updates the last of each key."""
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("batch"))
+    return out.withColumn("k", F.dense_rank().over(w)).where("k = 1").drop("k", "batch")
+
+
+def tape_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.event_tape(tb.read(spark, sf_dir, "events")).select("event_id", "event_type", r6(F.col("ret"), 4).alias("ret"), "replayed")
+
+
+def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = stream_of(spark, sf_dir)
+    twice = events.select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return bus.drain(state.deduplicate(twice), _folder(spark)).select("event_id")
+
+
+def welford_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bus.drain(state.welford_anomalies(stream_of(spark, sf_dir)), _folder(spark))
+
+
+def welford_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.welford_anomalies(tb.read(spark, sf_dir, "events"))
+
+
+def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bus.drain(state.tumbling_counts(stream_of(spark, sf_dir)), _folder(spark), "complete")
+    return _last_batch(out).select(F.to_date("start").alias("day"), "event_type", "n", "total")
+
+
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bus.drain(state.session_counts(stream_of(spark, sf_dir)), _folder(spark), "complete")
+    return _last_batch(out).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def decay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bus.drain(state.decayed_counts(stream_of(spark, sf_dir)), _folder(spark), "update")
+    return _last_batch(out, ["event_type"]).select("event_type", F.round("attention", 4).alias("attention"))
+
+
+def decay_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.decayed_counts(tb.read(spark, sf_dir, "events")).select("event_type", F.round("attention", 4).alias("attention"))
+
+
+def _bits(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_type").alias("key"), F.col("event_id").alias("at"), (F.col("value") > 20).cast("int").alias("bit"))
+
+
+def dgim_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bus.drain(state.dgim_counts(_bits(stream_of(spark, sf_dir))), _folder(spark), "update")
+    return _last_batch(out, ["key"])
+
+
+def exact_window_ones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = _bits(tb.read(spark, sf_dir, "events")).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("at")))
+    counted = sk.exact_window_ones(bits, 256)
+    return counted.groupBy("key").agg(F.max_by("ones", "at").alias("ones"))
+
+
+def fm_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimate, exact number and error."""
+    events = tb.read(spark, sf_dir, "events")
+    exact = events.agg(F.countDistinct("event_id").alias("exact"))
+    return sk.fm_distinct(events, "event_id").crossJoin(exact).select("estimate", "exact", r6(100 * F.abs(F.col("estimate") - F.col("exact")) / F.col("exact"), 3).alias("relative_error_pct"))
+
+
+def bloom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.bloom_stats(tb.read(spark, sf_dir, "events"), "event_id")
+
+
+def reservoir_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.reservoir(tb.read(spark, sf_dir, "events"), "event_id").select("event_id")
+
+
+QUERIES = {f.__name__: f for f in (tape_with_duplicates, dedup_stream, welford_stream, welford_batch, tumbling_counts, session_counts, decay_stream, decay_batch, dgim_estimate, exact_window_ones, fm_distinct, bloom_stats, reservoir_k)}
+_WELFORD = """WITH z AS (SELECT event_type, event_id, count(value) OVER w AS n, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT event_type, event_id, round(z, 6) AS z FROM z WHERE n >= 30 AND abs(z) >= 3"""
+_DECAY = "WITH l AS (SELECT event_type, max(ts) AS last FROM events GROUP BY 1) SELECT event_type, round(sum(pow(2.0, -(epoch_us(last) - epoch_us(ts)) / 1e6 / 86400)), 4) AS attention FROM events JOIN l USING (event_type) GROUP BY 1"
+ORACLES = {
+    "tape_with_duplicates": """WITH t AS (SELECT event_id, event_type, round(value / nullif(lag(value) OVER w, 0) - 1, 4) AS ret, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+      SELECT event_id, event_type, ret, false AS replayed FROM t UNION ALL SELECT event_id, event_type, ret, true FROM t WHERE n % 50 = 1""",
+    "dedup_stream": "SELECT event_id FROM events",
+    "welford_stream": _WELFORD,
+    "welford_batch": _WELFORD,
+    "tumbling_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+    "session_counts": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+    "decay_stream": _DECAY,
+    "decay_batch": _DECAY,
+    "exact_window_ones": "SELECT event_type AS key, sum((value > 20)::INTEGER)::BIGINT AS ones FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) WHERE k <= 256 GROUP BY 1",
+}
