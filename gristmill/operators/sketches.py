@@ -21,7 +21,7 @@ def event_tape(events: DataFrame, every: int = 50) -> DataFrame:
 def fm_distinct(df: DataFrame, column: str, registers: int = 256) -> DataFrame:
     """Flajolet-Martin with stochastic averaging: each register ors the lowest bits of its hashes."""
     h = F.xxhash64(column)
-    slot, rest = F.pmod(h, F.lit(registers)), F.shiftrightunsigned(h, 8)
+    slot, rest = F.pmod(h, F.lit(registers)), F.shiftrightunsigned(h, 16)
     bits = df.select(slot.alias("slot"), F.least(lowest_bit(rest), F.lit(62)).alias("rho")).groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, rho)")).alias("bits"))
     # the place of the lowest 0 of each register; registers without values have place 0
     sums = bits.agg(F.sum(lowest_bit(F.bitwise_not("bits"))).alias("s"))
