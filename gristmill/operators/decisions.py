@@ -242,3 +242,42 @@ def recommend(spark: SparkSession, gated: DataFrame, top: int = 6) -> DataFrame:
     rows = gated.crossJoin(F.broadcast(profiles)).select("profile", "symbol", "date", "verdict", r6(score).alias("score"))  # three rows
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("score"), "symbol", "date")))
     return rows.where(c("place") <= top).withColumn("status", F.when(c("verdict") != "NO ACTION", "CANDIDATE").otherwise("WATCH ONLY"))
+
+
+def audit(gated: DataFrame) -> DataFrame:
+    """Checks of each forecast against itself: all passed is PASS, one or two failed PARTIAL, more FAIL."""
+    c = F.col
+    checks = [
+        ("probability_range", c("probability").between(0, 1)),
+        ("edge_known", c("net_edge_bps").isNotNull()),
+        ("trust_range", c("trust").between(0, 100)),
+        ("direction", (c("verdict") == "NO ACTION") | ((c("verdict") == "POSITIVE") == (c("probability") >= 0.5))),
+        ("blocked_if_no_action", (c("verdict") == "NO ACTION") == (F.size("blocking") > 0)),
+        ("costs_cleared", (c("verdict") == "NO ACTION") | (c("net_edge_bps") >= MIN_EDGE)),
+        ("regime_resolved", c("regime") != "TRANSITION"),
+        ("healthy", c("drift_state").isin("HEALTHY", "WATCH")),
+        ("risk_range", c("risk_score").between(0, 100)),
+    ]
+    failed = tags(*((~F.coalesce(ok, F.lit(False)), name) for name, ok in checks))
+    rows = gated.withColumn("failed", failed)
+    n = F.size("failed")
+    return rows.select("symbol", "date", F.when(n == 0, "PASS").when(n <= 2, "PARTIAL").otherwise("FAIL").alias("result"), F.array_join("failed", "|").alias("failed"))
+
+
+def leaderboard(panel: DataFrame, members: tuple[str, ...], sharpness: float = 12.0) -> DataFrame:
+    """Members with their Brier score, a health from it, and weights that halve at DEGRADED and drop at UNRELIABLE."""
+    rows = panel.select("y", F.explode(F.array(*(F.struct(F.lit(m).alias("member"), F.col(m).alias("p")) for m in members))).alias("x")).select("y", "x.*")
+    scores = rows.groupBy("member").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    health = F.when(F.col("brier") < 0.25, "HEALTHY").when(F.col("brier") < 0.27, "WATCH").when(F.col("brier") < 0.3, "DEGRADED").otherwise("UNRELIABLE")
+    penalty = F.when(health == "HEALTHY", 1.0).when(health == "WATCH", 0.85).when(health == "DEGRADED", 0.4).otherwise(0.0)
+    raw = F.exp(-sharpness * F.col("brier")) * penalty
+    everyone = Window.partitionBy(F.lit(0))  # one row a member
+    total = F.sum(raw).over(everyone)
+    return scores.select("member", r6(F.col("brier")).alias("brier"), health.alias("health"), F.round(F.when(total > 0, raw / total).otherwise(1 / F.count("*").over(everyone)), 4).alias("weight"))
+
+
+def market_pressure(gated: DataFrame) -> DataFrame:
+    """Per date 0 to 100: few forecasts act, the expected move is large, the regime is unsure."""
+    out = gated.groupBy("date").agg(F.avg((F.col("verdict") != "NO ACTION").cast("double")).alias("part"), F.avg("expected_move").alias("move"), F.any_value("regime_confidence").alias("conf"))
+    value = 100 * (0.5 * (1 - F.col("part")) + 0.3 * F.least(F.coalesce(F.col("move"), F.lit(0.0)) * 25, F.lit(1.0)) + 0.2 * (1 - F.col("conf")))
+    return out.select("date", r6(F.col("part")).alias("participation"), r6(value, 4).alias("pressure"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.expr import r6
 from gristmill.operators import decisions as dc
 from gristmill.operators.intelligence import market_state
-from gristmill.operators.panel import prediction_panel
+from gristmill.operators.panel import MEMBERS, prediction_panel
 from gristmill.plans.base_sql import PANEL_SQL
 from gristmill.plans.feature_queries import matrix
 from gristmill.plans.metric_queries import panel
@@ -76,7 +76,29 @@ def recommend_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.recommend(spark, dc.gate(forecasts(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, cemetery_topk, recommend_rank)}
+def forecast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.audit(dc.gate(forecasts(spark, sf_dir)))
+
+
+def leaderboard_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.leaderboard(panel(spark, sf_dir), MEMBERS)
+
+
+def market_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.market_pressure(dc.gate(forecasts(spark, sf_dir)))
+
+
+def experiment_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the mean of the members beat each of them? Supported if Brier falls by more than 0.0005."""
+    rows = panel(spark, sf_dir)
+    loss = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
+    one = rows.agg(loss("p").alias("p"), *(loss(m).alias(m) for m in MEMBERS))
+    arms = one.select("p", F.explode(F.array(*(F.struct(F.lit(m).alias("arm"), F.col(m).alias("brier")) for m in MEMBERS))).alias("a")).select("p", "a.*")
+    gain = F.col("brier") - F.col("p")
+    return arms.select("arm", r6(F.col("brier")).alias("brier"), r6(gain).alias("gain"), F.when(gain > 0.0005, "SUPPORTED").otherwise("NOT SUPPORTED").alias("conclusion"))
+
+
+QUERIES = {f.__name__: f for f in (gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, cemetery_topk, recommend_rank, forecast_audit, leaderboard_weights, market_pressure, experiment_arms)}
 
 _P = f"WITH {PANEL_SQL}"
 STATE_SQL = """s1 AS (SELECT date, any_value(bench_ret_1) AS bench_ret_1, any_value(bench_trend_20) AS bench_trend_20, any_value(bench_vol_20) AS bench_vol_20, any_value(bench_vol_60) AS bench_vol_60, any_value(market_breadth) AS market_breadth, stddev_samp(ret_1) AS dispersion FROM feat GROUP BY date),
@@ -157,4 +179,14 @@ ORACLES = {
     "recommend_rank": f"""WITH {_FORECAST}, {_gate('fc', 'g')}, pr(profile, wt, we, wr, wv) AS (VALUES {_PROFILES}),
       s AS (SELECT profile, symbol, date, verdict, CASE WHEN net_edge_bps IS NOT NULL THEN round(100 * (wt::DOUBLE * trust / 100 + we::DOUBLE * greatest(0.0, least(1.0, (net_edge_bps + 40) / 80)) + wr::DOUBLE * (1 - risk_score / 100) - wv::DOUBLE * 0.15 * least(expected_move * 10, 1.0)), 6) END AS score FROM g, pr)
       SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC NULLS LAST, symbol, date)::INTEGER AS place, CASE WHEN verdict <> 'NO ACTION' THEN 'CANDIDATE' ELSE 'WATCH ONLY' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC NULLS LAST, symbol, date) <= 6""",
+    "forecast_audit": f"""WITH {_FORECAST}, {_gate('fc', 'g')}, a AS (SELECT symbol, date, list_filter([CASE WHEN NOT coalesce(probability BETWEEN 0 AND 1, false) THEN 'probability_range' END, CASE WHEN net_edge_bps IS NULL THEN 'edge_known' END, CASE WHEN NOT coalesce(trust BETWEEN 0 AND 100, false) THEN 'trust_range' END,
+      CASE WHEN NOT coalesce(verdict = 'NO ACTION' OR (verdict = 'POSITIVE') = (probability >= 0.5), false) THEN 'direction' END, CASE WHEN NOT coalesce((verdict = 'NO ACTION') = (len(blocking) > 0), false) THEN 'blocked_if_no_action' END, CASE WHEN NOT coalesce(verdict = 'NO ACTION' OR net_edge_bps >= 12, false) THEN 'costs_cleared' END,
+      CASE WHEN regime = 'TRANSITION' THEN 'regime_resolved' END, CASE WHEN drift_state NOT IN ('HEALTHY', 'WATCH') THEN 'healthy' END, CASE WHEN NOT coalesce(risk_score BETWEEN 0 AND 100, false) THEN 'risk_range' END], lambda x: x IS NOT NULL) AS f FROM g)
+      SELECT symbol, date, CASE WHEN len(f) = 0 THEN 'PASS' WHEN len(f) <= 2 THEN 'PARTIAL' ELSE 'FAIL' END AS result, array_to_string(f, '|') AS failed FROM a""",
+    "leaderboard_weights": f"""{_P}, u AS (UNPIVOT (SELECT y, p1, p2, p3 FROM panel) ON p1, p2, p3 INTO NAME member VALUE p), b AS (SELECT member, avg((p - y) ** 2) AS brier FROM u GROUP BY 1),
+      h AS (SELECT *, CASE WHEN brier < 0.25 THEN 'HEALTHY' WHEN brier < 0.27 THEN 'WATCH' WHEN brier < 0.3 THEN 'DEGRADED' ELSE 'UNRELIABLE' END AS health FROM b),
+      w AS (SELECT *, exp(-12 * brier) * CASE health WHEN 'HEALTHY' THEN 1.0 WHEN 'WATCH' THEN 0.85 WHEN 'DEGRADED' THEN 0.4 ELSE 0.0 END AS raw FROM h)
+      SELECT member, round(brier, 6) AS brier, health, round(CASE WHEN sum(raw) OVER () > 0 THEN raw / sum(raw) OVER () ELSE 1 / count(*) OVER () END, 4) AS weight FROM w""",
+    "market_pressure": f"WITH {_FORECAST}, {_gate('fc', 'g')}, m AS (SELECT date, avg((verdict <> 'NO ACTION')::INTEGER) AS part, avg(expected_move) AS mv, any_value(regime_confidence) AS conf FROM g GROUP BY date) SELECT date, round(part, 6) AS participation, round(100 * (0.5 * (1 - part) + 0.3 * least(coalesce(mv, 0) * 25, 1.0) + 0.2 * (1 - conf)), 4) AS pressure FROM m",
+    "experiment_arms": f"{_P}, o AS (SELECT avg((p - y) ** 2) AS bp, avg((p1 - y) ** 2) AS p1, avg((p2 - y) ** 2) AS p2, avg((p3 - y) ** 2) AS p3 FROM panel), u AS (UNPIVOT o ON p1, p2, p3 INTO NAME arm VALUE brier) SELECT arm, round(brier, 6) AS brier, round(brier - bp, 6) AS gain, CASE WHEN brier - bp > 0.0005 THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END AS conclusion FROM u",
 }

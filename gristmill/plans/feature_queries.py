@@ -73,6 +73,13 @@ def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.countDistinct("symbol").alias("symbols"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("vol_60").alias("vol_60_rows"))
 
 
+def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 20 returns before and at each session, as one sequence; sessions with fewer are left out."""
+    seq = F.collect_list(F.struct("ret_1", "range_pct")).over(ft.W().rowsBetween(-19, 0))
+    rows = matrix(spark, sf_dir).where("ret_1 is not null").select("symbol", "date", seq.alias("s")).where(F.size("s") == 20)
+    return rows.select("symbol", "date", F.round(F.element_at("s", 1)["ret_1"], 6).alias("first_ret"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["range_pct"]), 6).alias("range_sum"))
+
+
 QUERIES = {
     "feature_matrix": partial(_family, ft.FEATURES),
     **{name: partial(_family, columns) for name, columns in ft.FAMILIES.items()},
@@ -87,6 +94,7 @@ QUERIES = {
     "point_in_time_slice": point_in_time_slice,
     "truncation_invariance": truncation_invariance,
     "dataset_meta": dataset_meta,
+    "sequence_windows": sequence_windows,
 }
 
 _NEWS = """news AS (SELECT event_id AS news_id, user_id AS symbol, ts AS published_at, greatest(-1.0, least(1.0, value / 250 - 1)) AS sentiment FROM events WHERE event_type = 'click'),
@@ -114,4 +122,5 @@ ORACLES = {
     "point_in_time_slice": f"WITH {_NEWS} SELECT news_id, symbol, round(sentiment, 6) AS sentiment FROM news WHERE published_at <= TIMESTAMP '2024-01-15 23:59:00' AND published_at >= TIMESTAMP '2024-01-10 23:59:00'",
     "truncation_invariance": "SELECT 0::BIGINT AS offenders",
     "dataset_meta": f"WITH {FEATURES_SQL} SELECT count(*) AS n_rows, count(DISTINCT symbol) AS symbols, min(date) AS first_date, max(date) AS last_date, count(vol_60) AS vol_60_rows FROM feat",
+    "sequence_windows": f"WITH {FEATURES_SQL}, r AS (SELECT symbol, date, ret_1, range_pct FROM feat WHERE ret_1 IS NOT NULL) SELECT symbol, date, round(lag(ret_1, 19) OVER w, 6) AS first_ret, round(sum(range_pct) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), 6) AS range_sum FROM r WINDOW w AS (PARTITION BY symbol ORDER BY date) QUALIFY row_number() OVER w >= 20",
 }

@@ -102,7 +102,22 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-QUERIES = {f.__name__: f for f in (bars_from_orders, bars_from_lineitem, bars_from_events_hourly, lake_roundtrip, inventory_counts, text_formats, file_fingerprint, document_upsert, document_find, document_merge, provenance)}
+def xml_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of an XML feed, one a nation, parsed with a schema."""
+    items = tb.read(spark, sf_dir, "nation").select(F.format_string("<item><title>%s &amp; co</title><id>%d</id></item>", "n_name", "n_nationkey").alias("x"))
+    return items.select(F.from_xml("x", "title string, id int").alias("i")).select("i.id", "i.title")
+
+
+def map_reduce_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and highest price of each symbol and year, by a mapper, a combiner and a reducer."""
+    from gristmill.operators.mapreduce import map_reduce
+
+    bars = tb.bars(spark, sf_dir).select("symbol", F.year("date").alias("year"), "high")
+    highest = lambda key, values: max(values)
+    return map_reduce(bars, lambda row: [(f"{row['symbol']}/{row['year']}", float(row["high"]))], highest, highest, salts=2)
+
+
+QUERIES = {f.__name__: f for f in (bars_from_orders, bars_from_lineitem, bars_from_events_hourly, lake_roundtrip, inventory_counts, text_formats, file_fingerprint, document_upsert, document_find, document_merge, provenance, xml_feed, map_reduce_volume)}
 ORACLES = {
     "bars_from_orders": f"WITH {BARS} SELECT * FROM bars",
     "bars_from_lineitem": """WITH x AS (SELECT *, l_extendedprice / l_quantity AS pr, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey} AS k FROM lineitem)
@@ -116,4 +131,6 @@ ORACLES = {
     "document_find": "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 25",
     "document_merge": "SELECT 's.' || s_suppkey AS path, CASE WHEN s_suppkey > 40 THEN 'new' ELSE 'old' END AS value FROM supplier",
     "provenance": f"WITH {BARS} SELECT symbol, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY 1",
+    "xml_feed": "SELECT n_nationkey AS id, n_name || ' & co' AS title FROM nation",
+    "map_reduce_volume": f"WITH {BARS} SELECT symbol || '/' || year(date) AS key, max(high) AS value FROM bars GROUP BY 1",
 }
