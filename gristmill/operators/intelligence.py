@@ -131,6 +131,39 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.count("*").alias("degree"), r6(F.sum(F.abs("correlation"))).alias("strength"))
 
 
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(node, rank) over undirected edges weighted by absolute correlation. A fixed number of rounds, each a join
+    and a group-by; every few rounds a checkpoint cuts the lineage."""
+    both = edges.select("src", "dst", F.abs("correlation").alias("w")).union(edges.select("dst", "src", F.abs("correlation")))
+    links = both.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share").checkpoint()
+    ranks = links.select(F.col("src").alias("node")).distinct()
+    n = ranks.count()
+    ranks = ranks.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for i in range(rounds):
+        got = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        ranks = got.select(F.col("dst").alias("node"), (F.lit((1 - damping) / max(n, 1)) + damping * F.col("got")).alias("rank"))
+        ranks = ranks.checkpoint() if i % 5 == 4 else ranks
+    return ranks.select("node", r6(F.col("rank")).alias("rank"))
+
+
+def density(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
+    """Edges over possible ones, and the share of edges within a group (column ``group`` of nodes by ``node``)."""
+    a, b = nodes.select(F.col("node").alias("src"), F.col(group).alias("ga")), nodes.select(F.col("node").alias("dst"), F.col(group).alias("gb"))
+    joined = edges.join(F.broadcast(a), "src").join(F.broadcast(b), "dst")
+    n = nodes.agg(F.count("*").alias("nodes"))
+    out = joined.agg(F.count("*").alias("edges"), F.avg((F.col("ga") == F.col("gb")).cast("double")).alias("inside")).crossJoin(n)  # one row each
+    return out.select("nodes", "edges", r6(safe_div(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1))).alias("density"), r6(F.col("inside")).alias("purity"))
+
+
+def case_documents(clusters: DataFrame, evidence: DataFrame, states: DataFrame) -> DataFrame:
+    """A nested document for each cluster of events: its members, what speaks for and against on its day, and the
+    days that looked alike."""
+    said = evidence.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("symbol", "state", "supporting", "contradicting"))).alias("evidence"), r6(F.avg("conflict")).alias("conflict"))
+    alike = states.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("place", "match", "distance"))).alias("alike"))
+    out = clusters.join(said, "date", "left").join(alike, "date", "left")
+    return out.select(F.concat_ws("-", F.lit("case"), "date", "sector").alias("case_id"), "symbols", "severity", "n_events", "conflict", F.size("evidence").alias("n_evidence"), F.to_json(F.struct("evidence", "alike")).alias("document"))
+
+
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(node, component): the least node reachable. Labels spread along edges and jump to their label's own,
     with lineage cut by a checkpoint each round."""

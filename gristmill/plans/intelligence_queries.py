@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6
+from gristmill.operators import aggregates as ag
 from gristmill.operators import decisions as dc
 from gristmill.operators import intelligence as it
 from gristmill.operators import texts as tx
@@ -70,10 +73,41 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the parts that were ordered together in the same small order, one chain an order."""
     items = tb.read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", "l_partkey")
     hubs = items.groupBy("l_orderkey").agg(F.min("l_partkey").alias("src"))
+    _checkpoints(spark)
     edges = items.join(hubs, "l_orderkey").where("l_partkey <> src").select("src", F.col("l_partkey").alias("dst")).distinct()
     return it.components(edges)
 
 
+def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _series(spark, sf_dir).select("node").distinct().withColumn("parity", F.col("node") % 2)
+    return it.density(corr_edges(spark, sf_dir), nodes, "parity")
+
+
+def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _checkpoints(spark)
+    return it.pagerank(corr_edges(spark, sf_dir))
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints where the session names none, as in tests."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
+
+
+def instrument_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours that the names of parts mention."""
+    parts = tb.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"))
+    names = spark.createDataFrame([("Red",), ("Blue",), ("Ring",)], "name string")
+    return tx.mentions(parts, names).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of the days on which many symbols moved far."""
+    rows = panel(spark, sf_dir)
+    moves = rows.where("abs(ret_1) > 3").select("date", "sector", "symbol", F.abs("ret_1").alias("severity"), F.when(F.col("ret_1") > 0, "UP").otherwise("DOWN").alias("kind"))
+    return it.case_documents(ag.event_clusters(moves, 40), it.evidence(rows), it.similar_states(state(spark, sf_dir), STATE_COLUMNS)).drop("document")
+
+
 #: Words of which headlines are made for the queries on sentiment.
 WORDS = ["profit", "surges,", "amid", "Fraud", "probe!", "drops", "results", "upgrade", "rally", "inflation", "shares", "(weak)", "buyback"]
 
@@ -110,7 +144,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.search(frames, "Er#00000001")
 
 
-QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits)}
+QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits, graph_density, graph_pagerank, instrument_mentions, case_documents)}
 
 _S = f"WITH {FEATURES_SQL}, {STATE_SQL}"
 _PAIRS_SQL = """ser AS (SELECT (c_nationkey % 6)::BIGINT AS node, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -159,4 +193,8 @@ ORACLES = {
       UNION ALL SELECT key, 'orders[' || i || '].state.priority', o_orderpriority FROM o WHERE i < 50 UNION ALL SELECT DISTINCT key, 'n', CAST(n AS VARCHAR) FROM o""",
     "search_hits": """SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name || ' ' || c_mktsegment AS text FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'er#00000001')
       UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE contains(lower(s_name), 'er#00000001') UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'er#00000001')""",
+    "graph_density": f"WITH {_PAIRS_SQL}, n AS (SELECT count(DISTINCT node) AS nodes FROM ser) SELECT nodes, (SELECT count(*) FROM edges) AS edges, round(2 * (SELECT count(*) FROM edges) / nullif(nodes * (nodes - 1), 0), 6) AS density, (SELECT round(avg((src % 2 = dst % 2)::INTEGER), 6) FROM edges) AS purity FROM n",
+    "instrument_mentions": "WITH w AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS w FROM part) SELECT n.name, count(*) AS n FROM w JOIN (VALUES ('Red'), ('Blue'), ('Ring')) n(name) ON lower(n.name) = w.w GROUP BY 1",
+    "case_documents": f"""WITH {PANEL_SQL}, {STATE_SQL}, {_EV}, cl AS (SELECT date, sector, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols, round(max(abs(ret_1)), 6) AS severity, count(*) AS n_events FROM panel WHERE abs(ret_1) > 3 GROUP BY 1, 2 ORDER BY severity DESC, n_events DESC, date, sector LIMIT 40),
+      sd AS (SELECT date, round(avg(round(c, 6)), 6) AS conflict, count(*) AS n FROM ev GROUP BY 1) SELECT concat_ws('-', 'case', CAST(cl.date AS VARCHAR), sector) AS case_id, symbols, severity, n_events, conflict, n::INTEGER AS n_evidence FROM cl LEFT JOIN sd USING (date)""",
 }
