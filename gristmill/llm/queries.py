@@ -42,16 +42,16 @@ SAMPLES = 2
 
 
 def segment_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, sample, n_pieces, ids, log_prob, log_inclusion, round_trip): the samples of each document, and
-    whether their pieces decode to its text."""
-    model = tokenizer("piece_bpe_32k.model")
-    check = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("check")
-    drawn = segmentations.decode(segmentations.sample_segmentations(docs, model, SAMPLES, keep=(check,)), model, to="decoded")
-    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "log_inclusion", (F.crc32(F.col("decoded").cast("binary")) == F.col("check")).alias("round_trip"))
+    """(doc_id, sample, ids, log_prob, log_inclusion, round_trip): the samples of each document, and whether their
+    pieces decode to its text."""
+    return segmentations.sample_segmentations(docs, tokenizer("piece_bpe_32k.model"), SAMPLES)
 
 
 def op5_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_documents(table(spark, sf_dir, "documents"))
+    """The samples with a hash for the ids: (doc_id, sample, n_pieces, ids_hash, log_prob, log_inclusion,
+    round_trip)."""
+    drawn = segment_documents(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", "round_trip")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
 from gristmill.llm.storage import arrow_batches
 
 #: Distinct segments and arcs that a worker keeps; others are built when they come.
-KEPT, KEPT_ARCS = 400_000, 6_000_000
+KEPT, KEPT_ARCS = 100_000, 1_500_000
+#: Segments whose lattices are built together.
+BUILT = 2048
 U64 = np.uint64
 _GOLD, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
@@ -90,6 +92,13 @@ class Vocabulary:
         self.flat, self.flat_ends = flat, np.cumsum([len(b) for b in self.bytes_of])
         self.flat_sizes = np.array([len(b) for b in self.bytes_of], np.int64)
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of ids up to each end: the pieces' joined, without the space put before a text."""
+        sizes = self.flat_sizes[ids]
+        data = self.flat[ranges(self.flat_ends[ids] - sizes, sizes)].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])].tolist()
+        return [data[a + (data[a : a + 1] == b" " and a < b) : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
 
 class Lattices:
     """The lattices of distinct segments. A node is a place in a segment; its arcs lie together, likelier ones
@@ -100,27 +109,25 @@ class Lattices:
         self.table = textops.HashTable(KEPT)
         self.arcs = self.nodes = self.nodes_written = 0
         self.roots = np.zeros(KEPT, np.int64)
-        self._room(0, 1 << 16, 1 << 16)
+        self._room(1 << 16, 1 << 16)
+        self.first[0] = 0
 
-    def _room(self, used: int, nodes: int, arcs: int) -> None:
-        """Make room for more nodes and arcs after those kept."""
+    def _room(self, n: int, a: int) -> None:
+        """Make room for n nodes and a arcs."""
 
         def grown(old: np.ndarray | None, size: int, kind: type) -> np.ndarray:
             if old is not None and len(old) >= size:
                 return old
-            new = np.empty(max(size, 2 * len(old) if old is not None and len(old) < KEPT_ARCS else size), kind)
+            new = np.empty(max(size, len(old) + len(old) // 4 if old is not None else 0), kind)
             if old is not None:
                 new[: len(old)] = old
             return new
 
-        a, n = self.arcs + arcs, self.nodes + nodes + 1
         self.first = grown(getattr(self, "first", None), n, np.int32)
         self.cdf = grown(getattr(self, "cdf", None), a, np.float32)
         self.log_q = grown(getattr(self, "log_q", None), a, np.float32)
         self.piece = grown(getattr(self, "piece", None), a, np.int32)
         self.next = grown(getattr(self, "next", None), a, np.int32)
-        if self.nodes == 0:
-            self.first[0] = 0
 
     def find(self, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The root node of each segment, building those that aren't kept."""
@@ -131,17 +138,23 @@ class Lattices:
         if len(missing):
             new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
             at = missing[first]
-            roots, nodes, arcs = self._build(data, s[at], e[at])
+            nodes, arcs, roots = self.nodes, self.arcs, []
+            for i in range(0, len(at), BUILT):
+                own = at[i : i + BUILT]
+                more, n, m = self._build(data, s[own], e[own], nodes, arcs)
+                roots.append(more)
+                nodes, arcs = nodes + n, arcs + m
+            roots = np.concatenate(roots)
+            self.nodes_written = nodes
             out[missing] = roots[inverse]
-            if self.table.n + len(new) <= KEPT and self.arcs + arcs <= KEPT_ARCS:
+            if self.table.n + len(new) <= KEPT and arcs <= KEPT_ARCS:
                 self.roots[self.table.n : self.table.n + len(new)] = roots
                 self.table.add(new)
-                self.nodes += nodes
-                self.arcs += arcs
+                self.nodes, self.arcs = nodes, arcs
         return out
 
-    def _build(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, int, int]:
-        """Write the lattices of segments after those kept: roots, nodes, arcs."""
+    def _build(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, base: int, arcs: int) -> tuple[np.ndarray, int, int]:
+        """Write the lattices of segments from node ``base`` and arc ``arcs`` on: roots, and how many of each."""
         v, sizes = self.v, e - s
         buf = data[ranges(s, sizes)]
         n = len(buf)
@@ -184,17 +197,15 @@ class Lattices:
         log_q = value - total[at]
         order = np.lexsort((piece, -log_q, at))
         at, piece, target, final, log_q = at[order], piece[order], target[order], final[order], log_q[order]
-        self._room(0, n, len(at))
+        self._room(base + n + 1, arcs + len(at))
         counts = np.bincount(at, minlength=n)
-        offsets = self.arcs + np.concatenate([[0], np.cumsum(counts)])
-        base = self.nodes
-        self.nodes_written = base + n
+        offsets = arcs + np.concatenate([[0], np.cumsum(counts)])
         self.first[base : base + n + 1] = offsets
         summed = np.cumsum(np.exp(log_q))
-        before = np.concatenate([[0], summed])[offsets[:-1] - self.arcs]
+        before = np.concatenate([[0], summed])[offsets[:-1] - arcs]
         cdf = summed - before[at]
         cdf[np.flatnonzero(np.r_[at[1:] != at[:-1], True])] = 2
-        a = slice(self.arcs, self.arcs + len(at))
+        a = slice(arcs, arcs + len(at))
         self.cdf[a], self.log_q[a], self.piece[a] = cdf, np.minimum(log_q, 0), piece
         self.next[a] = np.where(final, -1, base + target)
         return base + ends - sizes, n, len(at)
@@ -389,43 +400,45 @@ def log_inclusion(log_p: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     return np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.clip(x, -30, 30)))))
 
 
-def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Rows (id_col, sample, ids, log_prob, log_inclusion, *keep): up to ``samples`` distinct segmentations of
+def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, sample, ids, log_prob, log_inclusion, round_trip): up to ``samples`` distinct segmentations of
     each text in the order drawn. ``log_inclusion`` is the log of the chance to be among the samples, given the
-    best that isn't.
+    best that isn't. ``round_trip`` tells that the ids decode to the text again, as they do unless it holds the
+    mark U+2581, which stands for a space.
 
     A text with fewer segmentations has fewer rows; the empty or null text has one row with no ids. Rows with
-    equal ids and texts get equal samples; a null id counts as one key. Texts are taken whole. ``keep``: named
-    columns over ``docs`` that are carried along; other columns are not read."""
+    equal ids and texts get equal samples; a null id counts as one key. Texts are taken whole; other
+    columns are not read."""
     arrow_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), *keep)
-    extra = own.columns[3:]
-    types = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in extra)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = sampler(model, alpha)
         for batch in batches:
             column = textops.text_column(batch.column(1))
             keys = batch.column(2).to_numpy().astype(np.int64).view(U64)
-            for a, b in textops.pieces(textops.raw(column)[1], 1 << 19):
-                paths, _, threshold = draw.sample(column.slice(a, b - a), keys[a:b], samples)
+            for a, b in textops.pieces(textops.raw(column)[1], 1 << 17):
+                part = column.slice(a, b - a)
+                data, offsets = textops.raw(part)
+                data, offsets = data.tobytes(), offsets.tolist()
+                paths, _, threshold = draw.sample(part, keys[a:b], samples)
                 for i, p in enumerate(paths):
                     rows = np.arange(b - a) if i == 0 else np.flatnonzero(p.sizes > 0)
-                    offsets = np.concatenate([[0], p.ends[rows]]).astype(np.int32)
-                    at = pa.array(rows + a)
+                    ids, ends = draw.lattices.piece[p.arc], p.ends[rows]
+                    same = [t == data[offsets[r] : offsets[r + 1]] for r, t in zip(rows.tolist(), draw.v.texts(ids, ends), strict=True)]
                     yield pa.record_batch(
                         [
-                            batch.column(0).take(at),
+                            batch.column(0).take(pa.array(rows + a)),
                             pa.array(np.full(len(rows), i + 1, np.int32)),
-                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(draw.lattices.piece[p.arc])),
+                            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids)),
                             pa.array(p.log_p[rows]),
                             pa.array(log_inclusion(p.log_p, threshold)[rows]),
-                            *(batch.column(3 + j).take(at) for j in range(len(extra))),
+                            pa.array(same, pa.bool_()),
                         ],
-                        names=["id", "sample", "ids", "log_prob", "log_inclusion", *extra],
+                        names=["id", "sample", "ids", "log_prob", "log_inclusion", "round_trip"],
                     )
 
-    out = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, log_inclusion double{types}")
+    out = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, log_inclusion double, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -441,13 +454,8 @@ def decode(segmentations: DataFrame, model: str, ids_col: str = "ids", to: str =
         v = sampler(model, 1.0).v
         for batch in batches:
             lists = batch.column(place).fill_null([])
-            ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            sizes = v.flat_sizes[ids]
-            data = v.flat[ranges(v.flat_ends[ids] - sizes, sizes)]
-            cuts = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[ends]]).astype(np.int64)
-            begins = cuts[:-1] + np.array([b > a and data[a] == 32 for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
-            whole = data.tobytes()
-            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(begins.tolist(), cuts[1:].tolist(), strict=True)]
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            texts = [t.decode("utf-8", "replace") for t in v.texts(lists.flatten().to_numpy(zero_copy_only=False), ends)]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return segmentations.mapInArrow(run, schema)
