@@ -86,10 +86,13 @@ def adaptive_ensemble(panel: DataFrame, members: tuple[str, ...], dates: int = 6
     return rows.select("symbol", "date", clip(p, 1e-4, 1 - 1e-4).alias("p_raw"), *((weight[m] / total).alias(f"w_{m}") for m in members))
 
 
-def regime_mixture(state: DataFrame, columns: list[str], k: int = 4, seed: int = 7, unsure: float = 0.55) -> DataFrame:
+def regime_mixture(state: DataFrame, columns: list[str], k: int = 4, seed: int = 7, unsure: float = 0.55, least: int = 250) -> DataFrame:
     """Gaussian mixture over the market's state, its components named by their centres: the most volatile, then the
-    lowest and highest trend if they fall and rise; TRANSITION where no name is likely enough."""
+    lowest and highest trend if they fall and rise; TRANSITION where no name is likely enough,
+    and throughout with fewer than ``least`` days."""
     rows = state.na.drop(subset=columns)
+    if rows.limit(least).count() < least:
+        return rows.select("date", F.lit("TRANSITION").alias("regime"), F.lit(0.0).alias("confidence"))
     steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     scaled = Pipeline(stages=steps).fit(rows).transform(rows)
     model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(scaled)
