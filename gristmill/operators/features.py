@@ -48,21 +48,22 @@ def forbid_future(columns: list[str]) -> None:
         raise ValueError(f"columns from the future among the features: {', '.join(bad)}")
 
 
-def ema(df: DataFrame, source: str, span: int, to: str) -> DataFrame:
-    """Exponential average with weight 2 / (span + 1), begun at the first value, by symbol and row number ``i``
-    from 0. Within a block a prefix sum has it; the block before comes in by its own sum, and what lies before
-    that weighs less than a double can hold for spans up to 26."""
-    b = 1 - 2 / (span + 1)
-    block = F.floor(F.col("i") / EMA_BLOCK)
-    at = F.col("i") - block * EMA_BLOCK
-    weight = F.when(F.col("i") == 0, 1.0).otherwise(1 - b)
-    scaled = weight * F.col(source) * F.pow(F.lit(b), -at)
-    inside = F.sum(scaled).over(Window.partitionBy("symbol", block).orderBy("i"))
-    # the sum of the block before, as seen from its end
-    total = F.pow(F.lit(b), F.lit(EMA_BLOCK)) * F.lag(F.sum(scaled).over(Window.partitionBy("symbol", block)), 1).over(by("symbol", order="i"))
-    df = df.withColumn("__t", total)
-    carried = F.first("__t").over(Window.partitionBy("symbol", block).orderBy("i"))
-    return df.withColumn(to, F.pow(F.lit(b), at) * (inside + F.coalesce(carried, F.lit(0.0)))).drop("__t")
+def emas(df: DataFrame, *series: tuple[str, int, str]) -> DataFrame:
+    """Exponential averages (source, span, to) with weight 2 / (span + 1), begun at the first value, by symbol and
+    row number ``i`` from 0. Within a block a prefix sum has it; the block before comes in by its own sum, and
+    what lies before that weighs less than a double can hold for spans up to 26. All series of a call share
+    one sort."""
+    block, at = F.floor(F.col("i") / EMA_BLOCK), F.col("i") % EMA_BLOCK
+    df = df.withColumn("block", block)
+    inside = Window.partitionBy("symbol", "block").orderBy("i")
+    last = Window.partitionBy("symbol").orderBy("block").rangeBetween(-1, -1)
+    out = {}
+    for source, span, to in series:
+        b = 1 - 2 / (span + 1)
+        scaled = F.when(F.col("i") == 0, 1.0).otherwise(1 - b) * F.col(source) * F.pow(F.lit(b), -at)
+        carried = F.coalesce(F.sum(scaled).over(last), F.lit(0.0)) * b**EMA_BLOCK
+        out[to] = F.pow(F.lit(b), at) * (F.sum(scaled).over(inside) + carried)
+    return df.withColumns(out).drop("block")
 
 
 def price_features(bars: DataFrame) -> DataFrame:
@@ -92,8 +93,8 @@ def price_features(bars: DataFrame) -> DataFrame:
             "avg_loss": rolling(F.avg, "loss", 14, W()),
         }
     )
-    rolled = ema(ema(rolled, "close", 12, "ema_12"), "close", 26, "ema_26")
-    rolled = ema(rolled.withColumn("macd", F.col("ema_12") - F.col("ema_26")), "macd", 9, "macd_signal")
+    rolled = emas(rolled, ("close", 12, "ema_12"), ("close", 26, "ema_26"))
+    rolled = emas(rolled.withColumn("macd", F.col("ema_12") - F.col("ema_26")), ("macd", 9, "macd_signal"))
     c = F.col
     return rolled.withColumns(
         {

@@ -22,7 +22,7 @@ def test_ema_equals_pandas(spark):
     random.seed(1)
     x = [random.uniform(10, 20) for _ in range(2500)]  # several blocks
     df = bars(spark, x).withColumn("i", F.row_number().over(features.W()) - 1)
-    got = [r["e"] for r in features.ema(df, "close", 12, "e").orderBy("date").collect()]
+    got = [r["e"] for r in features.emas(df, ("close", 12, "e")).orderBy("date").collect()]
     want = pd.Series(x).ewm(span=12, adjust=False).mean()
     assert max(abs(a - b) for a, b in zip(got, want)) < 1e-9
 
