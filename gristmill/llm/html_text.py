@@ -132,6 +132,12 @@ LABELLED = """
 2 0.00 1 1.00 2 0.00 0 1 1
 15 0.10 26 0.00 1 0.00 0 1 1
 14 0.72 33 0.00 2 0.00 0 1 1
+13 0.00 42 0.00 3 0.00 0 0 1
+12 0.00 35 0.00 0 0.00 0 0 1
+15 0.00 22 0.00 4 0.00 0 0 1
+14 0.00 3 0.00 3 0.00 0 0 1
+9 0.00 31 0.00 1 1.00 0 0 0
+10 0.00 28 0.00 0 0.00 0 0 0
 """
 
 #: HTML's elements by their part in a page, and words of classes, ids and roles.
