@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
-from gristmill.llm.storage import arrow_batches, materialize
+from gristmill.llm.storage import arrow_batches, map_arrow, materialize
 
 #: Words of a passage; a window is two of them. Latent places, and extra ones of the random start.
 PASSAGE, RANK, OVERSAMPLE = 8, 96, 16
@@ -93,7 +93,7 @@ def _number_texts(docs: DataFrame, items: Items) -> DataFrame:
                 base += b - a
             yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["id", "words"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, words binary")
+    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, words binary")
 
 
 class Weights:
@@ -172,7 +172,7 @@ def _text_groups(batches: Iterator[pa.RecordBatch], column: int, kind: type, mos
 
 def _summed(df: DataFrame, run, width: int, n_words: int) -> np.ndarray:
     """The sum over tasks of their (n_words x width) tables, added up by rows of the table."""
-    sums = df.mapInArrow(run, "row long, v array<double>").groupBy("row").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)))
+    sums = map_arrow(df, run, "row long, v array<double>").groupBy("row").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)))
     found, out = sums.toArrow(), np.zeros((n_words, width))
     if found.num_rows:
         rows = found["row"].to_numpy()
@@ -355,7 +355,7 @@ def _matches(numbered: DataFrame, matcher: Matcher, kind: type, item_type) -> Da
             )
 
     kind_of = "long" if pa.types.is_int64(arrow_type) else "string"
-    return numbered.mapInArrow(run, f"id {numbered.schema['id'].dataType.simpleString()}, item {kind_of}, common_words long, item_words long, cosine double, kind string")
+    return map_arrow(numbered, run, f"id {numbered.schema['id'].dataType.simpleString()}, item {kind_of}, common_words long, item_words long, cosine double, kind string")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

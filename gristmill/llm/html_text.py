@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
-from gristmill.llm.storage import arrow_batches
+from gristmill.llm.storage import arrow_batches, map_arrow
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article")
 #: Labelled blocks: FEATURES, then 1 for main text. Fixed by hand from typical pages: menus, mastheads, bylines,
@@ -349,5 +349,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    out = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, url string, text string, n_chars long")
+    out = map_arrow(own, run, f"id {own.schema['id'].dataType.simpleString()}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

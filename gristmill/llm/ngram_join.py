@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from gristmill.llm import textops
 from gristmill.llm.components import connected_components
-from gristmill.llm.storage import arrow_batches, broadcast_if_small, materialize
+from gristmill.llm.storage import arrow_batches, broadcast_if_small, map_arrow, materialize
 
 #: Sets of one trie.
 BLOCK = 512
@@ -102,7 +102,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sid2, pa.int64()), _lists(prefix)], names=["id", "n", "sid", "sid2", "prefix"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, n long, sid long, sid2 long, prefix array<long>")
+    return map_arrow(docs, run, f"id {id_type}, n long, sid long, sid2 long, prefix array<long>")
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
                     sid.append(w), tokens.append(x)
             yield pa.record_batch([pa.array(sid, pa.int64()), pa.array([len(x) for x in tokens], pa.int64()), _lists(tokens)], names=["sid", "n", "tokens"])
 
-    return docs.mapInArrow(run, "sid long, n long, tokens array<long>")
+    return map_arrow(docs, run, "sid long, n long, tokens array<long>")
 
 
 class Trie:

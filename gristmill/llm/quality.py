@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
-from gristmill.llm.storage import arrow_batches, materialize
+from gristmill.llm.storage import arrow_batches, map_arrow, materialize
 
 #: Rows of the table of vectors: words first, then forms. Places of a vector. Neighbours on either side.
 WORD_ROWS, FORM_ROWS, PLACES, WINDOW = 1 << 15, 1 << 12, 32, 2
@@ -74,7 +74,7 @@ def _context_sums(texts: DataFrame) -> DataFrame:
             some = used[i : i + 4096]
             yield pa.record_batch([pa.array(some, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(table[some].reshape(-1)), PLACES).cast(pa.list_(pa.int64()))], names=["row", "v"])
 
-    sums = texts.mapInArrow(run, "row long, v array<long>")
+    sums = map_arrow(texts, run, "row long, v array<long>")
     return sums.groupBy("row").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(PLACES)))
 
 
@@ -134,7 +134,7 @@ def document_features(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id"
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "features"])
 
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, features array<float>")
+    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, features array<float>")
 
 
 @dataclass
@@ -221,7 +221,7 @@ def score(features: DataFrame, net: Network) -> DataFrame:
             x = batch.column(1).flatten().to_numpy().astype(float).reshape(-1, N_FEATURES)
             yield pa.record_batch([batch.column(0), pa.array(net.score(x), pa.float64())], names=["id", "score"])
 
-    return features.mapInArrow(run, f"id {features.schema['id'].dataType.simpleString()}, score double")
+    return map_arrow(features, run, f"id {features.schema['id'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
-from gristmill.llm.storage import arrow_batches
+from gristmill.llm.storage import arrow_batches, map_arrow
 
 #: Distinct segments and arcs that a worker keeps; others are built when they come.
 KEPT, KEPT_ARCS = 100_000, 1_500_000
@@ -438,7 +438,7 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, alpha: f
                         names=["id", "sample", "ids", "log_prob", "log_inclusion", "round_trip"],
                     )
 
-    out = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, log_inclusion double, round_trip boolean")
+    out = map_arrow(own, run, f"id {own.schema['id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, log_inclusion double, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -458,4 +458,4 @@ def decode(segmentations: DataFrame, model: str, ids_col: str = "ids", to: str =
             texts = [t.decode("utf-8", "replace") for t in v.texts(lists.flatten().to_numpy(zero_copy_only=False), ends)]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return segmentations.mapInArrow(run, schema)
+    return map_arrow(segmentations, run, schema)

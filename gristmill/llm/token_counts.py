@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
-from gristmill.llm.storage import arrow_batches
+from gristmill.llm.storage import arrow_batches, map_arrow
 
 #: Words and pretokens whose counts a worker keeps.
 KEPT = 400_000
@@ -147,4 +147,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return map_arrow(docs, run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
-from gristmill.llm.storage import arrow_batches, new_path
+from gristmill.llm.storage import arrow_batches, map_arrow, new_path
 
 MAGIC = b"DAC1"
 #: Ids after which a segment ends (with the document that reaches them).
@@ -204,7 +204,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
         if ids:
             yield segment()
 
-    ranged.mapInArrow(run, "part int, seq long, doc_ids array<long>, lengths array<long>, codes binary").write.parquet(path)
+    map_arrow(ranged, run, "part int, seq long, doc_ids array<long>, lengths array<long>, codes binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +235,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     # the files' codes stay where they are read; only a number for each segment meets them
     placed = stored.join(F.broadcast(starts), ["part", "seq"]) if starts.count() <= 1 << 20 else stored.join(starts, ["part", "seq"])
-    return placed.select("doc_ids", "lengths", "codes", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(placed.select("doc_ids", "lengths", "codes", "start"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
