@@ -27,7 +27,7 @@ from gristmill.llm import textops
 from gristmill.llm.storage import arrow_batches, map_arrow
 
 #: Distinct segments and arcs that a worker keeps; others are built when they come.
-KEPT, KEPT_ARCS = 100_000, 1_500_000
+KEPT, KEPT_ARCS = 150_000, 2_500_000
 #: Segments whose lattices are built together.
 BUILT = 2048
 U64 = np.uint64
