@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gristmill.llm import textops
 from gristmill.llm.components import connected_components
@@ -347,7 +346,3 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
   CAST(coalesce(z.copies, 1) AS BIGINT) AS class_copies
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN z USING (doc_id)
 """
-
-
-def schema() -> T.StructType:
-    return T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("component_id", T.LongType()), T.StructField("class_copies", T.LongType())])
