@@ -38,7 +38,8 @@ def breadth(bars: DataFrame, dead_band: float = 0.0) -> DataFrame:
 
 def terms_local(text: Column) -> Column:
     """Distinct words: split at white space and apostrophes, letters only, four or more, no stop words."""
-    words = F.transform(F.split(F.lower(F.replace(text, F.lit("'"), F.lit(" "))), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]", ""))
+    # all but letters and white space goes in one pass over the text, not word by word
+    words = F.split(F.regexp_replace(F.lower(F.replace(text, F.lit("'"), F.lit(" "))), r"[^\p{L}\s]", ""), r"\s+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(STOP_LOCAL)))
 
 
