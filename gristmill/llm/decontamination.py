@@ -6,13 +6,14 @@
    X, then for the orthonormal basis of the sum, and a small eigenproblem is left for the driver. Both sums
    have one row for each word of the benchmark, whatever the corpus.
 3. Windows of two neighbouring passages are compared with those of the benchmark by cosine in the latent
-   space. A window with little weight in the benchmark's words has a low cosine with every item, whatever
-   the directions, and is passed by.
+   space, where a region that such a window points at has enough of some item's rarer words: an item that
+   passes step 4 leaves at least so many there, however large the corpus is.
 4. A candidate is checked at the place where it aligns: the longest common subsequence of words with the
    item, and, for paraphrases, whether the item's answer (its rarest words) is there too."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +27,14 @@ from gristmill.llm.storage import arrow_batches, map_arrow, materialize
 
 #: Words of a passage; a window is two of them. Latent places, and extra ones of the random start.
 PASSAGE, RANK, OVERSAMPLE = 8, 96, 16
-#: Least share of a window's squared weight in the benchmark's words (its cosine with any item is at most the
-#: root of it), least cosine of a candidate.
-KNOWN, COSINE = 0.2, 0.5
+#: Least cosine of a candidate.
+COSINE = 0.3
 #: Least share of an item's words in order: for a leak as it is, and for one whose answer is there too.
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.5, 0.5
 #: Items that are looked for at once; more are taken in blocks.
 ITEM_BLOCK = 4096
+#: Words of a benchmark up to which a task adds up products of words in a square table (200 MB at most).
+GRAM_WORDS = 5000
 U64 = np.uint64
 
 
@@ -97,20 +99,17 @@ def _number_texts(docs: DataFrame, items: Items) -> DataFrame:
 
 
 class Weights:
-    """TF-IDF weights of word numbers. A word that the benchmark doesn't have, number 0, weighs as the rarest
-    do; it has no place in the benchmark's space but counts in a passage's length."""
+    """TF-IDF weights of word numbers. A word that the benchmark doesn't have, number 0, has none."""
 
     def __init__(self, counts: np.ndarray, passages: float):
         """``counts``: occurrences of each word in the corpus."""
         self.idf = np.log((passages + 2) / (counts + 1)).clip(0.1)
-        other = np.log(passages + 2)
-        self.known, self.all = np.concatenate([[0.0], self.idf**2]), np.concatenate([[other**2], self.idf**2])
 
 
 class Runs:
     """Many texts end to end, cut at each text's start and every PASSAGE words."""
 
-    def __init__(self, texts: list[np.ndarray], weights: Weights):
+    def __init__(self, texts: list[np.ndarray]):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.words = np.concatenate(texts).astype(np.int64)
         self.ends = np.cumsum(sizes)
@@ -119,26 +118,21 @@ class Runs:
         self.text = np.repeat(np.arange(len(texts)), count)
         first = np.cumsum(count) - count
         self.starts = self.begins[self.text] + PASSAGE * (np.arange(len(self.text)) - first[self.text])
-        self.known = np.add.reduceat(weights.known[self.words], self.starts)
-        self.whole = np.add.reduceat(weights.all[self.words], self.starts)
 
     def passages(self) -> tuple[np.ndarray, np.ndarray]:
-        """Passage and number less 1 of each known word in the passages that are in the benchmark's space for
-        a good part."""
-        near = np.flatnonzero(self.known >= KNOWN * self.whole)
-        at, row = self._places(near, PASSAGE)
-        words = self.words[at]
-        return row[words > 0], words[words > 0] - 1
-
-    def windows(self) -> np.ndarray:
-        """Passages that begin a window (of them and the next of their text) that is so."""
-        known, whole = self.known.copy(), self.whole.copy()
-        with_next = np.flatnonzero(self.text[1:] == self.text[:-1])
-        known[with_next] += self.known[with_next + 1]
-        whole[with_next] += self.whole[with_next + 1]
+        """Passage and number less 1 of each word that the benchmark has."""
+        at = np.flatnonzero(self.words)
+        return np.searchsorted(self.starts, at, side="right") - 1, self.words[at] - 1
+
+    def windows(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Passages that begin a window (of them and the next of their text) at a word from one of ``low`` to its
+        ``high``."""
+        inside = np.zeros(len(self.starts) + 1, np.int64)
+        np.add.at(inside, np.searchsorted(self.starts, low), 1)
+        np.add.at(inside, np.searchsorted(self.starts, high, side="right"), -1)
         last = np.r_[self.text[1:] != self.text[:-1], True]
         alone = np.r_[True, self.text[1:] != self.text[:-1]]
-        return np.flatnonzero((known >= KNOWN * whole) & (~last | alone))
+        return np.flatnonzero((np.cumsum(inside)[:-1] > 0) & (~last | alone))
 
     def _places(self, passages: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words from each passage's start, ``size`` of them or to the text's end."""
@@ -224,14 +218,34 @@ def _projected(numbered: DataFrame, items: Items, weights: Weights, basis: np.nd
         words, at = np.unique(w[order], return_index=True)
         table[words] += np.add.reduceat(weight[order][:, None] * y[row], at, axis=0)
 
+    def add_products(runs: Runs, gram: np.ndarray) -> None:
+        """The same as a sum of A'A, half of it: each pair of words in a passage once, a word with itself by half."""
+        p, w = runs.passages()
+        idf, square, pairs = weights.idf[w], np.zeros(len(runs.starts)), []
+        for d in range(min(PASSAGE, len(p))):
+            at = np.flatnonzero(p[d:] == p[: len(p) - d])
+            x = idf[at] * idf[at + d] * (1 if d else 0.5)
+            same = w[at] == w[at + d]
+            square += np.bincount(p[at[same]], 2 * x[same], len(square))
+            pairs.append((at, d, x))
+        for at, d, x in pairs:
+            np.add.at(gram, w[at] * n_words + w[at + d], x / square[p[at]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((n_words, width))
-        for _, _, texts in _text_groups(batches, 0, kind):
-            add(Runs(texts, weights), table)
+        if n_words <= GRAM_WORDS:
+            gram = np.zeros(n_words * n_words)
+            for _, _, texts in _text_groups(batches, 0, kind):
+                add_products(Runs(texts), gram)
+            gram = gram.reshape(n_words, n_words)
+            table = gram @ basis + gram.T @ basis
+        else:
+            table = np.zeros((n_words, width))
+            for _, _, texts in _text_groups(batches, 0, kind, 1 << 17):
+                add(Runs(texts), table)
         yield from _table_batches(table)
 
     out = _summed(numbered.select("words"), run, width, n_words)
-    add(Runs(items.words, weights), out)
+    add(Runs(items.words), out)
     return out
 
 
@@ -276,7 +290,7 @@ class Matcher:
         for i, words in enumerate(items.words):
             # windows at every other word, so that one of a text is at most a word off
             for at in range(0, max(1, len(words) - 2 * PASSAGE + 1), 2):
-                vectors.append(Runs([words[at : at + 2 * PASSAGE]], weights).vectors(np.zeros(1, int), self.latent)[0])
+                vectors.append(Runs([words[at : at + 2 * PASSAGE]]).vectors(np.zeros(1, int), self.latent)[0])
                 self.owner.append(i), self.offset.append(at)
             rare = sorted(set(words.tolist()), key=lambda w: (-weights.idf[w - 1], w))
             self.answers.append(frozenset(rare[: max(3, len(words) // 4)]))
@@ -285,11 +299,46 @@ class Matcher:
         self.lists = [w.tolist() for w in items.words]
         self.counts = [{w: x.count(w) for w in x} for x in self.lists]
         self.sets = [frozenset(x) for x in self.lists]
+        self._rarer_words()
+
+    def _rarer_words(self) -> None:
+        """What an accepted region has at least: a paraphrase half of the answer's words, a verbatim leak all but
+        3 in 10 of the item's places. So of an item's rarest words that fill these places and half an answer more,
+        either leaves ``need`` in its region. ``of`` lists the items that have word w so at first[w] to first[w + 1]."""
+        goals = np.array([len(x) for x in self.lists])
+        self.slack = np.maximum(PASSAGE, goals // 4)
+        self.need, words, owners = np.zeros(len(goals), np.int64), [], []
+        for i, (goal, answer) in enumerate(zip(self.lists, self.answers, strict=True)):
+            self.need[i] = math.ceil(ANSWER * len(answer))
+            places, left = 0, len(goal) - math.ceil(VERBATIM * len(goal)) + self.need[i]
+            for k, w in enumerate(sorted(self.sets[i], key=lambda w: (-self.weights.idf[w - 1], w))):
+                if places >= left and k >= len(answer):
+                    break
+                places += self.counts[i][w]
+                words.append(w), owners.append(i)
+        order = np.argsort(words, kind="stable")
+        self.of = np.array(owners, np.int64)[order]
+        self.first = np.searchsorted(np.array(words)[order], np.arange(len(self.items.hashes) + 2))
+        self.goals = goals
+
+    def regions(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word at which a window may begin that points at a region with enough of an item's rarer
+        words."""
+        first, many = self.first[runs.words], self.first[runs.words + 1] - self.first[runs.words]
+        at = np.repeat(np.arange(len(runs.words)), many)
+        item = self.of[np.arange(len(at)) + np.repeat(first - (np.cumsum(many) - many), many)]
+        order = np.argsort(item.astype(np.uint16), kind="stable")
+        at, item = at[order], item[order]
+        end = np.minimum(np.arange(len(at)) + self.need[item] - 1, len(at) - 1)
+        enough = (np.arange(len(at)) + self.need[item] <= len(at)) & (item[end] == item)
+        here = np.flatnonzero(enough & (at[end] - at < (self.goals + 2 * self.slack)[item]))
+        begin, end, goal, slack = at[here], at[end[here]], self.goals[item[here]], self.slack[item[here]]
+        return end - goal - slack + 1, begin + slack + np.maximum(goal - 2 * PASSAGE, 0)
 
     def candidates(self, runs: Runs) -> dict[int, dict[int, list[tuple[float, int]]]]:
         """For each text and item, (cosine, place in the text where the item would begin)."""
         out: dict[int, dict[int, list[tuple[float, int]]]] = {}
-        near = runs.windows()
+        near = runs.windows(*self.regions(runs))
         for a in range(0, len(near), 2048):
             at = near[a : a + 2048]
             cosine = runs.vectors(at, self.latent) @ self.vectors
@@ -305,7 +354,7 @@ class Matcher:
     def find(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, float, str]]:
         """(text, item, common words in order, cosine, kind) of the items that texts hold."""
         out = []
-        for t, by_item in sorted(self.candidates(Runs(texts, self.weights)).items()):
+        for t, by_item in sorted(self.candidates(Runs(texts)).items()):
             for item, places in sorted(by_item.items()):
                 best = self._check(texts[t], item, places)
                 if best:

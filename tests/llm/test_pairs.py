@@ -133,6 +133,36 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert exact <= got and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("times", [1, 10**6])
+def test_paraphrases_are_found_however_large_the_corpus(times):
+    bench = items(20)
+    block = decontamination.read_items(bench)
+    n = len(block.hashes)
+    texts, want = [], set()
+    for k, words in enumerate(block.words):
+        leak = words.astype(np.uint16)
+        leak[np.arange(len(leak)) % 5 % 2 == 1] = 0  # two of five words replaced by words that no item has
+        texts.append(np.concatenate([np.zeros(40, np.uint16), leak, np.zeros(40, np.uint16)]))
+        if sum(leak > 0) >= decontamination.PARAPHRASE * len(leak):
+            want.add((k, k))
+    weights = decontamination.Weights(np.full(n, 5.0 * times), 1000.0 * times)
+    found = {(t, i) for t, i, *_ in decontamination.Matcher(block, weights, np.eye(n)).find(texts)}
+    assert len(want) == 20
+    answered = {(k, k) for k, i in want if 2 * len(set(texts[k].tolist()) & (a := decontamination.Matcher(block, weights, np.eye(n)).answers[i])) >= len(a)}
+    assert len(answered) >= 10 and found == answered
+
+
+def test_projection_by_products_equals_that_by_passages(spark, monkeypatch):
+    block = decontamination.read_items(items(5))
+    n = len(block.hashes)
+    texts = [np.random.default_rng(k).integers(0, n + 1, 5 + k).astype(np.uint16) for k in range(60)] + [np.full(9, 3, np.uint16)]
+    numbered = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "words binary").repartition(3)
+    weights, basis = decontamination.Weights(np.arange(n) % 9.0, 100.0), np.random.default_rng(1).normal(size=(n, 6))
+    found = decontamination._projected(numbered, block, weights, basis, np.uint16)
+    monkeypatch.setattr(decontamination, "GRAM_WORDS", 0)
+    assert np.allclose(found, decontamination._projected(numbered, block, weights, basis, np.uint16), rtol=1e-4, atol=1e-4)
+
+
 def test_leaks_edges(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (None, "ONE, two three -- four five!")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
