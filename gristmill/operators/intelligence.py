@@ -164,16 +164,29 @@ def case_documents(clusters: DataFrame, evidence: DataFrame, states: DataFrame)
     return out.select(F.concat_ws("-", F.lit("case"), "date", "sector").alias("case_id"), "symbols", "severity", "n_events", "conflict", F.size("evidence").alias("n_evidence"), F.to_json(F.struct("evidence", "alike")).alias("document"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): the least node reachable. Labels spread along edges and jump to their label's own,
-    with lineage cut by a checkpoint each round."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
+def _minima(pairs: DataFrame) -> DataFrame:
+    """For each ``u``, every neighbour with the least of ``u`` and its neighbours."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
+    return pairs.join(least, "u")
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component): the least node reachable, by alternating large and small stars until nothing changes;
+    an error if that isn't so after ``rounds``. A checkpoint each round cuts the lineage."""
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").checkpoint()
+    current = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
+    before = None
     for _ in range(rounds):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("other"))
-        new = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("other", "component")).alias("component"), F.col("component").alias("old"))
-        new = new.checkpoint()
-        if not new.where("component <> old").limit(1).count():
+        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _minima(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        small = _minima(large)
+        small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
+        current = small.where("u <> v").distinct().checkpoint()
+        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-        labels = new.drop("old")
-    return labels.select("node", "component")
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return nodes.join(current, nodes["node"] == current["u"], "left").select("node", F.coalesce("v", "node").alias("component"))

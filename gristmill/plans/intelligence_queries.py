@@ -69,15 +69,23 @@ def degree_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.degrees(corr_edges(spark, sf_dir))
 
 
-def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the parts that were ordered together in the same small order, one chain an order."""
-    items = tb.read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", "l_partkey")
+def _part_components(spark: SparkSession, items: DataFrame) -> DataFrame:
     hubs = items.groupBy("l_orderkey").agg(F.min("l_partkey").alias("src"))
     _checkpoints(spark)
     edges = items.join(hubs, "l_orderkey").where("l_partkey <> src").select("src", F.col("l_partkey").alias("dst")).distinct()
     return it.components(edges)
 
 
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the parts that were ordered together, in every 40th order only, as its SQL twin has it."""
+    return _part_components(spark, tb.read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", "l_partkey"))
+
+
+def graph_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the parts that were ordered together, one star an order, over all orders."""
+    return _part_components(spark, tb.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
+
+
 def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _series(spark, sf_dir).select("node").distinct().withColumn("parity", F.col("node") % 2)
     return it.density(corr_edges(spark, sf_dir), nodes, "parity")
@@ -131,20 +139,28 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.explode("m").alias("name", "value")).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"))
 
 
-def flatten_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's orders as one nested document, as paths and values."""
-    orders = tb.read(spark, sf_dir, "orders").where("o_custkey <= 50")
+def _order_paths(orders: DataFrame) -> DataFrame:
     order = F.struct("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("state"))
     docs = orders.groupBy(F.col("o_custkey").alias("key")).agg(F.sort_array(F.collect_list(order)).alias("orders"), F.count("*").alias("n"))
     return tx.flatten_paths(docs)
 
 
+def flatten_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the customers up to 50, as its SQL twin has it, as one nested document each, as paths and values."""
+    return _order_paths(tb.read(spark, sf_dir, "orders").where("o_custkey <= 50"))
+
+
+def flatten_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as one nested document, as paths and values."""
+    return _order_paths(tb.read(spark, sf_dir, "orders"))
+
+
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = {"customer": (tb.read(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_mktsegment"]), "supplier": (tb.read(spark, sf_dir, "supplier"), "s_suppkey", ["s_name"]), "nation": (tb.read(spark, sf_dir, "nation"), "n_nationkey", ["n_name"])}
     return tx.search(frames, "Er#00000001")
 
 
-QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits, graph_density, graph_pagerank, instrument_mentions, case_documents)}
+QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits, graph_density, graph_pagerank, instrument_mentions, case_documents, graph_components_all, flatten_paths_all)}
 
 _S = f"WITH {FEATURES_SQL}, {STATE_SQL}"
 _PAIRS_SQL = """ser AS (SELECT (c_nationkey % 6)::BIGINT AS node, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -198,3 +214,4 @@ ORACLES = {
     "case_documents": f"""WITH {PANEL_SQL}, {STATE_SQL}, {_EV}, cl AS (SELECT date, sector, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols, round(max(abs(ret_1)), 6) AS severity, count(*) AS n_events FROM panel WHERE abs(ret_1) > 3 GROUP BY 1, 2 ORDER BY severity DESC, n_events DESC, date, sector LIMIT 40),
       sd AS (SELECT date, round(avg(round(c, 6)), 6) AS conflict, count(*) AS n FROM ev GROUP BY 1) SELECT concat_ws('-', 'case', CAST(cl.date AS VARCHAR), sector) AS case_id, symbols, severity, n_events, conflict, n::INTEGER AS n_evidence FROM cl LEFT JOIN sd USING (date)""",
 }
+ORACLES["flatten_paths_all"] = ORACLES["flatten_paths"].replace(" WHERE o_custkey <= 50", "")

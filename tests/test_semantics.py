@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import aggregates, decisions, features, intelligence, joins, metrics, sketches
+from gristmill.plans import intelligence_queries
 from gristmill.sources import lake as lk
 from gristmill.streaming import bus, state
 
@@ -105,6 +106,31 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in intelligence.components(edges).collect()} == {(i, 0) for i in range(9)} | {(20, 20), (21, 20)}
 
 
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 200)], "src long, dst long")
+    assert {tuple(r) for r in intelligence.components(edges).collect()} == {(i, 0) for i in range(101)} | {(200, 200)}
+
+
+def test_components_of_all_orders(spark, small):
+    lines = [tuple(r) for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    parts = {}
+    for order, part in lines:
+        parts.setdefault(order, set()).add(part)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for some in parts.values():
+        for x in some if len(some) > 1 else ():
+            a, b = sorted((root(min(some)), root(x)))
+            parent[b] = a
+    want = {(x, root(x)) for x in list(parent)}
+    assert {tuple(r) for r in intelligence_queries.graph_components_all(spark, small).collect()} == want
+
+
 def test_distinct_sketch(spark):
     got = sketches.fm_distinct(spark.range(40_000), "id", 1024).first()[0]
     assert abs(got - 40_000) / 40_000 < 0.35
