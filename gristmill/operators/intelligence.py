@@ -62,14 +62,16 @@ def pattern_library(state: DataFrame, horizon: int = 5) -> DataFrame:
     )
 
 
-def similar_states(state: DataFrame, columns: list[str], k: int = 3, apart: int = 20, least: int = 50) -> DataFrame:
-    """For each month's last day the k nearest earlier states by distance, at least ``apart`` sessions before and
-    scaled by what was known then. Days pair with months' ends only; a state's scale comes from its own past."""
+def similar_states(state: DataFrame, columns: list[str], k: int = 3, apart: int = 20, least: int = 50, days: DataFrame | None = None) -> DataFrame:
+    """For each of ``days`` (column date; each month's last if none are given) the k nearest earlier states by
+    distance, at least ``apart`` sessions before and scaled by what was known then. Days pair with those asked for
+    only; a state's scale comes from its own past."""
     w = _days()
     seen = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = state.na.drop(subset=columns).withColumn("i", F.row_number().over(w))
     rows = rows.withColumns({f"{n}_{c}": f(c).over(seen) for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))})
-    asks = rows.withColumn("last", F.lead("date", 1).over(w)).where("last is null or month(last) <> month(date)").where(F.col("i") > least + apart)
+    asks = rows.withColumn("last", F.lead("date", 1).over(w)).where("last is null or month(last) <> month(date)") if days is None else rows.join(days.select("date").distinct(), "date", "left_semi")
+    asks = asks.where(F.col("i") > least + apart)
     a, b = asks.alias("a"), rows.select("date", "i", *columns).alias("b")
     terms = [F.pow(safe_div(F.col(f"a.{c}") - F.col(f"b.{c}"), F.col(f"a.s_{c}")), 2) for c in columns]
     pairs = a.join(b, F.col("b.i") <= F.col("a.i") - apart).select(F.col("a.date").alias("date"), F.col("b.date").alias("match"), F.sqrt(sum(terms)).alias("distance"))

@@ -109,11 +109,23 @@ def instrument_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.mentions(parts, names).groupBy("name").agg(F.count("*").alias("n"))
 
 
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters of the days on which many symbols moved far, and the days that looked like theirs."""
+    moves = panel(spark, sf_dir).where("abs(ret_1) > 3").select("date", "sector", "symbol", F.abs("ret_1").alias("severity"), F.when(F.col("ret_1") > 0, "UP").otherwise("DOWN").alias("kind"))
+    clusters = ag.event_clusters(moves, 40)
+    return clusters, it.similar_states(state(spark, sf_dir), STATE_COLUMNS, days=clusters)
+
+
 def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of the days on which many symbols moved far."""
-    rows = panel(spark, sf_dir)
-    moves = rows.where("abs(ret_1) > 3").select("date", "sector", "symbol", F.abs("ret_1").alias("severity"), F.when(F.col("ret_1") > 0, "UP").otherwise("DOWN").alias("kind"))
-    return it.case_documents(ag.event_clusters(moves, 40), it.evidence(rows), it.similar_states(state(spark, sf_dir), STATE_COLUMNS)).drop("document")
+    clusters, states = _cases(spark, sf_dir)
+    return it.case_documents(clusters, it.evidence(panel(spark, sf_dir)), states).drop("document")
+
+
+def case_similar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similar days of each case that the documents of ``case_documents`` hold."""
+    clusters, states = _cases(spark, sf_dir)
+    return clusters.join(states, "date").select(F.concat_ws("-", F.lit("case"), "date", "sector").alias("case_id"), "match", "place", "distance")
 
 
 #: Words of which headlines are made for the queries on sentiment.
@@ -160,7 +172,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.search(frames, "Er#00000001")
 
 
-QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits, graph_density, graph_pagerank, instrument_mentions, case_documents, graph_components_all, flatten_paths_all)}
+QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits, graph_density, graph_pagerank, instrument_mentions, case_documents, graph_components_all, flatten_paths_all, case_similar_days)}
 
 _S = f"WITH {FEATURES_SQL}, {STATE_SQL}"
 _PAIRS_SQL = """ser AS (SELECT (c_nationkey % 6)::BIGINT AS node, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -215,3 +227,8 @@ ORACLES = {
       sd AS (SELECT date, round(avg(round(c, 6)), 6) AS conflict, count(*) AS n FROM ev GROUP BY 1) SELECT concat_ws('-', 'case', CAST(cl.date AS VARCHAR), sector) AS case_id, symbols, severity, n_events, conflict, n::INTEGER AS n_evidence FROM cl LEFT JOIN sd USING (date)""",
 }
 ORACLES["flatten_paths_all"] = ORACLES["flatten_paths"].replace(" WHERE o_custkey <= 50", "")
+ORACLES["case_similar_days"] = f"""WITH {PANEL_SQL}, {STATE_SQL}, cl AS (SELECT date, sector, round(max(abs(ret_1)), 6) AS severity, count(*) AS n_events FROM panel WHERE abs(ret_1) > 3 GROUP BY 1, 2 ORDER BY severity DESC, n_events DESC, date, sector LIMIT 40),
+  z0 AS (SELECT *, row_number() OVER (ORDER BY date) AS i, {_KNN_M} FROM state WHERE {' AND '.join(c + ' IS NOT NULL' for c in STATE_COLUMNS)}),
+  z2 AS (SELECT a.date, b.date AS match, sqrt({_KNN_D}) AS distance FROM z0 a JOIN z0 b ON b.i <= a.i - 20 WHERE a.i > 70 AND a.date IN (SELECT date FROM cl)),
+  z3 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY distance, match)::INTEGER AS place FROM z2)
+  SELECT concat_ws('-', 'case', CAST(cl.date AS VARCHAR), sector) AS case_id, match, place, round(distance, 6) AS distance FROM cl JOIN z3 USING (date) WHERE place <= 3"""

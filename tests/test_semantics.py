@@ -131,6 +131,18 @@ def test_components_of_all_orders(spark, small):
     assert {tuple(r) for r in intelligence_queries.graph_components_all(spark, small).collect()} == want
 
 
+def test_cases_have_similar_days_within_a_month(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(130)]
+    states = spark.createDataFrame([(d, float(i * 7 % 31)) for i, d in enumerate(days)], "date date, x double")
+    asked = spark.createDataFrame([(days[100],), (days[5],)], "date date")
+    got = intelligence.similar_states(states, ["x"], days=asked).orderBy("place").collect()
+    assert [(r["date"], r["match"]) for r in got] == [(days[100], days[100 - 31 * k]) for k in (3, 2, 1)]
+    clusters = asked.selectExpr("date", "'S' as sector", "'A' as symbols", "1.0 as severity", "1 as n_events")
+    said = asked.selectExpr("date", "'A' as symbol", "'SUPPORTED' as state", "1.0 as supporting", "0.0 as contradicting", "0.0 as conflict")
+    documents = intelligence.case_documents(clusters, said, intelligence.similar_states(states, ["x"], days=clusters)).collect()
+    assert [str(days[7]) in r["document"] for r in documents if "2020-04-10" in r["case_id"]] == [True]
+
+
 def test_distinct_sketch(spark):
     got = sketches.fm_distinct(spark.range(40_000), "id", 1024).first()[0]
     assert abs(got - 40_000) / 40_000 < 0.35
