@@ -86,16 +86,18 @@ def adaptive_ensemble(panel: DataFrame, members: tuple[str, ...], dates: int = 6
     return rows.select("symbol", "date", clip(p, 1e-4, 1 - 1e-4).alias("p_raw"), *((weight[m] / total).alias(f"w_{m}") for m in members))
 
 
-def regime_mixture(state: DataFrame, columns: list[str], k: int = 4, seed: int = 7, unsure: float = 0.55, least: int = 250) -> DataFrame:
+def regime_mixture(state: DataFrame, columns: list[str], k: int = 4, seed: int = 7, unsure: float = 0.55, least: int = 250, apply: DataFrame | None = None) -> DataFrame:
     """Gaussian mixture over the market's state, its components named by their centres: the most volatile, then the
     lowest and highest trend if they fall and rise; TRANSITION where no name is likely enough,
-    and throughout with fewer than ``least`` days."""
+    and throughout with fewer than ``least`` days. Scaler and mixture are fitted on ``state``; the days of ``apply``
+    are labelled, or those of ``state`` itself."""
     rows = state.na.drop(subset=columns)
+    days = rows if apply is None else apply.na.drop(subset=columns)
     if rows.limit(least).count() < least:
-        return rows.select("date", F.lit("TRANSITION").alias("regime"), F.lit(0.0).alias("confidence"))
+        return days.select("date", F.lit("TRANSITION").alias("regime"), F.lit(0.0).alias("confidence"))
     steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    scaled = Pipeline(stages=steps).fit(rows).transform(rows)
-    model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(scaled)
+    scaler = Pipeline(stages=steps).fit(rows)
+    model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(scaler.transform(rows))
     centres = [g.mean.toArray() for g in model.gaussians]
     trend, vol = columns.index("bench_trend_20"), columns.index("bench_vol_20")
     names = ["SIDEWAYS"] * len(centres)
@@ -106,7 +108,20 @@ def regime_mixture(state: DataFrame, columns: list[str], k: int = 4, seed: int =
     rest = [i for i in rest if names[i] == "SIDEWAYS"]
     if rest and centres[max(rest, key=lambda i: centres[i][trend])][trend] > 0:
         names[max(rest, key=lambda i: centres[i][trend])] = "BULL"
-    posterior = model.transform(scaled).withColumn("q", vector_to_array("probability"))
+    posterior = model.transform(scaler.transform(days)).withColumn("q", vector_to_array("probability"))
     by_name = [F.struct(sum((F.get("q", F.lit(i)) for i, n in enumerate(names) if n == name), F.lit(0.0)).alias("p"), F.lit(name).alias("name")) for name in sorted(set(names))]
     top = F.array_max(F.array(*by_name))
     return posterior.select("date", F.when(top["p"] < unsure, "TRANSITION").otherwise(top["name"]).alias("regime"), F.round(top["p"], 6).alias("confidence"))
+
+
+def regime_history(state: DataFrame, columns: list[str], first_months: int = 36, step_months: int = 6, least: int = 250, **settings) -> DataFrame:
+    """Regimes by mixtures that are refitted at each fold's cut, on earlier days only, and name the days up to the
+    next cut. Days before the first cut, and of folds with fewer than ``least`` earlier days, are left out."""
+    rows = state.na.drop(subset=columns).coalesce(1).sortWithinPartitions("date").cache()  # a row a day; its order sets the mixture's start
+    out = rows.select("date", F.lit("").alias("regime"), F.lit(0.0).alias("confidence")).limit(0)
+    for fold in folds(rows, first_months, step_months).orderBy("fold").collect():  # two rows a year
+        past = rows.where(F.col("date") < F.lit(fold["cut"]))
+        if past.limit(least).count() == least:
+            until = rows.where((F.col("date") >= F.lit(fold["cut"])) & (F.col("date") < F.lit(fold["until"])))
+            out = out.union(regime_mixture(past, columns, least=least, apply=until, **settings))
+    return out

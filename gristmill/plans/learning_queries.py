@@ -38,7 +38,7 @@ def adaptive_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regime_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ln.regime_mixture(state(spark, sf_dir), STATE_COLUMNS)
+    return ln.regime_history(state(spark, sf_dir), STATE_COLUMNS)
 
 
 QUERIES = {"walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_gmm": regime_gmm}

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import aggregates, decisions, features, intelligence, joins, metrics, sketches
+from gristmill.operators import aggregates, decisions, features, intelligence, joins, learning, metrics, sketches
 from gristmill.plans import intelligence_queries
 from gristmill.sources import lake as lk
 from gristmill.streaming import bus, state
@@ -143,6 +143,18 @@ def test_cases_have_similar_days_within_a_month(spark):
     assert [str(days[7]) in r["document"] for r in documents if "2020-04-10" in r["case_id"]] == [True]
 
 
+def test_regimes_use_no_future(spark):
+    random.seed(4)
+    columns = intelligence_queries.STATE_COLUMNS
+    rows = [(dt.date(2018, 1, 1) + dt.timedelta(days=4 * i), *(random.gauss(i // 90 % 2, 1) for _ in columns)) for i in range(380)]
+    states = spark.createDataFrame(rows, ", ".join(["date date", *(f"{c} double" for c in columns)]))
+    whole = {r["date"]: tuple(r) for r in learning.regime_history(states, columns).collect()}
+    cut = spark.createDataFrame(rows[:340], states.schema)  # ends in the second fold
+    part = {r["date"]: tuple(r) for r in learning.regime_history(cut, columns).collect()}
+    assert min(whole) >= dt.date(2021, 1, 1) and len(part) > 60
+    assert part == {d: whole[d] for d in part}
+
+
 def test_distinct_sketch(spark):
     got = sketches.fm_distinct(spark.range(40_000), "id", 1024).first()[0]
     assert abs(got - 40_000) / 40_000 < 0.35
