@@ -34,12 +34,12 @@ def estimator(kind: str):
     common = {"featuresCol": "x", "labelCol": "y"}
     return {
         "lr": lambda: LogisticRegression(**common, regParam=0.01, maxIter=25),
-        "rf": lambda: RandomForestClassifier(**common, numTrees=30, maxDepth=5, minInstancesPerNode=40, seed=7),
-        "gbt": lambda: GBTClassifier(**common, maxIter=8, maxDepth=3, seed=7),
+        "rf": lambda: RandomForestClassifier(**common, numTrees=300, maxDepth=7, minInstancesPerNode=40, seed=7),
+        "gbt": lambda: GBTClassifier(**common, maxIter=350, maxDepth=4, stepSize=0.045, subsamplingRate=0.85, seed=7),
     }[kind]()
 
 
-def walk_forward(panel: DataFrame, kind: str, columns: list[str], first_months: int = 36, step_months: int = 12) -> DataFrame:
+def walk_forward(panel: DataFrame, kind: str, columns: list[str], first_months: int = 36, step_months: int = 6) -> DataFrame:
     """Out-of-sample probabilities: each fold's model is fitted on rows whose outcome was known before its cut.
     Imputation and scaling are fitted on the same rows."""
     rows = panel.select("symbol", "date", "known_at", "y", *columns).cache()
@@ -54,19 +54,28 @@ def walk_forward(panel: DataFrame, kind: str, columns: list[str], first_months:
     return out
 
 
-def isotonic_rolling(panel: DataFrame, least: int = 1500, low: float = 0.01, high: float = 0.99, step_months: int = 12) -> DataFrame:
-    """Calibrated probabilities: refitted for each fold on what was known before it, p itself until there are
-    enough rows."""
+def isotonic_cuts(panel: DataFrame, least: int = 1500, every: int = 60) -> list:
+    """Every ``every``-th session from the first before which ``least`` outcomes are known."""
+    days = panel.select("date").distinct().select("date", F.lit(0).alias("n"), F.lit(1).alias("session"))
+    known = panel.where("known_at is not null and y is not null and p is not null").groupBy(F.col("known_at").alias("date")).agg(F.count("*").alias("n")).withColumn("session", F.lit(0))
+    before = Window.partitionBy(F.lit(0)).orderBy("date").rangeBetween(Window.unboundedPreceding, -1)  # two rows a day
+    counted = days.union(known).withColumn("date", F.unix_date("date")).withColumn("known", F.sum("n").over(before)).where((F.col("session") == 1) & (F.col("known") >= least))
+    ranked = counted.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)
+    return [r["cut"] for r in ranked.where(F.col("i") % every == 0).orderBy("date").select(F.date_from_unix_date("date").alias("cut")).collect()]
+
+
+def isotonic_rolling(panel: DataFrame, least: int = 1500, low: float = 0.01, high: float = 0.99, every: int = 60) -> DataFrame:
+    """Calibrated probabilities: refitted at every ``every``-th session on what was known before it, p itself until
+    there are ``least`` outcomes."""
     rows = panel.select("symbol", "date", "known_at", "p", "y").cache()
-    parts = folds(rows, 24, step_months).orderBy("fold").collect()  # a dozen rows
-    out = rows.where(F.col("date") < F.lit(parts[0]["cut"])).select("symbol", "date", "p", F.col("p").alias("p_cal"))
-    for fold in parts:
-        test = rows.where((F.col("date") >= F.lit(fold["cut"])) & (F.col("date") < F.lit(fold["until"])))
-        past = rows.where(F.col("known_at") < F.lit(fold["cut"]))
-        if past.limit(least).count() < least:
-            fitted = test.withColumn("prediction", F.col("p"))
-        else:
-            fitted = IsotonicRegression(featuresCol="p", labelCol="y").fit(past).transform(test)
+    cuts = isotonic_cuts(rows, least, every)  # a few a year
+    early = rows.where(F.col("date") < F.lit(cuts[0])) if cuts else rows
+    out = early.select("symbol", "date", "p", F.col("p").alias("p_cal"))
+    for cut, until in zip(cuts, [*cuts[1:], None][: len(cuts)], strict=True):
+        test = rows.where(F.col("date") >= F.lit(cut))
+        test = test if until is None else test.where(F.col("date") < F.lit(until))
+        past = rows.where((F.col("known_at") < F.lit(cut)) & F.col("y").isNotNull() & F.col("p").isNotNull())
+        fitted = IsotonicRegression(featuresCol="p", labelCol="y").fit(past).transform(test)
         out = out.union(fitted.select("symbol", "date", "p", clip(F.col("prediction"), low, high).alias("p_cal")))
     return out
 

@@ -155,6 +155,23 @@ def test_regimes_use_no_future(spark):
     assert part == {d: whole[d] for d in part}
 
 
+def test_isotonic_starts_with_enough_outcomes_and_refits_every_60_sessions(spark):
+    day = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(260)]
+    rows = [(f"S{k}", day[i], day[i + 1], (k + 0.5) / 20, float((i * 7 + k * 3) % 20 < k)) for i in range(259) for k in range(20)]
+    panel = spark.createDataFrame(rows, "symbol string, date date, known_at date, p double, y double")
+    # before day i, 20 outcomes of each day up to i - 2 are known
+    assert learning.isotonic_cuts(panel) == [day[76], day[136], day[196], day[256]]
+    got = learning.isotonic_rolling(panel)
+    assert got.count() == len(rows)
+    changed = got.where("p <> p_cal").agg(F.min("date")).first()[0]
+    assert changed == day[76]
+
+
+def test_models_have_the_references_size(spark):
+    rf, gbt = learning.estimator("rf"), learning.estimator("gbt")
+    assert (rf.getNumTrees(), rf.getMaxDepth(), gbt.getMaxIter(), gbt.getMaxDepth()) == (300, 7, 350, 4)
+
+
 def test_distinct_sketch(spark):
     got = sketches.fm_distinct(spark.range(40_000), "id", 1024).first()[0]
     assert abs(got - 40_000) / 40_000 < 0.35
