@@ -2,7 +2,8 @@
 neighbours, classified by a decision tree that is trained on a small labelled table.
 
 A page is cut at block tags into flat blocks. Besides counts, a block knows whether it lies in page furniture
-(by the tags, roles, classes and ids around it) and whether it lies in an article. The tree is grown from
+(by the tags, roles, classes and ids around it) and whether it lies in an article. Furniture that may wrap a page,
+such as a form, is none for an article within it, nor if it holds half of the page's plain words. The tree is grown from
 LABELLED when a task begins, which takes milliseconds; it is one for all pages."""
 
 from __future__ import annotations
@@ -155,6 +156,14 @@ FURNITURE_WORDS = frozenset(
     "replies respond responses discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup popover modal overlay newsletter newsletters subscribe subscription "
     "subscriptions signup signin login register search searchbox form share sharing social related recommended recommendations outbrain taboola skip hidden".split()
 )
+#: Of these, what never holds the article, however long it is.
+LASTING_TAGS = frozenset("nav footer aside menu dialog button".split())
+LASTING_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion related recommended recommendations outbrain taboola cookie cookies consent gdpr footer".split())
+#: First and last words of class names that tell of a page's layout or state, as in no-sidebar and comments-open.
+LAYOUT_FIRST = frozenset("no not has have with without is hide show enable disable single".split())
+LAYOUT_LAST = frozenset("open opened closed close enabled disabled active inactive on off on left right none visible ready loaded supported".split())
+#: Share of a page's words from which on furniture that may hold the article counts as a wrapper of the page.
+WRAPPER = 0.5
 #: An element that closes the same or sibling elements left open before it, back to the container.
 _IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -167,27 +176,44 @@ _IMPLIED = {
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _HINTS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?(?:main|article)\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
-    if tag in ("body", "html") or "=" not in attributes:
-        return False
+def _furniture_words(attributes: str) -> Iterator[str]:
+    """Words of FURNITURE_WORDS that a class, id or role is, begins or ends with, unless it tells of layout."""
     for value in _HINTS.findall(attributes):
-        if any(w.lower() in FURNITURE_WORDS for w in _WORD.findall(value)):
-            return tag not in ARTICLE_TAGS
-    return bool(_HIDDEN.search(attributes))
+        for name in value.strip("\"'").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if not words or words[0] in LAYOUT_FIRST:
+                continue
+            if words[-1] in FURNITURE_WORDS:
+                yield words[-1]
+            elif words[0] in FURNITURE_WORDS and (words[-1] not in LAYOUT_LAST or words[0] == "sidebar"):
+                yield words[0]
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """0 for no furniture, 1 for furniture that may wrap an article, 2 for what never does."""
+    if tag in ("body", "html"):
+        return 0
+    kind = 2 if tag in LASTING_TAGS else 1 if tag in FURNITURE_TAGS or (tag == "header" and not in_article) else 0
+    if kind < 2 and "=" in attributes and tag not in ARTICLE_TAGS:
+        for word in _furniture_words(attributes):
+            kind = max(kind, 2 if word in LASTING_WORDS else 1)
+    return kind or (2 if _HIDDEN.search(attributes) else 0)
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     """Flat blocks in page order: text, words, share of words in links, in furniture, in an article."""
     out, text, linked = [], [], []
-    stack: list[tuple[str, bool, bool]] = []
+    # furniture: numbers of the elements around that are some; ``lasting`` tells which never hold the article
+    stack: list[tuple[str, tuple[int, ...], bool]] = []
+    lasting: list[bool] = []
     opened: dict[str, int] = {}
-    furniture = article = in_link = False
+    furniture: tuple[int, ...] = ()
+    article = in_link = False
     lowered = None
 
     def flush() -> None:
@@ -257,10 +283,23 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             if tag not in VOID_TAGS and not attributes.endswith("/"):
                 stack.append((tag, furniture, article))
                 opened[tag] = opened.get(tag, 0) + 1
-                furniture = furniture or _is_furniture(tag, attributes, article)
-                article = article or tag in ARTICLE_TAGS
+                if tag in ARTICLE_TAGS or "role" in attributes and _ROLE.search(attributes):
+                    article = True
+                    if furniture:  # what may wrap an article does wrap this one
+                        furniture = tuple(i for i in furniture if lasting[i])
+                kind = _furniture(tag, attributes, article)
+                if kind:
+                    furniture += (len(lasting),)
+                    lasting.append(kind == 2)
     flush()
-    return out
+    held, words = [0] * len(lasting), 0
+    for _, n, links, around, _ in out:
+        plain = n * (1 - links)
+        words += plain
+        for i in around:
+            held[i] += plain
+    counts = [last or n < WRAPPER * words for last, n in zip(lasting, held, strict=True)]
+    return [(whole, n, links, any(counts[i] for i in around), own) for whole, n, links, around, own in out]
 
 
 def features(found: list[tuple[str, int, float, bool, bool]]) -> np.ndarray:
