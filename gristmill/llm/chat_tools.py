@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.storage import materialize
 
-#: Calls of a conversation whose levels are found in one task.
-MOST_CALLS = 20_000
+#: Calls of a conversation whose levels are found in one task, from identifiers alone.
+MOST_CALLS = 1 << 20
 #: JSON Schema keywords that ``violations`` knows.
 KEYWORDS = ("type", "enum", "const", "required", "properties", "additionalProperties", "items", "minLength", "maxLength", "minimum", "maximum", "minItems", "maxItems")
 
@@ -104,25 +104,25 @@ def _checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 def levels_of(calls: dict[str, list[str]]) -> dict[str, int | None]:
     """Levels of calls by the calls they need: 0 for none, else one more than the highest needed; None on a cycle
-    or behind one. Needs of calls that aren't there don't count."""
-    waits = {c: {n for n in needs if n in calls} for c, needs in calls.items()}
-    behind: dict[str, list[str]] = {}
-    for c, needs in waits.items():
-        for n in needs:
-            behind.setdefault(n, []).append(c)
-    left = {c: len(needs) for c, needs in waits.items()}
-    out: dict[str, int | None] = dict.fromkeys(calls)
-    ready, level = [c for c, n in left.items() if not n], 0
-    while ready:
-        following = []
-        for c in ready:
-            out[c] = level
-            for b in behind.get(c, ()):
-                left[b] -= 1
-                if not left[b]:
-                    following.append(b)
-        ready, level = following, level + 1
-    return out
+    or behind one. Needs of calls that aren't there don't count. Takes time in proportion to calls and needs,
+    whatever the depth."""
+    number = {c: i for i, c in enumerate(calls)}
+    behind: list[list[int] | None] = [None] * len(calls)
+    left, level = [0] * len(calls), [0] * len(calls)
+    for i, needs in enumerate(calls.values()):
+        for n in {number[x] for x in needs if x in number}:
+            left[i] += 1
+            if behind[n] is None:
+                behind[n] = []
+            behind[n].append(i)
+    ready = [i for i, n in enumerate(left) if not n]
+    for i in ready:  # grows as calls get ready
+        for b in behind[i] or ():
+            left[b] -= 1
+            level[b] = max(level[b], level[i] + 1)
+            if not left[b]:
+                ready.append(b)
+    return {c: None if left[i] else level[i] for c, i in number.items()}
 
 
 def _levels_by_joins(nodes: DataFrame) -> DataFrame:
@@ -150,6 +150,8 @@ def topological_levels(nodes: DataFrame, most: int = MOST_CALLS) -> DataFrame:
         found = levels_of(dict(zip(table["call"].to_pylist(), table["needs"].to_pylist(), strict=True)))
         return pa.table({"conv": table["conv"], "call": table["call"], "level": pa.array([found[c] for c in table["call"].to_pylist()], pa.int32())})
 
+    # few bytes, but much work for each: as many tasks as the session has partitions
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv")
     sizes = nodes.groupBy("conv").count()
     large = materialize(sizes.where(F.col("count") > most).select("conv"), "large")
     schema = "conv long, call string, level int"
