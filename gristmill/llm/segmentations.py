@@ -28,6 +28,8 @@ from gristmill.llm.storage import arrow_batches, map_arrow
 
 #: Distinct segments and arcs that a worker keeps; others are built when they come.
 KEPT, KEPT_ARCS = 150_000, 2_500_000
+#: Bytes after which a run of spaces is cut, lest its lattice, with an arc for each run of up to 16, fill a worker.
+LONGEST = 1 << 16
 #: Segments whose lattices are built together.
 BUILT = 2048
 U64 = np.uint64
@@ -69,9 +71,7 @@ class Vocabulary:
                 self.bytes_of[i] = bytes([b])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes_of[i] = model.id_to_piece(i).replace("▁", " ").encode()
-                # longer pieces with scores below are runs of spaces, which would tie words together
-                if model.get_score(i) > -1e8 or len(model.id_to_piece(i)) == 1:
-                    plain.append(i)
+                plain.append(i)
         self.weights = weights
         data = np.frombuffer(b"".join(self.bytes_of[i] for i in plain), np.uint8)
         sizes = np.array([len(self.bytes_of[i]) for i in plain], np.int64)
@@ -288,6 +288,10 @@ class Sampler:
             cut[1:-1] = ~self.v.neighbours[data[:-1], data[1:]]
         cut[offsets] = True
         at = np.flatnonzero(cut)
+        for i in np.flatnonzero(np.diff(at) > LONGEST).tolist():
+            places = np.arange(at[i] + LONGEST, at[i + 1], LONGEST)
+            cut[places[(data[places - 1] == 32) & (data[places] == 32)]] = True
+        at = np.flatnonzero(cut)
         s, e = (at[:-1], at[1:]) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
         roots = self.lattices.find(data, textops.hash_spans(data, s, e), s, e) if len(s) else s
         return roots, np.searchsorted(offsets, s, side="right") - 1
