@@ -99,12 +99,18 @@ class Segment:
 
     @staticmethod
     def _rank(bits: np.ndarray, ranks: np.ndarray, byte: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Marks before each bit: the directory's count, and those of the bytes since, and of the own byte."""
-        ones = _BITS[bits].reshape(-1, 64)
-        within = np.zeros((len(ones), 64), np.int64)
-        np.cumsum(ones[:, :-1], axis=1, out=within[:, 1:])
+        """Marks before each bit: the directory's count, those of the bytes since, and of the own byte. Only the
+        64 bytes of a bit's group are read; for as many places as the bitmap has groups, all groups are, once."""
         own = _BITS[bits[byte] & ((np.uint16(1) << bit.astype(np.uint16)) - 1).astype(np.uint8)]
-        return ranks[byte >> 6].astype(np.int64) + within.reshape(-1)[byte] + own
+        if len(byte) < len(ranks):
+            group = bits[(byte & ~63)[:, None] + np.arange(64)]
+            since = (_BITS[group] * (np.arange(64) < (byte & 63)[:, None])).sum(axis=1, dtype=np.int64)
+        else:
+            ones = _BITS[bits[:]].reshape(-1, 64)
+            within = np.zeros((len(ones), 64), np.int64)
+            np.cumsum(ones[:, :-1], axis=1, out=within[:, 1:])
+            since = within.reshape(-1)[byte]
+        return ranks[byte >> 6].astype(np.int64) + since + own
 
 
 class Encoder:
