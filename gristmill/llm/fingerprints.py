@@ -12,6 +12,8 @@ locate the edit (``changed_paragraphs``); the share of common leaves is the like
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 LEAF = 64
 #: Hex digits that the fingerprint keeps of sections and paragraphs, and of leaves.
 NODE_DIGITS, LEAF_DIGITS = 16, 8
-#: Rows of a bucket of neighbours, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 1024, 4096
+#: Least and most rows of a bucket of neighbours, about: the square root of all rows in between.
+BUCKET_ROWS, MOST_BUCKET_ROWS = 1024, 16_384
 
 
 def _sha(c: Column) -> Column:
@@ -63,11 +65,11 @@ def changed_paragraphs(a: str, b: str) -> Column:
 
 def _neighbour_buckets(docs: DataFrame) -> tuple[Column, Column, int]:
     """Bucket of a row by its id, whether the row is the first of its bucket, and the last bucket. Bounds
-    are ids of the table at even shares of its rows, found by a sketch, at most MOST_BUCKETS of them."""
+    are ids of the table at even shares of its rows, found by a sketch that is exact to a tenth of a bucket."""
     rows = docs.count()
-    wanted = max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+    wanted = max(1, -(-rows // min(max(BUCKET_ROWS, math.isqrt(rows)), MOST_BUCKET_ROWS)))
     shares = [i / wanted for i in range(1, wanted)]
-    found = docs.agg(F.percentile_approx("id", shares, 10_000)).first()[0] if shares else []
+    found = docs.agg(F.percentile_approx("id", shares, max(10_000, 10 * wanted))).first()[0] if shares else []
     bounds = sorted(set(found or []))
     steps = 1 << max(0, len(bounds).bit_length() - 1)
     padded = bounds + [2**63 - 1] * (2 * steps - len(bounds))
