@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 
 def host_of(url: str | Column) -> Column:
-    """Lower-case host of a URL, without user, port and final dot; null if there is none."""
-    found = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)", 1)
+    """Lower-case host of a URL, without user, port and final dot; null if there is none. An IPv6 address keeps
+    its brackets."""
+    found = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#\s]*\]|[^/:?#\s\[]+)", 1)
     return F.nullif(F.regexp_replace(found, r"\.+$", ""), F.lit(""))
 
 
@@ -23,15 +24,19 @@ def section_of(url: str | Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.\-]*:)?//[^/?#]*/([^/?#]*)", 1)
 
 
-def domain_of(host: str | Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+#: An address, which has no domains.
+ADDRESS = r"^(\[.*|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
+
+
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host; an address as it is."""
+    return F.when(host.rlike(ADDRESS), host).otherwise(F.substring_index(host, ".", -2))
 
 
 def keys_of(host: Column, section: Column) -> Column:
-    """What a list can name a capture by: ``domain:`` for each suffix of two labels or more (or the only
-    label), ``host:`` and ``path:``."""
-    labels = F.split(host, r"\.")
+    """What a list can name a capture by: ``domain:`` for each suffix of two labels or more (or the only label, or
+    the whole address), ``host:`` and ``path:``."""
+    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.least(F.lit(2), n), n), lambda k: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -k, k), ".")))
     own = F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("path:"), host, F.lit("/"), section))
@@ -52,7 +57,7 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, at
     """One row for each capture: (id_col, url_col, host, at_col, verdict, matched, category, active_since).
 
     The longest matching pattern decides; of equals a path before a host before a domain, then allow before
-    block, then the first category. ``verdict`` is allow or block, none without an active entry, invalid for a
+    block, then the first category (null before all), then the earliest start. ``verdict`` is allow or block, none without an active entry, invalid for a
     null URL or one without a host. A null time matches nothing. Repeated captures stay. Empty tables and
     columns of other names are fine."""
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("t")).withColumn("host", host_of("url"))
@@ -62,10 +67,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, at
     pattern = F.substring_index("key", ":", -1)
     kind = F.element_at(F.create_map(*map(F.lit, ("path", 2, "host", 1, "domain", 0))), F.substring_index("key", ":", 1))
     active = F.filter("spans", lambda s: (s["since"] <= F.col("t")) & (s["until"].isNull() | (F.col("t") < s["until"])))
-    ranked = F.array_max(F.transform(active, lambda s: F.struct(F.length(pattern).alias("n"), kind.alias("kind"), (s["verdict"] == "allow").alias("allow"), F.lit(0).alias("z"), s["verdict"].alias("verdict"), s["category"].alias("category"), s["since"].alias("since"), F.col("key").alias("key"))))
-    judged = asked.join(found, "key", "left").withColumn("best", ranked)
-    # of a key's own spans of equal rank, array_max takes the last category; min would need another pass
-    best = judged.groupBy("id", "url", "t", "host").agg(F.max("best").alias("best"), F.count("*").alias("rows"), F.max("asks").alias("asks"))
+    rank = lambda s: F.struct((-F.length(pattern)).alias("n"), (-kind).alias("kind"), (s["verdict"] != "allow").alias("block"), s["category"].alias("category"), s["since"].alias("since"), F.col("key").alias("key"), s["verdict"].alias("verdict"))
+    judged = asked.join(found, "key", "left").withColumn("best", F.array_min(F.transform(active, rank)))
+    best = judged.groupBy("id", "url", "t", "host").agg(F.min("best").alias("best"), F.count("*").alias("rows"), F.max("asks").alias("asks"))
     best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("rows") / F.col("asks")).cast("int"))))
     return best.select(
         F.col("id").alias(id_col),
@@ -101,7 +105,7 @@ def page_list(pages: DataFrame) -> DataFrame:
     """A dated list about the hosts of the table: known farms from the first day on; a quarter of the domains
     blocked for a while, some of them again; some hosts allowed from a day on; some paths blocked."""
     own = pages.select(host_of("url").alias("host"), section_of("url").alias("section")).where("host is not null").distinct()
-    domains = own.select(domain_of("host").alias("d")).distinct().withColumn("n", _number(F.col("d")))
+    domains = own.select(domain_of(F.col("host")).alias("d")).distinct().withColumn("n", _number(F.col("d")))
     hosts = own.select("host").distinct().withColumn("n", _number(F.col("host")))
     paths = own.select(F.concat("host", F.lit("/"), "section").alias("p")).where("p not like '%/'").distinct().withColumn("n", _number(F.col("p")))
 
@@ -124,11 +128,11 @@ def page_list(pages: DataFrame) -> DataFrame:
     return out
 
 
-_HOST = r"nullif(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)', 1), '\.+$', ''), '')"
+_HOST = r"nullif(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#\s]*\]|[^/:?#\s\[]+)', 1), '\.+$', ''), '')"
 _SECTION = r"regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?//[^/?#]*/([^/?#]*)', 1)"
 ORACLE = f"""
 WITH c AS (SELECT page_id, url, DATE '{FIRST_DAY}' + CAST(page_id * 7919 % 366 AS INTEGER) AS t, {_HOST} AS host, {_SECTION} AS section FROM pages),
-x AS (SELECT *, string_split(host, '.') AS l FROM c),
+x AS (SELECT *, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN [host] ELSE string_split(host, '.') END AS l FROM c),
 o AS (SELECT DISTINCT host, section, array_to_string(l[-2:], '.') AS d FROM x WHERE host IS NOT NULL),
 dom AS (SELECT DISTINCT d AS k, ('0x' || substr(md5(d), 1, 7))::BIGINT AS n FROM o),
 hos AS (SELECT DISTINCT host AS k, ('0x' || substr(md5(host), 1, 7))::BIGINT AS n FROM o),
@@ -145,7 +149,7 @@ iv AS (SELECT key, verdict, category, action, DATE '{FIRST_DAY}' + CAST(day AS I
   DATE '{FIRST_DAY}' + CAST(lead(day) OVER (PARTITION BY key, verdict, category ORDER BY day, action = 'remove') AS INTEGER) AS until FROM ev),
 q AS (SELECT page_id, url, host, t, unnest(list_concat(list_transform(range(least(2, len(l)), len(l) + 1), lambda k: 'domain:' || array_to_string(l[-k:], '.')), ['host:' || host, 'path:' || host || '/' || section])) AS key FROM x WHERE host IS NOT NULL),
 m AS (SELECT q.page_id, iv.*, row_number() OVER (PARTITION BY q.page_id ORDER BY length(q.key) - length(split_part(q.key, ':', 1)) DESC,
-    CASE split_part(q.key, ':', 1) WHEN 'path' THEN 2 WHEN 'host' THEN 1 ELSE 0 END DESC, iv.verdict = 'allow' DESC, iv.category DESC) AS r
+    CASE split_part(q.key, ':', 1) WHEN 'path' THEN 2 WHEN 'host' THEN 1 ELSE 0 END DESC, iv.verdict = 'allow' DESC, iv.category) AS r
   FROM q JOIN iv ON q.key = iv.key AND iv.action = 'add' AND iv.since <= q.t AND (iv.until IS NULL OR q.t < iv.until))
 SELECT c.page_id, c.url, c.host, c.t AS fetched_on, CASE WHEN c.host IS NULL THEN 'invalid' ELSE coalesce(m.verdict, 'none') END AS verdict,
   m.key AS matched, m.category, m.since AS active_since
