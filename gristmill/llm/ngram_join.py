@@ -8,7 +8,9 @@ join is exact up to the 64-bit hashes that stand for shingles:
    any global order. In hash order, shingles in two classes' prefixes are found by a combined count, and
    classes with fewer than l of them drop out. l is a sixteenth of the set, so that a shared licence line
    or passage is not enough to stay.
-3. The sets of the classes that stay are ordered globally by frequency. Classes that share one of their
+3. The sets of the classes that stay are ordered globally by frequency. A set whose shingles in common with sets
+   of some band of sizes are too few for a link with the least of them, in every band, drops out: pages of one
+   template whose common part doesn't suffice never meet. Classes that share one of their
    rarest n - ceil(percent * n) + 1 shingles with others form a block with the least of those classes,
    so that every pair that can link meets in a block, and a class is in as many blocks as it has such
    least classes, not in as many as it has shingles.
@@ -23,21 +25,25 @@ join is exact up to the 64-bit hashes that stand for shingles:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
 from gristmill.llm.components import connected_components
-from gristmill.llm.storage import arrow_batches, broadcast_if_small, map_arrow, materialize
+from gristmill.llm.storage import arrow_batches, broadcast_if_small, map_arrow, materialize, text_hash
 
 #: Sets of one trie.
 BLOCK = 512
 #: Sets of a large block that each of its chunks sees, on average.
 LANDMARKS = 16
+#: A partner's size lies within so many bands of sizes on either side: STEPS, and one for the place within a band.
+STEPS, REACH = 7, 8
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -82,13 +88,14 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
 
 
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, sid, sid2, prefix): a class's prefix comes with its first text in each task only."""
+    """(id, hash, n, sid, sid2, prefix) of docs (id, hash, text): a class's prefix comes with its first text in
+    each task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             n, sid, sid2, prefix = [], [], [], []
-            for tokens in _sets(batch.column(1), k):
+            for tokens in _sets(batch.column(2), k):
                 n.append(len(tokens))
                 if not len(tokens):
                     sid.append(None), sid2.append(None), prefix.append(None)
@@ -98,24 +105,26 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 prefix.append(None if a in seen else tokens[: int(prefix_length(np.int64(len(tokens)), percent))])
                 if len(seen) < 1 << 20:
                     seen.add(a)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sid2, pa.int64()), _lists(prefix)], names=["id", "n", "sid", "sid2", "prefix"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sid2, pa.int64()), _lists(prefix)], names=["id", "hash", "n", "sid", "sid2", "prefix"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs, run, f"id {id_type}, n long, sid long, sid2 long, prefix array<long>")
+    return map_arrow(docs, run, f"id {id_type}, hash long, n long, sid long, sid2 long, prefix array<long>")
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(sid, n, tokens) of docs (id, text, want): texts whose class isn't the wanted one go."""
+    """(sid, n, tokens, task) of docs (text, want), once in each task for a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, task = set(), TaskContext.get().partitionId()
         for batch in batches:
-            want, sid, tokens = batch.column(2).to_pylist(), [], []
-            for x, w in zip(_sets(batch.column(1), k), want, strict=True):
-                if len(x) and _set_ids(x)[0] == w:
+            want, sid, tokens = batch.column(1).to_pylist(), [], []
+            for x, w in zip(_sets(batch.column(0), k), want, strict=True):
+                if w not in seen and len(x) and _set_ids(x)[0] == w:
+                    seen.add(w)
                     sid.append(w), tokens.append(x)
-            yield pa.record_batch([pa.array(sid, pa.int64()), pa.array([len(x) for x in tokens], pa.int64()), _lists(tokens)], names=["sid", "n", "tokens"])
+            yield pa.record_batch([pa.array(sid, pa.int64()), pa.array([len(x) for x in tokens], pa.int64()), _lists(tokens), pa.array([task] * len(sid), pa.int32())], names=["sid", "n", "tokens", "task"])
 
-    return map_arrow(docs, run, "sid long, n long, tokens array<long>")
+    return map_arrow(docs, run, "sid long, n long, tokens array<long>, task int")
 
 
 class Trie:
@@ -243,6 +252,46 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("pivot", "i", "j").applyInArrow(lambda t: _join_block(t, percent), "a long, b long")
 
 
+def _ratio(percent: int) -> float:
+    """Ratio of sizes from one band to the next: a partner's size differs by a factor of 100 / percent at most."""
+    return max(1.001, (100 / percent) ** (1 / STEPS))
+
+
+def _band(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(_ratio(percent))).cast("int")
+
+
+def _may_link(n: Column, shared: Column, percent: int) -> Column:
+    """Whether a set of n has, for some band of partners, as many shingles that sets of that band have as a link
+    with the least of them asks for: 100 i >= percent (n + m - i). ``shared``: array of structs with ``mask``, whose
+    bit i stands for partners i - REACH bands up."""
+
+    def enough(i: Column) -> Column:
+        least = F.greatest(F.ceil(n * percent / 100), F.floor(F.pow(F.lit(_ratio(percent)), _band(n, percent) + i - REACH) * (1 - 1e-9)))
+        asked = F.ceil((n + least) * percent / (100 + percent) - 1e-9)
+        return F.size(F.filter(shared, lambda x: F.getbit(x["mask"], i) == 1)) >= asked
+
+    near_first = sorted(range(2 * REACH + 1), key=lambda i: abs(i - REACH))
+    return F.exists(F.array(*map(F.lit, near_first)), enough)
+
+
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, tokens, dfs): of each set that may link its shared shingles, those in the fewest sets first."""
+    band = _band(F.col("n"), percent)
+    tokens = sets.select("sid", "n", F.explode("tokens").alias("token"))
+    # bands, modulo 64, of the sets that have a shingle: a bit too many costs a look, never a link
+    bit = F.expr("shiftleft(1L, cast(pmod(band, 64) as int))")
+    df = tokens.withColumn("band", band).groupBy("token").agg(F.count("*").alias("count"), F.bit_or(bit).alias("bands")).where("count > 1")
+    mask = F.when(F.col("count") > F.bit_count("bands"), 1 << REACH).otherwise(0)  # some band has two sets
+    for i in range(-REACH, REACH + 1):
+        if i:
+            mask = mask + F.getbit("bands", F.pmod(F.col("band") + i, F.lit(64))).cast("int") * (1 << (i + REACH))
+    shared = tokens.join(df, "token").withColumn("band", band).select("sid", "n", F.struct(F.col("count").cast("int").alias("df"), "token", mask.cast("int").alias("mask")).alias("one"))
+    out = shared.groupBy("sid", "n").agg(F.sort_array(F.collect_list("one")).alias("all"))
+    out = out.where((F.size("all") >= F.ceil(F.col("n") * percent / 100)) & _may_link(F.col("n"), F.col("all"), percent))
+    return out.select("sid", "n", F.col("all.token").alias("tokens"), F.col("all.df").alias("dfs"))
+
+
 def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     """sets: (sid, n, tokens, dfs), shared tokens only, rarest first -> links that span the components."""
     n = F.col("n")
@@ -250,78 +299,79 @@ def _links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     length = n - F.ceil(n * percent / 100) + 1 - (n - F.size("tokens"))
     prefixes = sets.withColumn("p", length.cast("int")).where("p > 0").select("sid", F.explode(F.slice("tokens", 1, F.least("p", F.size("tokens")))).alias("token"))
     least = prefixes.groupBy("token").agg(F.min("sid").alias("pivot"), F.max("sid").alias("most")).where("pivot <> most")
-    members = materialize(prefixes.join(least, "token").select("pivot", "sid").distinct(), "blocks")
-    sizes = members.groupBy("pivot").count()
+    pivots = materialize(prefixes.join(least, "token").groupBy("sid").agg(F.collect_set("pivot").alias("pivots")), "pivots")
+    members = pivots.select("sid", F.explode("pivots").alias("pivot"))
+    sizes = materialize(members.groupBy("pivot").count().where("count > 1"), "sizes")
+    chunks = F.ceil(F.col("count") / block).cast("int")
+    dealt = members.join(sizes, "pivot").withColumn("k", chunks).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+    mark = (F.col("k") > 1) & (F.pmod(F.xxhash64("sid", F.lit(7)), F.ceil(F.col("count") / LANDMARKS)) == 0)
+    spread = dealt.select("pivot", F.explode(F.when(mark, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("chunk"))).alias("i"), "sid")
     own = sets.select("sid", "n", "tokens", "dfs")
-    small = sizes.where(F.col("count") <= block).select("pivot")
-    none = F.lit(0).alias("i"), F.lit(0).alias("j")
-    parts = members.join(small, "pivot").select("pivot", *none, "sid", F.lit(True).alias("probe"), F.col("sid").alias("comp"))
-    large = materialize(sizes.where(F.col("count") > block).select("pivot", "count"), "large")
-    some = large.limit(1).count() > 0
-    if some:
-        chunks = F.ceil(F.col("count") / block).cast("int")
-        dealt = members.join(large, "pivot").withColumn("k", chunks).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
-        mark = F.pmod(F.xxhash64("sid", F.lit(7)), F.ceil(F.col("count") / LANDMARKS)) == 0
-        spread = dealt.select("pivot", F.explode(F.when(mark, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("chunk"))).alias("i"), "sid")
-        parts = parts.union(spread.select("pivot", "i", F.col("i").alias("j"), "sid", F.lit(True), F.col("sid")))
+    parts = spread.select("pivot", "i", F.col("i").alias("j"), "sid", F.lit(True).alias("probe"), F.col("sid").alias("comp"))
     links = materialize(_block_links(parts.join(own, "sid"), percent), "links")
-    if not some:
+    if not sizes.where(F.col("count") > block).limit(1).count():
         return links
     found = connected_components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    labelled = materialize(dealt.join(found, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "labelled")
+    labelled = materialize(dealt.where("k > 1").join(found, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "labelled")
     shares = labelled.groupBy("pivot", "comp").count()
-    main = shares.groupBy("pivot").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    main = shares.groupBy("pivot").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.ceil((F.sum("count") - F.max("count")) / block).cast("int").alias("kr")).where("kr > 0")
     marked = labelled.join(main, "pivot").withColumn("rest", F.col("comp") != F.col("main"))
-    rests = marked.where("rest").groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("kr"))
-    marked = marked.join(rests, "pivot")
     everyone = marked.select("pivot", F.explode(F.sequence(F.lit(0), F.col("kr") - 1)).alias("i"), F.col("chunk").alias("j"), "sid", F.lit(False).alias("probe"), "comp")
     rest = marked.where("rest").withColumn("i", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("kr")).cast("int"))
     rest = rest.select("pivot", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), "sid", F.lit(True).alias("probe"), "comp")
     # a set that is both a probe and of the chunk comes twice; its own twin links with nothing new
     more = _block_links(everyone.union(rest).join(own, "sid"), percent)
-    return links.union(materialize(more, "links"))
+    return materialize(links.union(more), "links")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: (id_col, n_shingles, component_id, class_copies).
+    """One row for each row of ``docs``: (id_col, n_shingles, component_id, class_copies, text_hash, leads).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. ``component_id`` is the least id reachable
-    over links, the row's own included; ``class_copies`` counts the rows with the same set.
+    over links, the row's own included; ``class_copies`` counts the rows with the same set. ``text_hash`` is a hash
+    of the text, and ``leads`` tells whether id and text are those of the one that stands for the component: the
+    least id, and of texts that share it the one with the least hash.
 
     Null and empty texts and texts of white space only have ``n_shingles`` 0, link with nothing and are
     their own component. A text of fewer than k words is one shingle. Repeated rows stay, each with the
-    shared component. Rows with a null id stay; the null counts as no id, so their component is the least
-    id that isn't null, or null. An empty table gives an empty result. Other columns of ``docs``, whatever
-    their names, are not touched."""
+    shared component, and each leads if one does. Rows with a null id stay and link as others do; the null counts
+    as no id, so their component is the least id that isn't null, or null. An empty table gives an empty result.
+    Other columns of ``docs``, whatever their names, are not touched."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
     signed = materialize(_signatures(docs, k, percent), "signatures")
-    classes = signed.where("sid is not null").groupBy("sid", "sid2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    classes = signed.where("sid is not null").groupBy("sid", "sid2").agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = materialize(classes, "classes")
 
-    rows = signed.where("prefix is not null").select("sid", "n", F.explode("prefix").alias("token"))
+    rows = signed.where("prefix is not null").select("sid", F.explode("prefix").alias("token"))
     common = rows.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-    shared = rows.join(common, "token").select("sid", "n", "token").distinct().groupBy("sid", "n").count()
+    shared = rows.join(common, "token").distinct().groupBy("sid").count()
     least_n = F.ceil(F.col("n") * percent / 100)
-    stay = shared.where(F.col("count") >= F.floor(least_n / 16) + 1).select("sid")
-    reps = materialize(classes.join(stay, "sid").select(F.col("rep").alias("id"), F.col("sid").alias("want")), "candidates")
-
-    wanted = docs.join(broadcast_if_small(reps, 32), "id").select("id", "text", "want")
-    sets = materialize(_full_sets(wanted, k).dropDuplicates(["sid"]), "sets")
-    tokens = sets.select("sid", "n", F.explode("tokens").alias("token"))
-    df = tokens.groupBy("token").count().where("count > 1")
-    ordered = tokens.join(df, "token").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("count").cast("int").alias("df"), "token"))).alias("x"))
-    # a set with too few shared shingles links with nothing
-    ordered = ordered.where(F.size("x") >= F.ceil(F.col("n") * percent / 100)).select("sid", "n", F.col("x.token").alias("tokens"), F.col("x.df").alias("dfs"))
-    links = _links(materialize(ordered, "ordered"), percent, block)
-
-    found = connected_components(links)
-    labels = classes.join(found, classes["sid"] == found["node"], "left").select("sid", "sid2", "rep", "copies", F.coalesce("component", "sid").alias("component"))
-    labels = materialize(labels, "labels")
-    least_ids = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(least_ids, "component").select(F.col("sid").alias("s1"), F.col("sid2").alias("s2"), "copies", "component_id")
-    out = signed.drop("prefix").join(labels, (F.col("sid") == F.col("s1")) & (F.col("sid2") == F.col("s2")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("class_copies"))
+    stay = classes.join(shared, "sid").where(F.col("count") >= F.floor(least_n / 16) + 1)
+    reps = materialize(stay.select(F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash"), F.col("sid").alias("want")), "candidates")
+
+    same = (F.col("hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))
+    sets = materialize(_full_sets(docs.join(broadcast_if_small(reps, 40), same).select("text", "want"), k), "sets")
+    again = sets.groupBy("sid").agg(F.min("task").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("sid").alias("twice"), "first")
+    sets = sets.join(again, F.col("sid") == F.col("twice"), "left").where("first is null or task = first")
+    links = _links(materialize(_ordered(sets, percent), "ordered"), percent, block)
+
+    found = materialize(connected_components(links), "components")
+    leaders = classes.join(found, F.col("sid") == F.col("node")).groupBy("component").agg(F.min("rep").alias("lead"))
+    named = found.join(leaders, "component").select("node", "lead")
+    known = classes.join(named, F.col("sid") == F.col("node"), "left").select(F.col("sid").alias("s1"), F.col("sid2").alias("s2"), "copies", F.coalesce("lead", "rep").alias("lead"))
+    out = signed.drop("prefix").join(known, (F.col("sid") == F.col("s1")) & (F.col("sid2") == F.col("s2")), "left")
+    leads = F.col("sid").isNull() | (F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("hash") == F.col("lead.hash")))
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("lead.id")).alias("component_id"),
+        F.coalesce("copies", F.lit(1).cast("long")).alias("class_copies"),
+        F.col("hash").alias("text_hash"),
+        leads.alias("leads"),
+    )
 
 
 ORACLE = r"""

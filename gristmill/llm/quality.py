@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import textops
-from gristmill.llm.storage import arrow_batches, map_arrow, materialize
+from gristmill.llm.storage import arrow_batches, map_arrow, materialize, text_hash
 
 #: Rows of the table of vectors: words first, then forms. Places of a vector. Neighbours on either side.
 WORD_ROWS, FORM_ROWS, PLACES, WINDOW = 1 << 15, 1 << 12, 32, 2
@@ -119,22 +119,22 @@ def _pooled(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndar
 
 
 def document_features(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features) of each row of ``docs``; a text without words has zeros and a mark."""
+    """(id, hash, features) of each row of ``docs``; a text without words has zeros and a mark."""
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, parts = textops.text_column(batch.column(1)), []
+            column, parts = textops.text_column(batch.column(2)), []
             for a, b in textops.pieces(textops.raw(column)[1], 1 << 19):
                 parts.append(_pooled(*textops.raw(column.slice(a, b - a)), shared.value))
             flat = np.concatenate(parts).reshape(-1) if parts else np.empty(0, np.float32)
             offsets = np.arange(len(batch) + 1, dtype=np.int32) * N_FEATURES
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "features"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "hash", "features"])
 
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, features array<float>")
+    docs = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, hash long, features array<float>")
 
 
 @dataclass
@@ -214,18 +214,18 @@ def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
 
 
 def score(features: DataFrame, net: Network) -> DataFrame:
-    """(id, score) of (id, features)."""
+    """(id, hash, score) of (id, hash, features)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().astype(float).reshape(-1, N_FEATURES)
-            yield pa.record_batch([batch.column(0), pa.array(net.score(x), pa.float64())], names=["id", "score"])
+            x = batch.column(2).flatten().to_numpy().astype(float).reshape(-1, N_FEATURES)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(net.score(x), pa.float64())], names=["id", "hash", "score"])
 
-    return map_arrow(features, run, f"id {features.schema['id'].dataType.simpleString()}, score double")
+    return map_arrow(features, run, f"id {features.schema['id'].dataType.simpleString()}, hash long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: (id_col, held_out, score, predicted).
+    """One row for each row of ``docs``: (id_col, held_out, score, predicted, text_hash).
 
     ``held_out``: the crc32 of the id as text is divisible by 5; such rows' labels are never learned from.
     The score depends on the text alone. Null and empty texts get the score of a text without words. Null
@@ -234,4 +234,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     features = materialize(document_features(docs, word_vectors(docs, text_col), id_col, text_col), "features")
     net = train(features, labels, id_col, label_col)
     scored = score(features, net)
-    return scored.select(F.col("id").alias(id_col), (fold("id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias(id_col), (fold("id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("hash").alias("text_hash"))

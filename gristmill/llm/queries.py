@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash", "leads")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

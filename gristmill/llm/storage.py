@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured rows need no more than this.
@@ -16,9 +16,13 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a new folder of this machine serves a local
+    master, as in tests; on a cluster, whose executors wouldn't see it, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gristmill-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -49,6 +53,11 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def text_hash(text: str) -> Column:
+    """With an id, what names a row: rows that agree in both repeat each other. Null counts as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch that holds whole texts (the default of 10,000 long texts
     does not fit a Python worker). A smaller setting of the session stays."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +92,29 @@ def _cuts(data: np.ndarray) -> list[int]:
     return [*out, len(data)] if out[-1] < len(data) or len(out) == 1 else out
 
 
-def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _lower_pairs() -> np.ndarray:
+    """For two bytes of one character, first byte times 256 plus the second, those of its small letter."""
+    out = np.arange(1 << 16, dtype=np.uint16)
+    for c in range(0x80, 0x800):
+        a, b = chr(c).encode(), chr(c).lower().encode()
+        if len(b) == 2:
+            out[int.from_bytes(a, "big")] = int.from_bytes(b, "big")
+    return out
+
+
+def _letters(data: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bytes in lower case, capitals of Latin-1 included, and which of them belong to letters or digits: not
-    ASCII signs, U+00A0 to U+00BF and U+2000 to U+207F."""
+    ASCII signs, U+00A0 to U+00BF and U+2000 to U+207F. ``wide``: capitals of all characters below U+0800, so
+    Greek and Cyrillic ones, become small."""
     low, solid = _LOWER[data], _LETTER[data]
-    two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))
-    low[two + 1] += 32
+    if wide:
+        two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xDF))
+        pair = _lower_pairs()[(data[two].astype(np.uint16) << 8) | data[two + 1]]
+        low[two], low[two + 1] = pair >> 8, pair & 255
+    else:
+        two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))
+        low[two + 1] += 32
     sign = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] >= 0xA0) & (data[1:] <= 0xBF))
     solid[sign] = solid[sign + 1] = False
     sign = np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81)))
@@ -110,7 +128,7 @@ def _words_of_piece(data: np.ndarray, starts_at: np.ndarray, lower: bool, letter
     if not n:
         return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
     if letters:
-        data, solid = _letters(data)
+        data, solid = _letters(data, wide=True)
     else:
         solid = ~_SPACE[data]
     begin = np.empty(n, bool)
@@ -213,7 +231,7 @@ class HashTable:
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts (A-Z lower-cased unless told
     otherwise), the text each is in, and its first byte and end in ``data``. ``letters``: words are runs of
-    letters and digits in lower case instead."""
+    letters and digits in lower case instead (capitals up to U+07FF)."""
     if len(data) <= 2 * PIECE:
         h, s, e = _words_of_piece(data, offsets[:-1], lower, letters)
     else:
