@@ -1,8 +1,9 @@
 """The corpus pipeline: each stage applies one operator to all that the stage before kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-and read again as the docs of the next. All but the last return the columns of ``documents``. Rows that share a
-doc_id are kept or left out together."""
+and read again as the docs of the next. All but the last return the columns of ``documents``. A row is known by
+its doc_id and a hash of its text: of rows with one doc_id, or none, each different text is judged by itself,
+and repeated rows are kept or left out together, but for near_duplicates, which keeps one of them."""
 
 from __future__ import annotations
 
@@ -11,14 +12,14 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import decontamination, ngram_join, quality
 from gristmill.llm.queries import segment_documents, table
-from gristmill.llm.storage import broadcast_if_small, materialize
+from gristmill.llm.storage import broadcast_if_small, materialize, text_hash
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is one of ``ids``, null included. The ids alone are broadcast, if
-    their count allows it; else both sides are shuffled."""
-    gone = broadcast_if_small(materialize(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone"), 16)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows (doc_id, text_hash). These are broadcast, if their count allows it; else both
+    sides are shuffled by text."""
+    gone = materialize(rows.select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, 32), (text_hash("text") == F.col("gone_hash")) & docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +28,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles the one with the least doc_id; of rows that repeat a doc_id one."""
-    joined = materialize(ngram_join.ngram_jaccard_join(docs).select("doc_id", "component_id"), "joined")
-    kept = _without(docs, joined.where("not doc_id <=> component_id"))
-    repeated = materialize(joined.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1"), "repeated")
+    """Of documents linked by their shingles the one with the least doc_id; of rows that repeat it one. Texts without
+    words link with nothing and stay."""
+    joined = materialize(ngram_join.ngram_jaccard_join(docs), "joined")
+    kept = _without(docs, joined.where("not leads"))
+    leaders = joined.where("leads and n_shingles > 0").groupBy("doc_id", "text_hash").count()
+    repeated = materialize(leaders.where("count > 1"), "repeated")
     if not repeated.limit(1).count():
         return kept
-    twice = kept.join(repeated.select(F.col("doc_id").alias("again")), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
-    return _without(kept, repeated).union(twice.dropDuplicates(["doc_id"]))
+    own = F.struct("doc_id", text_hash("text").alias("text_hash"))
+    twice = kept.withColumn("row", own).join(repeated.select(F.struct("doc_id", "text_hash").alias("again")), F.col("row").eqNullSafe(F.col("again")), "left_semi")
+    return _without(kept, repeated).union(twice.dropDuplicates(["row"]).select(docs.columns))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
