@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import textops
 from gristmill.llm.components import connected_components
-from gristmill.llm.storage import arrow_batches, broadcast_if_small, map_arrow, materialize, text_hash
+from gristmill.llm.storage import arrow_batches, broadcast_if_small, free_shuffles, map_arrow, materialize, text_hash
 
 #: Sets of one trie.
 BLOCK = 512
@@ -352,11 +352,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stay = classes.join(shared, "sid").where(F.col("count") >= F.floor(least_n / 16) + 1)
     reps = materialize(stay.select(F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash"), F.col("sid").alias("want")), "candidates")
 
+    free_shuffles(spark)
+
     same = (F.col("hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))
     sets = materialize(_full_sets(docs.join(broadcast_if_small(reps, 40), same).select("text", "want"), k), "sets")
     again = sets.groupBy("sid").agg(F.min("task").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("sid").alias("twice"), "first")
     sets = sets.join(again, F.col("sid") == F.col("twice"), "left").where("first is null or task = first")
-    links = _links(materialize(_ordered(sets, percent), "ordered"), percent, block)
+    ordered = materialize(_ordered(sets, percent), "ordered")
+    free_shuffles(spark)
+    links = _links(ordered, percent, block)
+    free_shuffles(spark)
 
     found = materialize(connected_components(links), "components")
     leaders = classes.join(found, F.col("sid") == F.col("node")).groupBy("component").agg(F.min("rep").alias("lead"))

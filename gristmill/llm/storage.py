@@ -46,6 +46,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles once the driver's JVM has collected the plans that name them, which a
+    driver with memory to spare puts off. Ask for it where large shuffles end in a written table."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else unchanged, so that
     Spark joins it by shuffle. Give a materialized frame, as it is counted."""
