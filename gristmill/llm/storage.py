@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured rows need no more than this.
 BROADCAST_BYTES = 32 << 20
+#: Spark's setting to delete the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,19 +41,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: it survives lost executors
-    and is computed once, however often it is used."""
+    and is computed once, however often it is used. The write's shuffle files go when it ends: nothing runs
+    ``df`` again. Else they would stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the files of shuffles once the driver's JVM has collected the plans that name them, which a
-    driver with memory to spare puts off. Ask for it where large shuffles end in a written table."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else unchanged, so that
     Spark joins it by shuffle. Give a materialized frame, as it is counted."""
