@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import textops
 from gristmill.llm.components import connected_components
-from gristmill.llm.storage import arrow_batches, broadcast_if_small, map_arrow, materialize, text_hash
+from gristmill.llm.storage import arrow_batches, broadcast_if_small, discard, map_arrow, materialize, text_hash
 
 #: Sets of one trie.
 BLOCK = 512
@@ -340,29 +340,35 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
-    signed = materialize(_signatures(docs, k, percent), "signatures")
+    whole = materialize(_signatures(docs, k, percent), "prefixes")
+    signed = materialize(whole.drop("prefix"), "signatures")
     rep = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     classes = signed.where("sid is not null").groupBy("sid", "sid2").agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
 
-    rows = signed.where("prefix is not null").select("sid", F.explode("prefix").alias("token"))
+    rows = whole.where("prefix is not null").select("sid", F.explode("prefix").alias("token"))
     common = rows.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     shared = rows.join(common, "token").distinct().groupBy("sid").count()
     least_n = F.ceil(F.col("n") * percent / 100)
     stay = classes.join(shared, "sid").where(F.col("count") >= F.floor(least_n / 16) + 1)
     reps = materialize(stay.select(F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash"), F.col("sid").alias("want")), "candidates")
+    discard(whole)
 
     same = (F.col("hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))
-    sets = materialize(_full_sets(docs.join(broadcast_if_small(reps, 40), same).select("text", "want"), k), "sets")
-    again = sets.groupBy("sid").agg(F.min("task").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("sid").alias("twice"), "first")
-    sets = sets.join(again, F.col("sid") == F.col("twice"), "left").where("first is null or task = first")
-    links = _links(materialize(_ordered(sets, percent), "ordered"), percent, block)
+    written = materialize(_full_sets(docs.join(broadcast_if_small(reps, 40), same).select("text", "want"), k), "sets")
+    again = written.groupBy("sid").agg(F.min("task").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("sid").alias("twice"), "first")
+    # the sets stay where they are: repeated rows alone make a class come from two tasks
+    sets = written.join(broadcast_if_small(materialize(again, "again"), 24), F.col("sid") == F.col("twice"), "left").where("first is null or task = first")
+    ordered = materialize(_ordered(sets, percent), "ordered")
+    discard(written)
+    links = _links(ordered, percent, block)
+    discard(ordered)
 
     found = materialize(connected_components(links), "components")
     leaders = classes.join(found, F.col("sid") == F.col("node")).groupBy("component").agg(F.min("rep").alias("lead"))
     named = found.join(leaders, "component").select("node", "lead")
     known = classes.join(named, F.col("sid") == F.col("node"), "left").select(F.col("sid").alias("s1"), F.col("sid2").alias("s2"), "copies", F.coalesce("lead", "rep").alias("lead"))
-    out = signed.drop("prefix").join(known, (F.col("sid") == F.col("s1")) & (F.col("sid2") == F.col("s2")), "left")
+    out = signed.join(known, (F.col("sid") == F.col("s1")) & (F.col("sid2") == F.col("s2")), "left")
     leads = F.col("sid").isNull() | (F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("hash") == F.col("lead.hash")))
     return out.select(
         F.col("id").alias(id_col),
