@@ -128,7 +128,7 @@ def test_components_of_all_orders(spark, small):
             a, b = sorted((root(min(some)), root(x)))
             parent[b] = a
     want = {(x, root(x)) for x in list(parent)}
-    assert {tuple(r) for r in intelligence_queries.graph_components_all(spark, small).collect()} == want
+    assert {tuple(r) for r in intelligence_queries.graph_components(spark, small).collect()} == want
 
 
 def test_cases_have_similar_days_within_a_month(spark):
