@@ -93,7 +93,7 @@ def forecasts_of(panel: DataFrame, risk: DataFrame, regime: DataFrame) -> DataFr
     c = F.col
     kept = [m for m in ("p2", "p3")]  # without the strongest member
     up = sum((c(m) >= 0.5).cast("int") for m in kept)
-    rows = panel.join(F.broadcast(risk.select("symbol", "risk_score")), "symbol", "left").join(regime, "date", "left")
+    rows = panel.join(risk.select("symbol", "risk_score"), "symbol", "left").join(regime, "date", "left")
     return rows.select(
         "symbol",
         "date",

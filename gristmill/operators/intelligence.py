@@ -151,7 +151,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
 def density(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     """Edges over possible ones, and the share of edges within a group (column ``group`` of nodes by ``node``)."""
     a, b = nodes.select(F.col("node").alias("src"), F.col(group).alias("ga")), nodes.select(F.col("node").alias("dst"), F.col(group).alias("gb"))
-    joined = edges.join(F.broadcast(a), "src").join(F.broadcast(b), "dst")
+    joined = edges.join(a, "src").join(b, "dst")
     n = nodes.agg(F.count("*").alias("nodes"))
     out = joined.agg(F.count("*").alias("edges"), F.avg((F.col("ga") == F.col("gb")).cast("double")).alias("inside")).crossJoin(n)  # one row each
     return out.select("nodes", "edges", r6(safe_div(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1))).alias("density"), r6(F.col("inside")).alias("purity"))

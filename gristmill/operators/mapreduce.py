@@ -1,40 +1,10 @@
-"""Map, combine and reduce with functions of one's own, for what no built-in aggregate expresses."""
+"""Counters of a job: an observation of the rows that pass."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Pair = tuple[str, float]
-
-
-def map_reduce(df: DataFrame, mapper: Callable[[dict], Iterable[Pair]], reducer: Callable[[str, list[float]], float], combiner: Callable[[str, list[float]], float] | None = None, salts: int = 1) -> DataFrame:
-    """(key, value). ``mapper`` gives pairs for a row as a dict; ``combiner`` folds a task's pairs of a key before they
-    are shuffled, and with ``salts`` a hot key's partial values once more in that many groups; ``reducer`` gets what is
-    left of a key. Without a combiner all values of a key meet in one task."""
-
-    def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found: dict[str, list[float]] = {}
-            for row in frame.to_dict("records"):
-                for key, value in mapper(row):
-                    found.setdefault(key, []).append(value)
-            if combiner:
-                found = {k: [combiner(k, v)] for k, v in found.items()}
-            yield pd.DataFrame([(k, x) for k, v in found.items() for x in v], columns=["key", "value"])
-
-    def reduced(fn: Callable[[str, list[float]], float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        return lambda frame: pd.DataFrame({"key": [frame["key"].iloc[0]], "value": [fn(frame["key"].iloc[0], frame["value"].tolist())]})
-
-    pairs = df.mapInPandas(mapped, "key string, value double")
-    if combiner and salts > 1:
-        salted = pairs.withColumn("salt", F.floor(F.rand(7) * salts))
-        pairs = salted.groupBy("key", "salt").applyInPandas(reduced(combiner), "key string, value double")
-    return pairs.groupBy("key").applyInPandas(reduced(reducer), "key string, value double")
-
 
 def with_counters(df: DataFrame, name: str = "job") -> tuple[DataFrame, object]:
     """``df`` and an observation of its rows that is filled when it runs."""

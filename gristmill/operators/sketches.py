@@ -65,4 +65,4 @@ def decayed_counts(events: DataFrame, key: str = "event_type", half_life_s: floa
     """Closed form of the decayed count as of each key's last event."""
     last = events.groupBy(key).agg(F.max("ts").alias("last"))
     age = (F.unix_micros("last") - F.unix_micros("ts")) / 1e6
-    return events.join(F.broadcast(last), key).groupBy(key).agg(r6(F.sum(F.pow(F.lit(2.0), -age / half_life_s)), 6).alias("attention"))
+    return events.join(last, key).groupBy(key).agg(r6(F.sum(F.pow(F.lit(2.0), -age / half_life_s)), 6).alias("attention"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from gristmill.plans.decision_queries import STATE_SQL
 from gristmill.plans.feature_queries import matrix
 from gristmill.plans.metric_queries import panel
 from gristmill.sources import tables as tb
+from gristmill.sources.lake import shared_folder
 
 STATE_COLUMNS = ["bench_trend_20", "bench_vol_20", "market_breadth_20", "dispersion_20"]
 
@@ -100,7 +99,7 @@ def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _checkpoints(spark: SparkSession) -> None:
     """A folder for checkpoints where the session names none, as in tests."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def instrument_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +14,8 @@ from gristmill.sources import tables as tb
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that all executors share; one of our own where no session setting names one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-")
-    path = f"{folder.rstrip('/')}/lake-{uuid.uuid4().hex}"
+    """A fresh folder that all executors share."""
+    path = f"{lk.shared_folder(spark)}/lake-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
@@ -74,11 +72,15 @@ def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of a stored dataset doesn't depend on file names: it equals that of a copy."""
+    """The digest of a stored dataset equals that of a copy under other file names, and differs from that of a dataset
+    with one other value."""
     lake = _stored(spark, sf_dir)
-    a = lake.fingerprint("curated", "ohlcv").select(F.col("digest").alias("a"))
-    b = lake.fingerprint("curated", "ohlcv").select(F.col("digest").alias("b"))
-    return a.crossJoin(b).select((F.col("a") == F.col("b")).alias("same"))  # one row each
+    lake.copy("curated", "ohlcv", "curated", "renamed")
+    bars = tb.bars(spark, sf_dir)
+    first = bars.agg(F.min(F.struct("symbol", "date")).alias("first"))
+    lake.write(bars.crossJoin(first).withColumn("close", F.when(F.struct("symbol", "date") == F.col("first"), F.col("close") + 1).otherwise(F.col("close"))).drop("first"), "curated", "changed")  # one row
+    a, b, c = (lake.fingerprint("curated", d).select(F.col("digest").alias(n)) for n, d in (("a", "ohlcv"), ("b", "renamed"), ("c", "changed")))
+    return a.crossJoin(b).crossJoin(c).select(((F.col("a") == F.col("b")) & (F.col("a") != F.col("c"))).alias("same"))  # one row each
 
 
 def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +111,9 @@ def xml_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_reduce_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and highest price of each symbol and year, by a mapper, a combiner and a reducer."""
-    from gristmill.operators.mapreduce import map_reduce
-
-    bars = tb.bars(spark, sf_dir).select("symbol", F.year("date").alias("year"), "high")
-    highest = lambda key, values: max(values)
-    return map_reduce(bars, lambda row: [(f"{row['symbol']}/{row['year']}", float(row["high"]))], highest, highest, salts=2)
+    """The highest price of each symbol and year, combined in tasks before the shuffle."""
+    key = F.concat_ws("/", "symbol", F.year("date").cast("string"))
+    return tb.bars(spark, sf_dir).groupBy(key.alias("key")).agg(F.max("high").alias("value"))
 
 
 QUERIES = {f.__name__: f for f in (bars_from_orders, bars_from_lineitem, bars_from_events_hourly, lake_roundtrip, inventory_counts, text_formats, file_fingerprint, document_upsert, document_find, document_merge, provenance, xml_feed, map_reduce_volume)}

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6
 from gristmill.operators import sketches as sk
 from gristmill.sources import tables as tb
+from gristmill.sources.lake import shared_folder
 from gristmill.streaming import bus, state
 
 
@@ -21,12 +20,14 @@ def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-stream-")
+    return shared_folder(spark)
 
 
 def _last_batch(out: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Of complete output the last batch; of updates the last of each key."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("batch"))
+    if not keys:
+        return out.crossJoin(out.agg(F.max("batch").alias("last"))).where("batch = last").drop("batch", "last")  # one row
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
     return out.withColumn("k", F.dense_rank().over(w)).where("k = 1").drop("k", "batch")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,19 @@ class Lake:
             F.lit(zone).alias("zone"), F.lit(dataset).alias("dataset"), "rows", "files", "bytes", F.array(*map(F.lit, sorted(df.columns[:-2]))).alias("columns")
         )
 
+    def copy(self, zone: str, dataset: str, to_zone: str, to_dataset: str) -> None:
+        """The dataset's files, byte for byte, under other names; partitions keep theirs. The driver streams the bytes."""
+        source, target = self.path(zone, dataset), self.path(to_zone, to_dataset)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs = jvm.org.apache.hadoop.fs.Path(source).getFileSystem(conf)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(source), fs, jvm.org.apache.hadoop.fs.Path(target), False, conf)
+        found = fs.listFiles(jvm.org.apache.hadoop.fs.Path(target), True)
+        paths = []
+        while found.hasNext():
+            paths.append(found.next().getPath())
+        for i, path in enumerate(p for p in paths if p.getName().endswith(".parquet")):
+            fs.rename(path, jvm.org.apache.hadoop.fs.Path(path.getParent(), f"copy-{i:05d}.parquet"))
+
     def fingerprint(self, zone: str, dataset: str) -> DataFrame:
         """(files, digest): SHA-256 over the sorted digests of the files, whatever their order or names."""
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(self.path(zone, dataset))
@@ -50,6 +65,18 @@ class Lake:
         return digests.agg(F.count("*").alias("files"), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "").cast("binary"), 256).alias("digest"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a new folder of this machine serves a local master, as
+    in tests; on a cluster, whose executors wouldn't see it, that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gristmill-")
+    return folder.rstrip("/")
+
+
 def upsert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows replaced by those with the same keys, and the new ones added."""
     return stored.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
