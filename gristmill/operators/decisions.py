@@ -114,6 +114,50 @@ def forecasts_of(panel: DataFrame, risk: DataFrame, regime: DataFrame) -> DataFr
     )
 
 
+def calibration_and_health(panel: DataFrame, sessions: int = 120, bins: int = 10) -> DataFrame:
+    """(date, calibration_ece, drift_state): the calibration error of all outcomes known on that date, and the health by
+    the Brier score of the last ``sessions`` dates on which outcomes became known against those before. Outcomes are
+    summed by date first, so the windows run over a row a day."""
+    p, y = F.col("p"), F.col("y")
+    place = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(p * bins).cast("int")))
+    daily = panel.where("known_at is not null").groupBy(F.col("known_at").alias("date")).agg(
+        F.count("*").alias("n"), F.sum(F.pow(p - y, 2)).alias("loss"), F.count_if((p >= 0.5).cast("double") == y).alias("hits"), *(F.sum(F.when(place == i, p - y).otherwise(0.0)).alias(f"gap_{i}") for i in range(bins))
+    )
+    days = Window.partitionBy(F.lit(0)).orderBy("date")
+    ever = lambda c: F.sum(c).over(days.rowsBetween(Window.unboundedPreceding, 0))
+    late = lambda c: F.sum(c).over(days.rowsBetween(1 - sessions, 0))
+    rows = daily.select("date", (sum(F.abs(ever(f"gap_{i}")) for i in range(bins)) / ever("n")).alias("ece"), (late("hits") / late("n")).alias("accuracy"), (late("loss") / late("n") - safe_div(ever("loss") - late("loss"), ever("n") - late("n"))).alias("worse"))
+    state = F.when(F.col("accuracy") < 0.45, "UNRELIABLE").when(F.col("worse") > 0.02, "DEGRADED").when(F.col("worse") > 0.008, "WATCH").otherwise("HEALTHY")
+    return rows.select("date", r6(F.col("ece")).alias("calibration_ece"), state.alias("drift_state"))
+
+
+def quality_to_date(triaged: DataFrame) -> DataFrame:
+    """(symbol, date, data_quality): valid rows of the symbol up to the date, suspicious ones by half, in percent."""
+    worth = F.sum(F.when(F.col("status") == "VALID", 1.0).when(F.col("status") == "SUSPICIOUS", 0.5).otherwise(0.0))
+    daily = triaged.groupBy("symbol", "date").agg(worth.alias("worth"), F.count("*").alias("n"))
+    past = W().rowsBetween(Window.unboundedPreceding, 0)
+    return daily.select("symbol", "date", r6(100 * F.sum("worth").over(past) / F.sum("n").over(past)).alias("data_quality"))
+
+
+def measured_forecasts(forecasts: DataFrame, panel: DataFrame, quality: DataFrame, n: int = 10) -> DataFrame:
+    """``forecasts_of`` with each input as measured on its date: data quality from the triage, calibration error and
+    health from the outcomes known by then, stability from the symbol's last n forecasts, coverage as the share of the
+    inputs volatility, market correlation and breadth that are there. Where nothing is known yet: quality 50, error
+    0.05, HEALTHY, stability 0.5."""
+    back = lambda k: W().rowsBetween(1 - k, 0)
+    before = F.lag("p", 1).over(W())
+    steps = panel.withColumns({"step": F.col("p") - before, "flip": F.coalesce((F.col("p") >= 0.5) != (before >= 0.5), F.lit(False)).cast("int")})
+    steps = steps.withColumns({"k": F.count("p").over(back(n)), "flips": F.sum("flip").over(back(n - 1)), "sd": F.stddev_pop("step").over(back(n - 1))})
+    score = clip(1 - F.col("flips") / (F.col("k") - 1) - F.least(F.col("sd") / 0.08, F.lit(1.0)) * 0.5, 0, 1)
+    inputs = ("day_move", "corr_bench_60", "market_breadth")
+    own = steps.select("symbol", "date", r6(F.when(F.col("k") >= 3, score).otherwise(0.5)).alias("stability_score"), (sum(F.col(c).isNotNull().cast("int") for c in inputs) / len(inputs)).alias("modality_coverage"))
+    known = calibration_and_health(panel)
+    plain = forecasts.drop("data_quality", "calibration_ece", "drift_state", "stability_score", "modality_coverage")
+    rows = plain.join(own, ["symbol", "date"]).join(quality, ["symbol", "date"], "left").join(known, "date", "left")
+    default = {"data_quality": 50.0, "calibration_ece": 0.05, "drift_state": "HEALTHY"}
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in default.items()})
+
+
 def position_risk(features: DataFrame, max_vol: float = 0.045) -> DataFrame:
     """By symbol, from its last row and the drawdown of its last 60 returns."""
     recent = features.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("k <= 60")

@@ -143,7 +143,7 @@ def _list(words: list[str]) -> str:
 
 _LOCAL = f"list_distinct(list_filter(list_transform(regexp_split_to_array(lower(replace(text, '''', ' ')), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}]', '', 'g')), lambda w: length(w) >= 4 AND NOT list_contains({_list(ag.STOP_LOCAL)}, w)))"
 _STRICT = f"list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z][a-z0-9''&.-]+'), lambda t: regexp_replace(t, '^[.''-]+|[.''-]+$', '', 'g')), lambda t: length(t) >= 3 AND NOT list_contains({_list(ag.STOP_STRICT)}, t)))"
-_TRIAGE = f"""{BARS},
+TRIAGE_SQL = f"""{BARS},
 d0 AS (SELECT symbol, date, CASE WHEN dayofyear(date) % 97 = 1 THEN NULL ELSE open END AS open, CASE WHEN dayofyear(date) % 89 = 2 THEN low - 1 ELSE high END AS high, low,
   CASE WHEN dayofyear(date) % 101 = 3 THEN -close WHEN dayofyear(date) % 103 = 4 THEN 0.0 ELSE close END AS close, CASE WHEN dayofyear(date) % 53 = 5 THEN 0 ELSE volume END AS volume FROM bars),
 d1 AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE dayofyear(date) % 61 = 6),
@@ -165,12 +165,12 @@ ORACLES = {
     "breadth_deadband": _breadth(0.0005),
     "inverted_index_local": _index(_LOCAL),
     "inverted_index_strict": _index(_STRICT),
-    "triage_status": f"WITH {_TRIAGE} SELECT symbol, date, nth::INTEGER AS nth, status, reasons FROM tri",
-    "triage_reason_counts": f"WITH {_TRIAGE} SELECT reason, count(*) AS hits FROM (SELECT unnest(list_concat(invalid, suspicious)) AS reason FROM tri) GROUP BY reason",
-    "quality_per_symbol": f"""WITH {_TRIAGE}, g AS (SELECT symbol, count(*) AS n_rows, count(*) FILTER (status = 'VALID') AS valid, count(*) FILTER (status = 'SUSPICIOUS') AS quarantined, count(*) FILTER (status = 'INVALID') AS rejected, max(date) AS own_last FROM tri GROUP BY symbol)
+    "triage_status": f"WITH {TRIAGE_SQL} SELECT symbol, date, nth::INTEGER AS nth, status, reasons FROM tri",
+    "triage_reason_counts": f"WITH {TRIAGE_SQL} SELECT reason, count(*) AS hits FROM (SELECT unnest(list_concat(invalid, suspicious)) AS reason FROM tri) GROUP BY reason",
+    "quality_per_symbol": f"""WITH {TRIAGE_SQL}, g AS (SELECT symbol, count(*) AS n_rows, count(*) FILTER (status = 'VALID') AS valid, count(*) FILTER (status = 'SUSPICIOUS') AS quarantined, count(*) FILTER (status = 'INVALID') AS rejected, max(date) AS own_last FROM tri GROUP BY symbol)
       SELECT symbol, n_rows, valid, quarantined, rejected, date_diff('day', own_last, max(own_last) OVER ())::INTEGER AS staleness_days, round(100.0 * (valid + quarantined) / n_rows, 6) AS coverage_score, valid + quarantined < 250 OR date_diff('day', own_last, max(own_last) OVER ()) > 10 AS violated FROM g""",
-    "quality_score": f"WITH {_TRIAGE} SELECT count(*) AS rows_in, count(*) FILTER (status = 'INVALID') AS rejected, round(100 * (count(*) FILTER (status = 'VALID') + 0.5 * count(*) FILTER (status = 'SUSPICIOUS')) / count(*), 6) AS score FROM tri",
-    "mad_outliers": f"WITH {_TRIAGE} SELECT symbol, date, nth::INTEGER AS nth, round(z, 4) AS z FROM tri WHERE z > 6",
+    "quality_score": f"WITH {TRIAGE_SQL} SELECT count(*) AS rows_in, count(*) FILTER (status = 'INVALID') AS rejected, round(100 * (count(*) FILTER (status = 'VALID') + 0.5 * count(*) FILTER (status = 'SUSPICIOUS')) / count(*), 6) AS score FROM tri",
+    "mad_outliers": f"WITH {TRIAGE_SQL} SELECT symbol, date, nth::INTEGER AS nth, round(z, 4) AS z FROM tri WHERE z > 6",
     "dedup_keep_first": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
     "event_clusters": """SELECT CAST(ts AS DATE) AS date, user_id % 7 AS sector, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS symbols, round(max(value), 6) AS severity, round(avg(value), 6) AS mean_severity, count(*) AS n_events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds
       FROM events GROUP BY 1, 2 ORDER BY severity DESC, n_events DESC, date, sector LIMIT 60""",

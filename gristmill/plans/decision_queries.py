@@ -9,7 +9,8 @@ from gristmill.functions.expr import r6
 from gristmill.operators import decisions as dc
 from gristmill.operators.intelligence import market_state
 from gristmill.operators.panel import MEMBERS, prediction_panel
-from gristmill.plans.base_sql import PANEL_SQL
+from gristmill.plans.aggregate_queries import TRIAGE_SQL, triaged
+from gristmill.plans.base_sql import BARS, PANEL_SQL
 from gristmill.plans.feature_queries import matrix
 from gristmill.plans.metric_queries import panel
 
@@ -19,6 +20,20 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.forecasts_of(prediction_panel(features), dc.position_risk(features), dc.regimes(market_state(features)))
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts whose quality, calibration, health, stability and coverage are measured as of their dates."""
+    return dc.measured_forecasts(forecasts(spark, sf_dir), panel(spark, sf_dir), dc.quality_to_date(triaged(spark, sf_dir)))
+
+
+def measured_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(spark, sf_dir).select("symbol", "date", "data_quality", "calibration_ece", "drift_state", "stability_score", r6(F.col("modality_coverage")).alias("modality_coverage"))
+
+
+def measured_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gated = dc.gate(measured(spark, sf_dir))
+    return gated.select("symbol", "date", "verdict", r6(F.col("trust"), 4).alias("trust"), F.array_join("blocking", "|").alias("blocking"))
+
+
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check fails."""
     gated = dc.gate(forecasts(spark, sf_dir))
@@ -98,7 +113,7 @@ def experiment_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.select("arm", r6(F.col("brier")).alias("brier"), r6(gain).alias("gain"), F.when(gain > 0.0005, "SUPPORTED").otherwise("NOT SUPPORTED").alias("conclusion"))
 
 
-QUERIES = {f.__name__: f for f in (gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, cemetery_topk, recommend_rank, forecast_audit, leaderboard_weights, market_pressure, experiment_arms)}
+QUERIES = {f.__name__: f for f in (measured_inputs, measured_verdicts, gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, cemetery_topk, recommend_rank, forecast_audit, leaderboard_weights, market_pressure, experiment_arms)}
 
 _P = f"WITH {PANEL_SQL}"
 STATE_SQL = """s1 AS (SELECT date, any_value(bench_ret_1) AS bench_ret_1, any_value(bench_trend_20) AS bench_trend_20, any_value(bench_vol_20) AS bench_vol_20, any_value(bench_vol_60) AS bench_vol_60, any_value(market_breadth) AS market_breadth, stddev_samp(ret_1) AS dispersion FROM feat GROUP BY date),
@@ -131,6 +146,20 @@ def _gate(src: str, to: str) -> str:
 {to} AS (SELECT *, CASE WHEN len(blocking) > 0 THEN 'NO ACTION' WHEN probability >= 0.5 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS verdict FROM {to}0)"""
 
 
+_GAPS = ", ".join(f"sum(CASE WHEN least(9, greatest(0, floor(p * 10))) = {i} THEN p - y ELSE 0 END) AS gap_{i}" for i in range(10))
+_EVER = " + ".join(f"abs(sum(gap_{i}) OVER e)" for i in range(10))
+_MEASURED = f"""{_FORECAST}, {TRIAGE_SQL.removeprefix(BARS + ",")},
+m0 AS (SELECT known_at AS date, count(*) AS n, sum((p - y) ** 2) AS loss, count(*) FILTER ((p >= 0.5) = (y = 1)) AS hits, {_GAPS} FROM panel WHERE known_at IS NOT NULL GROUP BY 1),
+m1 AS (SELECT date, ({_EVER}) / sum(n) OVER e AS ece, sum(hits) OVER l / sum(n) OVER l AS acc, sum(loss) OVER l / sum(n) OVER l - (sum(loss) OVER e - sum(loss) OVER l) / nullif(sum(n) OVER e - sum(n) OVER l, 0) AS worse
+  FROM m0 WINDOW e AS (ORDER BY date), l AS (ORDER BY date ROWS 119 PRECEDING)),
+known AS (SELECT date, round(ece, 6) AS ece, CASE WHEN acc < 0.45 THEN 'UNRELIABLE' WHEN worse > 0.02 THEN 'DEGRADED' WHEN worse > 0.008 THEN 'WATCH' ELSE 'HEALTHY' END AS drift FROM m1),
+q0 AS (SELECT symbol, date, sum(CASE status WHEN 'VALID' THEN 1.0 WHEN 'SUSPICIOUS' THEN 0.5 ELSE 0 END)::DOUBLE AS worth, count(*) AS n FROM tri GROUP BY 1, 2),
+qual AS (SELECT symbol, date, round(100 * sum(worth) OVER w / sum(n) OVER w, 6) AS dq FROM q0 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+t0 AS (SELECT symbol, date, p, p - lag(p) OVER w AS step, coalesce((p >= 0.5) <> (lag(p) OVER w >= 0.5), false)::INTEGER AS flip, ((day_move IS NOT NULL)::INTEGER + (corr_bench_60 IS NOT NULL)::INTEGER + (market_breadth IS NOT NULL)::INTEGER) / 3 AS cover FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+t1 AS (SELECT *, count(p) OVER (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING) AS k, sum(flip) OVER v AS flips, stddev_pop(step) OVER v AS sd FROM t0 WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS 8 PRECEDING)),
+t2 AS (SELECT symbol, date, cover, round(CASE WHEN k >= 3 THEN greatest(0.0, least(1.0, 1 - flips / (k - 1) - least(sd / 0.08, 1.0) * 0.5)) ELSE 0.5 END, 6) AS steady FROM t1),
+mf AS (SELECT fc.* REPLACE (coalesce(dq, 50.0) AS data_quality, coalesce(ece, 0.05) AS calibration_ece, coalesce(drift, 'HEALTHY') AS drift_state, steady AS stability_score, cover AS modality_coverage)
+  FROM fc JOIN t2 USING (symbol, date) LEFT JOIN qual USING (symbol, date) LEFT JOIN known USING (date))"""
 _SCENARIOS = {
     "VOLATILITY_X2": {"expected_move": "expected_move * 2", "risk_score": "least(100.0, risk_score * 1.6)", "uncertainty": "least(1.0, uncertainty + 0.12)"},
     "NEGATIVE_SENTIMENT": {"probability": "0.5 + (probability - 0.5) * 0.6", "uncertainty": "least(1.0, uncertainty + 0.1)"},
@@ -158,6 +187,8 @@ h2 AS (SELECT symbol, date, conviction, list_filter([CASE WHEN vs >= 0.9 THEN 'V
 fail AS (SELECT symbol, date, conviction, CASE WHEN len(t) > 0 THEN t ELSE ['UNEXPLAINED'] END AS tags FROM h2)"""
 _PROFILES = ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, (a, b, c, d) in dc.PROFILES.items())
 ORACLES = {
+    "measured_inputs": f"WITH {_MEASURED} SELECT symbol, date, data_quality::DOUBLE AS data_quality, calibration_ece::DOUBLE AS calibration_ece, drift_state, stability_score::DOUBLE AS stability_score, round(modality_coverage, 6) AS modality_coverage FROM mf",
+    "measured_verdicts": f"WITH {_MEASURED}, {_gate('mf', 'g')} SELECT symbol, date, verdict, round(trust, 4) AS trust, array_to_string(blocking, '|') AS blocking FROM g",
     "gate_checks": f"WITH {_FORECAST}, {_gate('fc', 'g')} SELECT u AS \"check\", count(*) AS failed FROM (SELECT unnest(blocking) AS u FROM g) GROUP BY 1",
     "gate_verdicts": f"WITH {_FORECAST}, {_gate('fc', 'g')} SELECT symbol, date, verdict, round(trust, 4) AS trust, round(net_edge_bps, 4) AS net_edge_bps, array_to_string(blocking, '|') AS blocking FROM g",
     "stress_grid": f"WITH {_FORECAST}, {_gate('fc', 'g')}, base AS (SELECT * EXCLUDE (blocking, net_edge_bps, trust, verdict), verdict AS base_verdict FROM g), {_STRESSED}, {_gate('st', 'z')} SELECT scenario, verdict, count(*) AS n, count(*) FILTER (verdict <> base_verdict) AS changed FROM z GROUP BY 1, 2",
