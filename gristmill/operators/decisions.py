@@ -132,11 +132,12 @@ def calibration_and_health(panel: DataFrame, sessions: int = 120, bins: int = 10
 
 
 def quality_to_date(triaged: DataFrame) -> DataFrame:
-    """(symbol, date, data_quality): valid rows of the symbol up to the date, suspicious ones by half, in percent."""
+    """(symbol, date, data_quality, quarantine_rate): valid rows of the symbol up to the date, suspicious ones by half,
+    in percent; and the share that isn't valid."""
     worth = F.sum(F.when(F.col("status") == "VALID", 1.0).when(F.col("status") == "SUSPICIOUS", 0.5).otherwise(0.0))
-    daily = triaged.groupBy("symbol", "date").agg(worth.alias("worth"), F.count("*").alias("n"))
+    daily = triaged.groupBy("symbol", "date").agg(worth.alias("worth"), F.count("*").alias("n"), F.count_if(F.col("status") != "VALID").alias("out"))
     past = W().rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select("symbol", "date", r6(100 * F.sum("worth").over(past) / F.sum("n").over(past)).alias("data_quality"))
+    return daily.select("symbol", "date", r6(100 * F.sum("worth").over(past) / F.sum("n").over(past)).alias("data_quality"), r6(F.sum("out").over(past) / F.sum("n").over(past)).alias("quarantine_rate"))
 
 
 def measured_forecasts(forecasts: DataFrame, panel: DataFrame, quality: DataFrame, n: int = 10) -> DataFrame:
@@ -153,7 +154,7 @@ def measured_forecasts(forecasts: DataFrame, panel: DataFrame, quality: DataFram
     own = steps.select("symbol", "date", r6(F.when(F.col("k") >= 3, score).otherwise(0.5)).alias("stability_score"), (sum(F.col(c).isNotNull().cast("int") for c in inputs) / len(inputs)).alias("modality_coverage"))
     known = calibration_and_health(panel)
     plain = forecasts.drop("data_quality", "calibration_ece", "drift_state", "stability_score", "modality_coverage")
-    rows = plain.join(own, ["symbol", "date"]).join(quality, ["symbol", "date"], "left").join(known, "date", "left")
+    rows = plain.join(own, ["symbol", "date"]).join(quality.select("symbol", "date", "data_quality"), ["symbol", "date"], "left").join(known, "date", "left")
     default = {"data_quality": 50.0, "calibration_ece": 0.05, "drift_state": "HEALTHY"}
     return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in default.items()})
 
@@ -273,6 +274,18 @@ def failure_tags(panel: DataFrame) -> DataFrame:
     return missed.select("symbol", "date", conviction.alias("conviction"), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("UNEXPLAINED"))).alias("tags"))
 
 
+def failure_causes(panel: DataFrame, regime: DataFrame, quality: DataFrame, quarantine: float = 0.05) -> DataFrame:
+    """``failure_tags`` and what was around the forecast: the regime changed on the date, an input was missing, or more
+    than ``quarantine`` of the symbol's rows up to then aren't valid."""
+    days = Window.partitionBy(F.lit(0)).orderBy("date")  # one row a day
+    shifts = regime.select("date", F.coalesce(F.col("regime") != F.lag("regime", 1).over(days), F.lit(False)).alias("shift"))
+    missing = panel.select("symbol", "date", (F.col("day_move").isNull() | F.col("corr_bench_60").isNull()).alias("missing"))
+    rows = failure_tags(panel).join(missing, ["symbol", "date"]).join(quality.select("symbol", "date", "quarantine_rate"), ["symbol", "date"], "left").join(shifts, "date", "left")
+    more = tags((F.col("shift"), "REGIME_SHIFT"), (F.col("missing"), "MISSING_MODALITY"), (F.col("quarantine_rate") > quarantine, "DATA_QUALITY"))
+    every = F.when(F.size(more) == 0, F.col("tags")).otherwise(F.concat(F.array_remove("tags", "UNEXPLAINED"), more))
+    return rows.select("symbol", "date", "conviction", every.alias("tags"))
+
+
 #: Weights of the risk profiles: trust, edge, risk, penalty on volatility.
 PROFILES = {"CONSERVATIVE": (0.45, 0.20, 0.35, 1.0), "BALANCED": (0.35, 0.35, 0.30, 0.6), "AGGRESSIVE": (0.25, 0.55, 0.20, 0.25)}
 

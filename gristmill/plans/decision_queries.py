@@ -82,6 +82,12 @@ def failure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.failure_tags(panel(spark, sf_dir)).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regime = dc.regimes(market_state(matrix(spark, sf_dir)))
+    rows = dc.failure_causes(panel(spark, sf_dir), regime, dc.quality_to_date(triaged(spark, sf_dir)))
+    return rows.select("symbol", "date", F.array_join("tags", "|").alias("tags"))
+
+
 def cemetery_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dc.failure_tags(panel(spark, sf_dir)).select("symbol", "date", r6(F.col("conviction")).alias("conviction"), F.array_join("tags", "|").alias("tags"))
     return rows.orderBy(F.desc("conviction"), "symbol", "date").limit(40)
@@ -113,7 +119,7 @@ def experiment_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.select("arm", r6(F.col("brier")).alias("brier"), r6(gain).alias("gain"), F.when(gain > 0.0005, "SUPPORTED").otherwise("NOT SUPPORTED").alias("conclusion"))
 
 
-QUERIES = {f.__name__: f for f in (measured_inputs, measured_verdicts, gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, cemetery_topk, recommend_rank, forecast_audit, leaderboard_weights, market_pressure, experiment_arms)}
+QUERIES = {f.__name__: f for f in (measured_inputs, measured_verdicts, failure_causes, gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, cemetery_topk, recommend_rank, forecast_audit, leaderboard_weights, market_pressure, experiment_arms)}
 
 _P = f"WITH {PANEL_SQL}"
 STATE_SQL = """s1 AS (SELECT date, any_value(bench_ret_1) AS bench_ret_1, any_value(bench_trend_20) AS bench_trend_20, any_value(bench_vol_20) AS bench_vol_20, any_value(bench_vol_60) AS bench_vol_60, any_value(market_breadth) AS market_breadth, stddev_samp(ret_1) AS dispersion FROM feat GROUP BY date),
@@ -185,6 +191,11 @@ h1 AS (SELECT *, sum(flip) OVER (PARTITION BY symbol ORDER BY date ROWS 2 PRECED
 h2 AS (SELECT symbol, date, conviction, list_filter([CASE WHEN vs >= 0.9 THEN 'VOLATILITY_SHOCK' END, CASE WHEN conviction < 0.055 THEN 'INSUFFICIENT_EVIDENCE' END, CASE WHEN agreement < 0.7 THEN 'MODEL_DISAGREEMENT' END,
   CASE WHEN agreement >= 0.7 AND conviction > 0.08 THEN 'MODEL_OVERCONFIDENCE' END, CASE WHEN flips > 1 THEN 'FORECAST_INSTABILITY' END], lambda x: x IS NOT NULL) AS t FROM h1 WHERE (p >= 0.5) <> (y = 1)),
 fail AS (SELECT symbol, date, conviction, CASE WHEN len(t) > 0 THEN t ELSE ['UNEXPLAINED'] END AS tags FROM h2)"""
+_CAUSES = f"""{_FAIL}, {STATE_SQL}, {TRIAGE_SQL.removeprefix(BARS + ",")},
+sh AS (SELECT date, coalesce(regime <> lag(regime) OVER (ORDER BY date), false) AS shift FROM regime),
+qq AS (SELECT symbol, date, sum(bad) OVER w / sum(n) OVER w AS rate FROM (SELECT symbol, date, count(*) FILTER (status <> 'VALID') AS bad, count(*) AS n FROM tri GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+cz AS (SELECT symbol, date, list_filter(tags, lambda x: x <> 'UNEXPLAINED') || list_filter([CASE WHEN shift THEN 'REGIME_SHIFT' END, CASE WHEN day_move IS NULL OR corr_bench_60 IS NULL THEN 'MISSING_MODALITY' END, CASE WHEN round(rate, 6) > 0.05 THEN 'DATA_QUALITY' END], lambda x: x IS NOT NULL) AS t
+  FROM fail JOIN (SELECT symbol, date, day_move, corr_bench_60 FROM panel) USING (symbol, date) LEFT JOIN qq USING (symbol, date) LEFT JOIN sh USING (date))"""
 _PROFILES = ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, (a, b, c, d) in dc.PROFILES.items())
 ORACLES = {
     "measured_inputs": f"WITH {_MEASURED} SELECT symbol, date, data_quality::DOUBLE AS data_quality, calibration_ece::DOUBLE AS calibration_ece, drift_state, stability_score::DOUBLE AS stability_score, round(modality_coverage, 6) AS modality_coverage FROM mf",
@@ -206,6 +217,7 @@ ORACLES = {
       SELECT n, round(100 * acc, 6) AS forecast_accuracy_pct, round(100 * sel, 6) AS selective_accuracy_pct, round(100 * cov, 6) AS action_coverage_pct, round(100 * (1 - cov), 6) AS abstention_rate_pct, round(m, 6) AS mean_net_bps, round(cov * m, 6) AS decision_utility_bps, round(-m0, 6) AS downside_avoidance_bps, round(m - m0, 6) AS abstention_value_bps,
         round(100 * win, 6) AS net_win_rate_pct, round(med, 6) AS median_net_bps, round(worst, 6) AS worst_bps, round(best, 6) AS best_bps, trades FROM q""",
     "failure_tags": f"{_FAIL} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM fail) GROUP BY 1",
+    "failure_causes": f"{_CAUSES} SELECT symbol, date, CASE WHEN len(t) = 0 THEN 'UNEXPLAINED' ELSE array_to_string(t, '|') END AS tags FROM cz",
     "cemetery_topk": f"{_FAIL} SELECT symbol, date, round(conviction, 6) AS conviction, array_to_string(tags, '|') AS tags FROM fail ORDER BY round(conviction, 6) DESC, symbol, date LIMIT 40",
     "recommend_rank": f"""WITH {_FORECAST}, {_gate('fc', 'g')}, pr(profile, wt, we, wr, wv) AS (VALUES {_PROFILES}),
       s AS (SELECT profile, symbol, date, verdict, CASE WHEN net_edge_bps IS NOT NULL THEN round(100 * (wt::DOUBLE * trust / 100 + we::DOUBLE * greatest(0.0, least(1.0, (net_edge_bps + 40) / 80)) + wr::DOUBLE * (1 - risk_score / 100) - wv::DOUBLE * 0.15 * least(expected_move * 10, 1.0)), 6) END AS score FROM g, pr)
