@@ -8,7 +8,7 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import clip
@@ -95,6 +95,32 @@ def adaptive_ensemble(panel: DataFrame, members: tuple[str, ...], dates: int = 6
     return rows.select("symbol", "date", clip(p, 1e-4, 1 - 1e-4).alias("p_raw"), *((weight[m] / total).alias(f"w_{m}") for m in members))
 
 
+def regime_ensemble(panel: DataFrame, regime: DataFrame, members: tuple[str, ...], dates: int = 120, first: int = 40, least: int = 200, sharpness: float = 12.0, shrink: float = 0.6) -> DataFrame:
+    """The adaptive ensemble by regime: where at least ``least`` outcomes of the date's regime are known, from the last
+    ``dates`` dates that brought any, their squared error counts as much as the members' error of all. Disagreement
+    of the members draws the probability toward 0.5. Weights are equal before ``first`` outcomes are known. A date without
+    a regime has the regime UNKNOWN."""
+    rows = panel.join(regime.select("date", "regime"), "date", "left").withColumn("regime", F.coalesce("regime", F.lit("UNKNOWN")))
+    sums = [*(F.sum(F.pow(F.col(m) - F.col("y"), 2)).alias(f"e_{m}") for m in members), F.count("*").alias("n")]
+    daily = rows.where("known_at is not null").groupBy("regime", F.col("known_at").alias("date")).agg(*sums)
+    whole = daily.groupBy("date").agg(*(F.sum(c).alias(c) for c in (*(f"e_{m}" for m in members), "n")))
+
+    def late(frame: DataFrame, key: Column, name: str) -> DataFrame:
+        w = Window.partitionBy(key).orderBy("date").rowsBetween(1 - dates, 0)  # a row a day and regime
+        return frame.withColumns({"tie": F.lit(0), f"n_{name}": F.sum("n").over(w), **{f"{name}_{m}": F.sum(f"e_{m}").over(w) / F.sum("n").over(w) for m in members}})
+
+    days = rows.select("regime", "date", F.lit(0).alias("one")).distinct()
+    days = asof(days, late(whole.withColumn("one", F.lit(0)), F.lit(0), "all"), ["one"], "date", ["n_all", *(f"all_{m}" for m in members)], tie="tie")
+    days = asof(days, late(daily, F.col("regime"), "own"), ["regime"], "date", ["n_own", *(f"own_{m}" for m in members)], tie="tie")
+    error = {m: F.when(F.col("n_all") < first, None).when(F.col("n_own") >= least, (F.col(f"all_{m}") + F.col(f"own_{m}")) / 2).otherwise(F.col(f"all_{m}")) for m in members}
+    weighted = days.select("regime", "date", *(F.coalesce(F.exp(-sharpness * error[m]), F.lit(1.0)).alias(f"v_{m}") for m in members))
+    out = rows.join(weighted, ["regime", "date"])
+    total = sum(F.col(f"v_{m}") for m in members)
+    p = sum(F.col(f"v_{m}") * F.col(m) for m in members) / total
+    pull = 1 - shrink * clip(F.col("spread") / 0.12, 0, 1) * (1 - F.col("agreement"))
+    return out.select("symbol", "date", "regime", clip(0.5 + (p - 0.5) * pull, 1e-4, 1 - 1e-4).alias("p_final"), *((F.col(f"v_{m}") / total).alias(f"w_{m}") for m in members))
+
+
 def regime_mixture(state: DataFrame, columns: list[str], k: int = 4, seed: int = 7, unsure: float = 0.55, least: int = 250, apply: DataFrame | None = None) -> DataFrame:
     """Gaussian mixture over the market's state, its components named by their centres: the most volatile, then the
     lowest and highest trend if they fall and rise; TRANSITION where no name is likely enough,

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6
+from gristmill.operators import decisions as dc
 from gristmill.operators import learning as ln
 from gristmill.operators import metrics as mt
+from gristmill.operators.intelligence import market_state
 from gristmill.operators.panel import MEMBERS
 from gristmill.plans.base_sql import PANEL_SQL
+from gristmill.plans.decision_queries import STATE_SQL
+from gristmill.plans.feature_queries import matrix
 from gristmill.plans.intelligence_queries import STATE_COLUMNS, state
 from gristmill.plans.metric_queries import panel
 
@@ -37,14 +41,29 @@ def adaptive_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "date", *(r6(F.col(c)).alias(c) for c in rows.columns if c not in ("symbol", "date")))
 
 
+def regime_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ln.regime_ensemble(panel(spark, sf_dir), dc.regimes(market_state(matrix(spark, sf_dir))), MEMBERS)
+    return rows.select("symbol", "date", "regime", *(r6(F.col(c)).alias(c) for c in rows.columns if c not in ("symbol", "date", "regime")))
+
+
 def regime_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.regime_history(state(spark, sf_dir), STATE_COLUMNS)
 
 
-QUERIES = {"walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_gmm": regime_gmm}
+QUERIES = {"walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_ensemble": regime_ensemble, "regime_gmm": regime_gmm}
 _W = {m: f"coalesce(exp(-12 * mse_{m}), 1.0)" for m in MEMBERS}
 _T = " + ".join(_W.values())
+_V = {m: f"coalesce(exp(-12 * CASE WHEN n_all < 40 THEN NULL WHEN n_own >= 200 THEN (all_{m} + own_{m}) / 2 ELSE all_{m} END), 1.0)" for m in MEMBERS}
+_VT = " + ".join(_V.values())
 ORACLES = {
+    "regime_ensemble": f"""WITH {PANEL_SQL}, {STATE_SQL}, pr AS (SELECT panel.*, coalesce(regime, 'UNKNOWN') AS regime FROM panel LEFT JOIN regime USING (date)),
+      er AS (SELECT known_at AS d, regime, {', '.join(f'sum(({m} - y) ** 2) AS e_{m}' for m in MEMBERS)}, count(*) AS n FROM pr WHERE known_at IS NOT NULL GROUP BY 1, 2),
+      ea AS (SELECT d, {', '.join(f'sum(e_{m}) AS e_{m}' for m in MEMBERS)}, sum(n) AS n FROM er GROUP BY 1),
+      ka AS (SELECT d, sum(n) OVER w AS n_all, {', '.join(f'sum(e_{m}) OVER w / sum(n) OVER w AS all_{m}' for m in MEMBERS)} FROM ea WINDOW w AS (ORDER BY d ROWS 119 PRECEDING)),
+      ko AS (SELECT d, regime AS r, sum(n) OVER w AS n_own, {', '.join(f'sum(e_{m}) OVER w / sum(n) OVER w AS own_{m}' for m in MEMBERS)} FROM er WINDOW w AS (PARTITION BY regime ORDER BY d ROWS 119 PRECEDING)),
+      ja AS (SELECT pr.*, ka.* EXCLUDE (d) FROM pr ASOF LEFT JOIN ka ON pr.date >= ka.d),
+      jo AS (SELECT ja.*, ko.* EXCLUDE (d, r) FROM ja ASOF LEFT JOIN ko ON ja.regime = ko.r AND ja.date >= ko.d)
+      SELECT symbol, date, regime, round(greatest(1e-4, least(1 - 1e-4, 0.5 + (({' + '.join(f'{_V[m]} * {m}' for m in MEMBERS)}) / ({_VT}) - 0.5) * (1 - 0.6 * greatest(0, least(1, spread / 0.12)) * (1 - agreement)))), 6) AS p_final, {', '.join(f'round({_V[m]} / ({_VT}), 6) AS w_{m}' for m in MEMBERS)} FROM jo""",
     "walkforward_folds": f"""WITH {PANEL_SQL}, sp AS (SELECT min(date) AS a, max(date) AS b FROM panel), c0 AS (SELECT b, unnest(range(0, 60)) AS i, a FROM sp), c1 AS (SELECT b, CAST(a + INTERVAL 36 MONTH AS DATE) AS f, i FROM c0), c2 AS (SELECT b, CAST(f + i * INTERVAL 6 MONTH AS DATE) AS cut FROM c1),
       fo AS (SELECT row_number() OVER (ORDER BY cut)::INTEGER AS fold, cut, coalesce(lead(cut) OVER (ORDER BY cut), b + 1) AS until FROM c2 WHERE cut <= b)
       SELECT fold, cut, until, count(*) FILTER (known_at < cut) AS n_train, count(*) FILTER (date >= cut AND date < until) AS n_test FROM fo JOIN panel ON known_at < cut OR (date >= cut AND date < until) GROUP BY 1, 2, 3""",
