@@ -113,15 +113,28 @@ def health_state(performance: DataFrame, drift: DataFrame, stability: DataFrame
     return row.select(F.element_at(F.array(*map(F.lit, HEALTH)), rank + 1).alias("state"), F.array_join(F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("nothing found"))), "; ").alias("reasons"), "high", "moderate")
 
 
-def conformal(panel: DataFrame, alpha: float = 0.2, least: int = 50, history: int = 500) -> DataFrame:
-    """Per date the (1 - alpha) quantile of past scores |return| / expected move, all of dates before it, and how
-    often the band held from ``history`` scores on. The history is that of one market: rows are dates times a
-    few symbols, and a date's scores come in together."""
-    rows = panel.where("day_move > 0").withColumn("score", F.abs("fwd_ret") / F.col("day_move"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.datediff("date", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"n_past": F.count("score").over(w), "q": F.percentile("score", F.lit(1 - alpha)).over(w)})
-    per_date = rows.groupBy("date").agg(F.max("n_past").alias("n_past"), F.max("q").alias("q"), F.count("*").alias("n"), F.count_if(F.col("score") <= F.col("q")).alias("inside"))
-    return per_date.where(F.col("n_past") >= least).select("date", "n_past", r6(F.col("q")).alias("q"), "n", F.when(F.col("n_past") >= history, F.col("inside")).alias("inside"))
+def conformal(panel: DataFrame, alpha: float = 0.2, least: int = 50, history: int = 500, ranges: int = 256) -> DataFrame:
+    """Per date the exact (1 - alpha) quantile of past scores |return| / expected move, all of dates before it, and
+    how often the band held from ``history`` scores on. Scores are cut into ``ranges`` of about equal size; counts by
+    date and range tell in which of them the two values around the quantile lie, and only those are ranked."""
+    rows = panel.where("day_move > 0").select("date", (F.abs("fwd_ret") / F.col("day_move")).alias("score"))
+    edges = rows.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("edges"))  # one row
+    placed = rows.crossJoin(F.broadcast(edges)).withColumn("slot", F.when(F.col("score").isNotNull(), F.size(F.filter("edges", lambda e: e <= F.col("score"))))).drop("edges")
+    cells = placed.groupBy("date", "slot").agg(F.count("score").alias("n"))
+    grid = cells.select("date").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    before = Window.partitionBy("slot").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    past = grid.join(cells, ["date", "slot"], "left").withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    upto = Window.partitionBy("date").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    past = past.withColumns({"n_past": F.sum("n").over(Window.partitionBy("date")), "upto": F.sum("n").over(upto)}).where(F.col("n_past") >= least)
+    at = (F.col("n_past") - 1) * F.lit(1 - alpha)
+    sides = F.explode(F.array(*(F.struct(f(at).cast("long").alias("k"), (at - F.floor(at)).alias("part")) for f in (F.floor, F.ceil))))
+    sides = past.select("date", "slot", "n_past", "n", "upto", sides.alias("side")).where("side.k < upto and side.k >= upto - n")
+    asked = sides.groupBy(F.col("date").alias("day"), "slot", "n_past").agg(F.collect_set(F.col("side.k") - F.col("upto") + F.col("n")).alias("ks"), F.max("side.part").alias("part"))
+    ranked = asked.join(placed, "slot").where("date < day").withColumn("k", F.row_number().over(Window.partitionBy("day", "slot").orderBy("score")) - 1)
+    ends = ranked.where(F.array_contains("ks", F.col("k").cast("long"))).groupBy("day").agg(F.max("n_past").alias("n_past"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.max("part").alias("part"))
+    q = ends.select(F.col("day").alias("date"), "n_past", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
+    out = rows.join(q, "date").groupBy("date", "n_past", "q").agg(F.count("*").alias("n"), F.count_if(F.col("score") <= F.col("q")).alias("inside"))
+    return out.select("date", "n_past", r6(F.col("q")).alias("q"), "n", F.when(F.col("n_past") >= history, F.col("inside")).alias("inside"))
 
 
 def stability(panel: DataFrame, n: int = 10) -> DataFrame:

@@ -59,7 +59,7 @@ def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.conformal(panel(spark, sf_dir).where("symbol = '1-URGENT'"))
+    return mt.conformal(panel(spark, sf_dir))
 
 
 def stability_last10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +126,9 @@ ORACLES = {
         CASE WHEN high > 0 AND high < 3 THEN {{'l': 1, 't': 'some drift'}} END, CASE WHEN high = 0 AND moderate >= 5 THEN {{'l': 1, 't': 'much moderate drift'}} END, CASE WHEN brier_degradation > 0.02 THEN {{'l': 2, 't': 'brier degraded'}} END,
         CASE WHEN brier_degradation > 0.008 AND brier_degradation <= 0.02 THEN {{'l': 1, 't': 'brier slipping'}} END, CASE WHEN recent_accuracy < 0.45 THEN {{'l': 3, 't': 'recent accuracy low'}} END, CASE WHEN stability_score < 0.35 THEN {{'l': 1, 't': 'forecasts unstable'}} END], lambda x: x IS NOT NULL) AS r FROM perf, c, m)
       SELECT ['HEALTHY', 'WATCH', 'DEGRADED', 'UNRELIABLE'][coalesce(list_max(list_transform(r, lambda x: x.l)), 0) + 1] AS state, CASE WHEN len(r) = 0 THEN 'nothing found' ELSE array_to_string(list_transform(r, lambda x: x.t), '; ') END AS reasons, high, moderate FROM g""",
-    "conformal_coverage": f"""{_P}, s AS (SELECT date, abs(fwd_ret) / day_move AS score FROM panel WHERE symbol = '1-URGENT' AND day_move > 0),
-      d AS (SELECT a.date, (SELECT count(*) FROM s b WHERE b.date < a.date) AS n_past, (SELECT quantile_cont(score, 0.8) FROM s b WHERE b.date < a.date) AS q, a.score FROM s a)
-      SELECT date, max(n_past) AS n_past, round(max(q), 6) AS q, count(*) AS n, CASE WHEN max(n_past) >= 500 THEN count(*) FILTER (score <= q) END AS inside FROM d GROUP BY date HAVING max(n_past) >= 50""",
+    "conformal_coverage": f"""{_P}, s AS (SELECT date, abs(fwd_ret) / day_move AS score FROM panel WHERE day_move > 0),
+      d AS (SELECT a.date, count(b.score) AS n_past, quantile_cont(b.score, 0.8) AS q FROM (SELECT DISTINCT date FROM s) a JOIN s b ON b.date < a.date GROUP BY 1 HAVING count(b.score) >= 50)
+      SELECT date, n_past, round(q, 6) AS q, count(*) AS n, CASE WHEN n_past >= 500 THEN count(*) FILTER (score <= q) END AS inside FROM d JOIN s USING (date) GROUP BY date, n_past, q""",
     "stability_last10": f"{_P}, {_STAB} SELECT * FROM stab",
     "uncertainty": f"{_P} SELECT symbol, date, round(spread, 6) AS spread, round({_U}, 6) AS uncertainty, CASE WHEN {_U} < 0.4 THEN 'LOW' WHEN {_U} < 0.68 THEN 'MEDIUM' ELSE 'HIGH' END AS label FROM panel",
     "value_quantiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(median(abs(value)), 6) AS median_abs FROM events GROUP BY 1",
