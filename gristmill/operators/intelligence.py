@@ -65,7 +65,7 @@ def pattern_library(state: DataFrame, horizon: int = 5) -> DataFrame:
 def similar_states(state: DataFrame, columns: list[str], k: int = 3, apart: int = 20, least: int = 50, days: DataFrame | None = None) -> DataFrame:
     """For each of ``days`` (column date; each month's last if none are given) the k nearest earlier states by
     distance, at least ``apart`` sessions before and scaled by what was known then. Days pair with those asked for
-    only; a state's scale comes from its own past."""
+    only, a market's sessions being a row a day; a state's scale comes from its own past."""
     w = _days()
     seen = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = state.na.drop(subset=columns).withColumn("i", F.row_number().over(w))

@@ -38,7 +38,9 @@ def pattern_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return it.similar_states(state(spark, sf_dir), STATE_COLUMNS)
+    """The nearest earlier states of every session."""
+    days = state(spark, sf_dir)
+    return it.similar_states(days, STATE_COLUMNS, days=days)
 
 
 def evidence_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +205,7 @@ ORACLES = {
     "pattern_library": f"""{_PATTERN} SELECT pattern, count(*) FILTER (o) AS occurrences, round(100 * avg(o::INTEGER), 6) AS frequency_pct, min(date) FILTER (o) AS first_seen, max(date) FILTER (o) AS last_seen, round(100 * avg(forward) FILTER (o), 6) AS forward_mean_pct, round(100 * median(forward) FILTER (o), 6) AS forward_median_pct,
       round(100 * avg((forward > 0)::INTEGER) FILTER (o), 6) AS up_rate_pct, round(100 * avg((forward > 0)::INTEGER), 6) AS baseline_up_rate_pct, count(forward) FILTER (o) < 30 AS small_sample, arg_max(o, date) AS active FROM px GROUP BY pattern""",
     "knn_states": f"""{_S}, z0 AS (SELECT *, row_number() OVER (ORDER BY date) AS i, {_KNN_M} FROM state WHERE {' AND '.join(c + ' IS NOT NULL' for c in STATE_COLUMNS)}),
-      z1 AS (SELECT * FROM (SELECT *, lead(date) OVER (ORDER BY date) AS nxt FROM z0) WHERE (nxt IS NULL OR month(nxt) <> month(date)) AND i > 70),
+      z1 AS (SELECT * FROM z0 WHERE i > 70),
       z2 AS (SELECT a.date, b.date AS match, sqrt({_KNN_D}) AS distance FROM z1 a JOIN z0 b ON b.i <= a.i - 20)
       SELECT date, match, row_number() OVER (PARTITION BY date ORDER BY distance, match)::INTEGER AS place, round(distance, 6) AS distance FROM z2 QUALIFY row_number() OVER (PARTITION BY date ORDER BY distance, match) <= 3""",
     "evidence_conflict": f"WITH {PANEL_SQL}, {_EV} SELECT symbol, date, channels::INTEGER AS channels, round(s, 6) AS supporting, round(a, 6) AS contradicting, round(c, 6) AS conflict, CASE WHEN c > 0.38 THEN 'CONTRADICTED' WHEN s <> a THEN 'SUPPORTED' ELSE 'UNCERTAIN' END AS state FROM ev",
