@@ -34,6 +34,7 @@ COSTS = Costs()
 MIN_EDGE, BAND = 12.0, 0.055
 
 
+# Names, limits and weights of the checks.
 def gate_checks(costs: Costs = COSTS) -> list[tuple[str, Column, float]]:
     """(name, passed, weight) of the checks, in order, over the columns of a forecast."""
     c = F.col
@@ -63,7 +64,7 @@ def gate(forecasts: DataFrame, costs: Costs = COSTS) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
-#: What each scenario does to a forecast: column -> new value.
+#: What each scenario does to a forecast: column -> new value. Names and amounts are fixed values.
 def scenarios() -> dict[str, dict[str, Column]]:
     c, up = F.col, lambda x, d: F.least(F.lit(1.0), F.col(x) + d)
     toward = lambda k: 0.5 + (c("probability") - 0.5) * k
@@ -286,7 +287,7 @@ def failure_causes(panel: DataFrame, regime: DataFrame, quality: DataFrame, quar
     return rows.select("symbol", "date", "conviction", every.alias("tags"))
 
 
-#: Weights of the risk profiles: trust, edge, risk, penalty on volatility.
+#: Fixed values, weights of the risk profiles: trust, edge, risk, penalty on volatility.
 PROFILES = {"CONSERVATIVE": (0.45, 0.20, 0.35, 1.0), "BALANCED": (0.35, 0.35, 0.30, 0.6), "AGGRESSIVE": (0.25, 0.55, 0.20, 0.25)}
 
 
