@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat_tools, decontamination, fingerprints, html_text, ngram_join, quality, segmentations, token_counts, token_files, url_filters
+from gristmill.llm import chat_tools, decontamination, filter_audit, fingerprints, html_text, importance, ngram_join, quality, segmentations, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_text": op2_html_text,
@@ -86,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
     "op10_quality": op10_quality,
+    "op11_importance": op11_importance,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +103,6 @@ ORACLES: dict[str, str] = {
     "op4_chat_tools": chat_tools.ORACLE,
     "op8_fingerprints": fingerprints.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
