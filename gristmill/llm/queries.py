@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat_tools, decontamination, filter_audit, fingerprints, html_text, importance, ngram_join, quality, segmentations, token_counts, token_files, url_filters
+from gristmill.llm import chat_tools, decontamination, filter_audit, fingerprints, html_text, importance, near_vectors, ngram_join, quality, segmentations, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_text": op2_html_text,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_importance": op11_importance,
     "op12_filter_audit": op12_filter_audit,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
@@ -105,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op9_url_filters": url_filters.ORACLE,
     "op11_importance": importance.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_near_vectors": near_vectors.ORACLE,
 }
