@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import clip
+from gristmill.operators import boosting as bo
 from gristmill.operators.joins import asof
+from gristmill.sources.lake import written
 
 
 def folds(panel: DataFrame, first_months: int = 36, step_months: int = 6) -> DataFrame:
@@ -25,9 +27,11 @@ def folds(panel: DataFrame, first_months: int = 36, step_months: int = 6) -> Dat
 
 def fold_counts(panel: DataFrame, first_months: int = 36, step_months: int = 6) -> DataFrame:
     """How many rows each fold trains on (outcome known before the cut) and is tested on."""
-    f = F.broadcast(folds(panel, first_months, step_months))
-    train, test = F.col("known_at") < F.col("cut"), (F.col("date") >= F.col("cut")) & (F.col("date") < F.col("until"))
-    return panel.join(f, train | test).groupBy("fold", "cut", "until").agg(F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"))
+    rows = panel.select("date", "known_at", "y")
+    f = folds(rows, first_months, step_months)
+    cuts = [r["cut"] for r in f.orderBy("fold").collect()]  # a dozen
+    spans = fold_spans(bo.fold_places(rows, cuts), len(cuts))
+    return f.join(F.broadcast(spans), "fold").select("fold", "cut", "until", "n_train", "n_test")
 
 
 def estimator(kind: str):
@@ -35,16 +39,53 @@ def estimator(kind: str):
     return {
         "lr": lambda: LogisticRegression(**common, regParam=0.01, maxIter=25),
         "rf": lambda: RandomForestClassifier(**common, numTrees=300, maxDepth=7, minInstancesPerNode=40, seed=7),
-        "gbt": lambda: GBTClassifier(**common, maxIter=350, maxDepth=4, stepSize=0.045, subsamplingRate=0.85, seed=7),
     }[kind]()
 
 
-def walk_forward(panel: DataFrame, kind: str, columns: list[str], first_months: int = 36, step_months: int = 6) -> DataFrame:
-    """Out-of-sample probabilities: each fold's model is fitted on rows whose outcome was known before its cut.
-    Imputation and scaling are fitted on the same rows."""
-    rows = panel.select("symbol", "date", "known_at", "y", *columns).cache()
+def assert_chronological(counts: DataFrame) -> None:
+    """Raise unless in every fold (see fold_spans) the last outcome that trains was known, and its row dated, before the
+    first row that is tested. Folds without rows on a side pass."""
+    bad = counts.where("last_known >= first_test or last_trained >= first_test").orderBy("fold").limit(1).collect()
+    if bad:
+        raise ValueError(f"fold {bad[0]['fold']}: trains on {bad[0]['last_trained']}, known on {bad[0]['last_known']}, tests from {bad[0]['first_test']}")
+
+
+def fold_spans(placed: DataFrame, n_folds: int) -> DataFrame:
+    """(fold, n_train, n_test, last_trained, last_known, first_test, last_test) of rows with their ``first`` and ``test``
+    (see boosting.fold_places). Rows are summed by place, so no row is paired with its folds; what a fold trains on adds
+    up over the places before it, a row a fold."""
+    days = placed.groupBy("first", "test").agg(F.count("*").alias("n"), F.max("date").alias("day"), F.max("known_at").alias("known"), F.min("date").alias("from"))
+    spark = placed.sparkSession
+    folds_ = F.broadcast(spark.range(n_folds).withColumnRenamed("id", "fold"))
+    pairs = days.join(folds_, (F.col("first") <= F.col("fold")) | (F.col("test") == F.col("fold")))  # folds squared
+    train, test = F.col("first") <= F.col("fold"), F.col("test") == F.col("fold")
+    own = lambda f, c, side: f(F.when(side, F.col(c)))
+    out = pairs.groupBy((F.col("fold") + 1).cast("int").alias("fold")).agg(
+        F.coalesce(own(F.sum, "n", train), F.lit(0)).alias("n_train"),
+        F.coalesce(own(F.sum, "n", test), F.lit(0)).alias("n_test"),
+        own(F.max, "day", train).alias("last_trained"),
+        own(F.max, "known", train).alias("last_known"),
+        own(F.min, "from", test).alias("first_test"),
+        own(F.max, "day", test).alias("last_test"),
+    )
+    return out
+
+
+def walk_forward(panel: DataFrame, kind: str, columns: list[str], first_months: int = 36, step_months: int = 6, boosting: bo.Boosting = bo.Boosting()) -> DataFrame:
+    """(symbol, date, y, p, fold), out of sample: each fold's model is fitted on rows whose outcome was known before its
+    cut, and raises if one wasn't. Kinds: baseline (share of rises and the first column's momentum), gbt (all folds at
+    once), lr and rf (a fold after the other, by Spark's library). Imputation and scaling are fitted on the same rows."""
+    rows = written(panel.select("symbol", "date", "known_at", "y", *columns), "panel")
+    found = folds(rows, first_months, step_months).orderBy("fold").collect()  # a dozen rows
+    cuts = [f["cut"] for f in found]
+    placed = bo.fold_places(rows, cuts)
+    assert_chronological(fold_spans(placed, len(cuts)))
+    if kind == "baseline":
+        return bo.momentum_baseline(placed, cuts, columns[0])
+    if kind == "gbt":
+        return bo.walk_forward_boosting(placed, cuts, columns, boosting)
     out = None
-    for fold in folds(rows, first_months, step_months).orderBy("fold").collect():  # a dozen rows
+    for fold in found:
         filled = [f"{c}_f" for c in columns]
         steps = [Imputer(inputCols=columns, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), estimator(kind)]
         model = Pipeline(stages=steps).fit(rows.where(F.col("known_at") < F.lit(fold["cut"])))

@@ -50,12 +50,17 @@ def regime_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.regime_history(state(spark, sf_dir), STATE_COLUMNS)
 
 
-QUERIES = {"walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_ensemble": regime_ensemble, "regime_gmm": regime_gmm}
+QUERIES = {"walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("baseline", "lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_ensemble": regime_ensemble, "regime_gmm": regime_gmm}
 _W = {m: f"coalesce(exp(-12 * mse_{m}), 1.0)" for m in MEMBERS}
 _T = " + ".join(_W.values())
 _V = {m: f"coalesce(exp(-12 * CASE WHEN n_all < 40 THEN NULL WHEN n_own >= 200 THEN (all_{m} + own_{m}) / 2 ELSE all_{m} END), 1.0)" for m in MEMBERS}
 _VT = " + ".join(_V.values())
+_FOLDS = """sp AS (SELECT min(date) AS a, max(date) AS b FROM panel), c0 AS (SELECT b, unnest(range(0, 60)) AS i, a FROM sp), c1 AS (SELECT b, CAST(a + INTERVAL 36 MONTH AS DATE) AS f, i FROM c0),
+      c2 AS (SELECT b, CAST(f + i * INTERVAL 6 MONTH AS DATE) AS cut FROM c1), fo AS (SELECT row_number() OVER (ORDER BY cut)::INTEGER AS fold, cut, coalesce(lead(cut) OVER (ORDER BY cut), b + 1) AS until FROM c2 WHERE cut <= b)"""
 ORACLES = {
+    "walkforward_baseline": f"""WITH {PANEL_SQL}, {_FOLDS}, st AS (SELECT fold, greatest(0.01, least(0.99, avg(y))) AS base, stddev_pop(p1) AS sc FROM fo JOIN panel ON known_at < cut GROUP BY 1),
+      pr AS (SELECT fold, y, greatest(0.01, least(0.99, base + 0.08 * tanh(p1 / (2 * CASE WHEN sc > 0 THEN sc ELSE 1 END)))) AS p FROM fo JOIN st USING (fold) JOIN panel ON date >= cut AND date < until)
+      SELECT fold, count(*) AS n, round(avg(((p >= 0.5) = (y = 1))::INTEGER), 6) AS accuracy, round(avg((p - y) ** 2), 6) AS brier FROM pr GROUP BY 1 HAVING count(*) >= 50""",
     "regime_ensemble": f"""WITH {PANEL_SQL}, {STATE_SQL}, pr AS (SELECT panel.*, coalesce(regime, 'UNKNOWN') AS regime FROM panel LEFT JOIN regime USING (date)),
       er AS (SELECT known_at AS d, regime, {', '.join(f'sum(({m} - y) ** 2) AS e_{m}' for m in MEMBERS)}, count(*) AS n FROM pr WHERE known_at IS NOT NULL GROUP BY 1, 2),
       ea AS (SELECT d, {', '.join(f'sum(e_{m}) AS e_{m}' for m in MEMBERS)}, sum(n) AS n FROM er GROUP BY 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,9 +75,21 @@ def shared_folder(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gristmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: computed once, and safe from lost executors. It goes when the
+    driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gristmill/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def upsert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows replaced by those with the same keys, and the new ones added."""
     return stored.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)

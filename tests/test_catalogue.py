@@ -5,7 +5,7 @@ import pytest
 from compare import assert_same, views
 from gristmill.plans import catalogue
 
-SLOW = {"walkforward_rf", "walkforward_gbt", "truncation_invariance"}
+SLOW = {"walkforward_rf", "truncation_invariance"}
 
 
 @pytest.fixture(scope="module")
