@@ -11,6 +11,7 @@ from gristmill.functions.expr import r6
 from gristmill.operators import decisions as dc
 from gristmill.operators import learning as ln
 from gristmill.operators import metrics as mt
+from gristmill.operators import replaying as rp
 from gristmill.operators.intelligence import market_state
 from gristmill.operators.panel import MEMBERS
 from gristmill.plans.base_sql import PANEL_SQL
@@ -50,14 +51,41 @@ def regime_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.regime_history(state(spark, sf_dir), STATE_COLUMNS)
 
 
-QUERIES = {"walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("baseline", "lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_ensemble": regime_ensemble, "regime_gmm": regime_gmm}
+def replay_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.replay_model(panel(spark, sf_dir), list(MEMBERS))
+
+
+def replay_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.replay_timeline(replay_model(spark, sf_dir))
+
+
+QUERIES = {"replay_model": replay_model, "replay_timeline": replay_timeline, "walkforward_folds": walkforward_folds, **{f"walkforward_{k}": partial(walkforward, k) for k in ("baseline", "lr", "rf", "gbt")}, "isotonic_rolling": isotonic_rolling, "adaptive_ensemble": adaptive_ensemble, "regime_ensemble": regime_ensemble, "regime_gmm": regime_gmm}
 _W = {m: f"coalesce(exp(-12 * mse_{m}), 1.0)" for m in MEMBERS}
 _T = " + ".join(_W.values())
 _V = {m: f"coalesce(exp(-12 * CASE WHEN n_all < 40 THEN NULL WHEN n_own >= 200 THEN (all_{m} + own_{m}) / 2 ELSE all_{m} END), 1.0)" for m in MEMBERS}
 _VT = " + ".join(_V.values())
 _FOLDS = """sp AS (SELECT min(date) AS a, max(date) AS b FROM panel), c0 AS (SELECT b, unnest(range(0, 60)) AS i, a FROM sp), c1 AS (SELECT b, CAST(a + INTERVAL 36 MONTH AS DATE) AS f, i FROM c0),
       c2 AS (SELECT b, CAST(f + i * INTERVAL 6 MONTH AS DATE) AS cut FROM c1), fo AS (SELECT row_number() OVER (ORDER BY cut)::INTEGER AS fold, cut, coalesce(lead(cut) OVER (ORDER BY cut), b + 1) AS until FROM c2 WHERE cut <= b)"""
+_I = range(3)
+_PAIRS = [(i, j) for i in _I for j in _I if i <= j]
+_X = dict(enumerate(MEMBERS))
+_C = {(i, j): f"(xx_{min(i, j)}_{max(i, j)} - x_{i} * x_{j} / n)" + (" * 1.01" if i == j else "") for i in _I for j in _I}
+_DET = "(a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02))"
+_REPLAY = f"""{PANEL_SQL}, mo AS (SELECT known_at AS d, max(date) AS last, count(*) AS n, sum(y) AS y, {', '.join(f'sum({_X[i]}) AS x_{i}, sum({_X[i]} * y) AS xy_{i}' for i in _I)}, {', '.join(f'sum({_X[i]} * {_X[j]}) AS xx_{i}_{j}' for i, j in _PAIRS)} FROM panel WHERE known_at IS NOT NULL GROUP BY 1),
+      up AS (SELECT d, max(last) OVER w AS last, sum(n) OVER w AS n, sum(y) OVER w AS y, {', '.join(f'sum(x_{i}) OVER w AS x_{i}, sum(xy_{i}) OVER w AS xy_{i}' for i in _I)}, {', '.join(f'sum(xx_{i}_{j}) OVER w AS xx_{i}_{j}' for i, j in _PAIRS)} FROM mo WINDOW w AS (ORDER BY d)),
+      ma AS (SELECT d, last, n, y / n AS base, {', '.join(f'x_{i} / n AS m{i}, xy_{i} - x_{i} * y / n AS c{i}' for i in _I)}, {', '.join(f'{_C[i, j]} AS a{i}{j}' for i, j in _PAIRS)} FROM up WHERE n >= 200),
+      so AS (SELECT *, (c0 * (a11 * a22 - a12 * a12) - a01 * (c1 * a22 - a12 * c2) + a02 * (c1 * a12 - a11 * c2)) / {_DET} AS b0, (a00 * (c1 * a22 - a12 * c2) - c0 * (a01 * a22 - a12 * a02) + a02 * (a01 * c2 - c1 * a02)) / {_DET} AS b1,
+        (a00 * (a11 * c2 - c1 * a12) - a01 * (a01 * c2 - c1 * a02) + c0 * (a01 * a12 - a11 * a02)) / {_DET} AS b2 FROM ma),
+      ah AS (SELECT *, CASE WHEN count(fwd_ret) OVER f = 5 THEN exp(sum(ln(1 + fwd_ret)) OVER f) - 1 END AS realised, CASE WHEN count(fwd_ret) OVER f = 5 THEN last_value(known_at) OVER f END AS resolved_on, count(*) OVER g AS sessions_after FROM panel
+        WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), g AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+      fc AS (SELECT ah.*, so.n AS n_train, so.last AS train_end, greatest(0.01, least(0.99, base + b0 * (p1 - m0) + b1 * (p2 - m1) + b2 * (p3 - m2))) AS q FROM ah ASOF JOIN so ON ah.date > so.d),
+      ac AS (SELECT *, abs(q - 0.5) >= 0.055 AND 2 * abs(q - 0.5) * coalesce(day_move, 0) * 10000 - 18 >= 12 AS acts, CASE WHEN realised IS NOT NULL THEN (q >= 0.5) = (realised > 0) END AS correct FROM fc),
+      re AS (SELECT symbol, date, n_train::BIGINT AS n_train, train_end, round(q, 6) AS p, CASE WHEN NOT acts THEN 'NO ACTION' WHEN q >= 0.5 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS verdict, round(realised, 6) AS realised, resolved_on, correct,
+        CASE WHEN realised IS NULL THEN 'PENDING' WHEN acts AND correct THEN 'GOOD_DECISION_GOOD_OUTCOME' WHEN acts THEN 'GOOD_DECISION_BAD_OUTCOME' WHEN abs(realised) * 10000 < 18 THEN 'GOOD_ABSTENTION' WHEN correct THEN 'MISSED_OPPORTUNITY' ELSE 'AVOIDED_LOSS' END AS decision_quality, sessions_after FROM ac)"""
 ORACLES = {
+    "replay_model": f"WITH {_REPLAY} SELECT * FROM re",
+    "replay_timeline": f"""WITH {_REPLAY}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS k FROM re)
+      SELECT symbol, count(*) AS points, count(correct) AS resolved, round(100 * avg(correct::INTEGER), 6) AS hit_rate_pct, round(100 * avg((verdict <> 'NO ACTION')::INTEGER), 6) AS action_rate_pct, count(*) FILTER (train_end >= date) AS leaks FROM k WHERE k % 20 = 0 GROUP BY 1""",
     "walkforward_baseline": f"""WITH {PANEL_SQL}, {_FOLDS}, st AS (SELECT fold, greatest(0.01, least(0.99, avg(y))) AS base, stddev_pop(p1) AS sc FROM fo JOIN panel ON known_at < cut GROUP BY 1),
       pr AS (SELECT fold, y, greatest(0.01, least(0.99, base + 0.08 * tanh(p1 / (2 * CASE WHEN sc > 0 THEN sc ELSE 1 END)))) AS p FROM fo JOIN st USING (fold) JOIN panel ON date >= cut AND date < until)
       SELECT fold, count(*) AS n, round(avg(((p >= 0.5) = (y = 1))::INTEGER), 6) AS accuracy, round(avg((p - y) ** 2), 6) AS brier FROM pr GROUP BY 1 HAVING count(*) >= 50""",
