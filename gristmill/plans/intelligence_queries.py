@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6
 from gristmill.operators import aggregates as ag
 from gristmill.operators import decisions as dc
+from gristmill.operators import graph as gr
 from gristmill.operators import intelligence as it
 from gristmill.operators import texts as tx
 from gristmill.plans.base_sql import FEATURES_SQL, PANEL_SQL
@@ -15,7 +16,7 @@ from gristmill.plans.decision_queries import STATE_SQL
 from gristmill.plans.feature_queries import matrix
 from gristmill.plans.metric_queries import panel
 from gristmill.sources import tables as tb
-from gristmill.sources.lake import shared_folder
+from gristmill.sources.lake import shared_folder, written
 
 STATE_COLUMNS = ["bench_trend_20", "bench_vol_20", "market_breadth_20", "dispersion_20"]
 
@@ -104,6 +105,36 @@ def _checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str, node: Column) -> DataFrame:
+    """(src, dst, weight): how often two of an order's parts, or groups of parts, are next to each other by part number.
+    An order gives an edge less than it has lines."""
+    parts = tb.read(spark, sf_dir, "part")
+    groups = parts.select("p_partkey", F.min("p_partkey").over(Window.partitionBy(node)).alias("node"))
+    items = tb.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(groups, "p_partkey")
+    follows = F.lag("node", 1).over(Window.partitionBy("l_orderkey").orderBy("p_partkey"))
+    rows = items.select(follows.alias("src"), F.col("node").alias("dst")).where("src <> dst")
+    return rows.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("weight"))
+
+
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the parts that are ordered together, with their commonest brand."""
+    found = gr.communities(_neighbours(spark, sf_dir, F.col("p_partkey")))
+    brands = tb.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("group"))
+    return gr.community_summary(found, brands)
+
+
+def graph_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, strength, eigen, betweenness) of the groups of parts by brand and type; two that are often ordered together
+    are near."""
+    edges = written(_neighbours(spark, sf_dir, F.concat_ws("|", "p_brand", "p_type")), "part_groups")
+    pairs = edges.select("src", "dst", F.col("weight").alias("correlation"))
+    _checkpoints(spark)
+    eigen = gr.eigenvector(edges, it.components(pairs))
+    between = gr.betweenness(edges, distance=1 / F.col("w"))
+    strength = it.degrees(pairs).select("node", F.col("strength").alias("strength"))
+    return strength.join(eigen, "node").join(between, "node").select("node", "strength", r6(F.col("eigen")).alias("eigen"), r6(F.col("betweenness")).alias("betweenness"))
+
+
 def instrument_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours that the names of parts mention."""
     parts = tb.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"))
@@ -174,7 +205,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.search(frames, "Er#00000001")
 
 
-QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits, graph_density, graph_pagerank, instrument_mentions, case_documents, graph_components_all, flatten_paths_all, case_similar_days)}
+QUERIES = {f.__name__: f for f in (market_state, regime_changes, pattern_library, knn_states, evidence_conflict, corr_edges, corr_change, degree_strength, graph_components, lexicon_sentiment, event_category, props_json, flatten_paths, search_hits, graph_density, graph_pagerank, instrument_mentions, case_documents, graph_components_all, flatten_paths_all, case_similar_days, graph_communities, graph_centrality)}
 
 _S = f"WITH {FEATURES_SQL}, {STATE_SQL}"
 _PAIRS_SQL = """ser AS (SELECT (c_nationkey % 6)::BIGINT AS node, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
