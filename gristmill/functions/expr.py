@@ -33,13 +33,6 @@ def rolling(fn, c: str | Column, n: int, w: WindowSpec, partial: bool = False) -
     return value if partial else F.when(F.count(c).over(frame) == n, value)
 
 
-def rolling_pct_rank(c: str, n: int, least: int, w: WindowSpec) -> Column:
-    """Rank of the current value among the last n, ties averaged, as a share; null below ``least`` values."""
-    seen = F.collect_list(c).over(w.rowsBetween(1 - n, 0))
-    below, same = F.size(F.filter(seen, lambda x: x < F.col(c))), F.size(F.filter(seen, lambda x: x == F.col(c)))
-    return F.when(F.col(c).isNotNull() & (F.size(seen) >= least), (below + (same + 1) / 2) / F.size(seen))
-
-
 def quantile(c: str | Column, q: float) -> Column:
     """Exact quantile with linear interpolation."""
     return F.percentile(c, F.lit(q))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expr import clip, quantile, r6, safe_div, tags
 from gristmill.operators.features import W
+from gristmill.operators.order_statistics import expanding_counts
 
 TRADING_DAYS = 252
 
@@ -257,9 +258,8 @@ def decision_quality(rows: DataFrame) -> DataFrame:
 
 def failure_tags(panel: DataFrame) -> DataFrame:
     """Misses with the conditions that held; volatility is ranked against the symbol's own past only."""
-    past = W().rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list("day_move").over(past)
-    share = safe_div(F.size(F.filter(seen, lambda x: x <= F.col("day_move"))), F.size(seen))
+    share = safe_div(F.col("below") + F.col("same"), F.col("seen"))
+    panel = expanding_counts(panel, ["symbol"], "date", "day_move")
     flip = (F.col("p") >= 0.5) != (F.lag("p", 1).over(W()) >= 0.5)
     rows = panel.withColumns({"vol_share": F.when(F.col("day_move").isNotNull(), share), "flip": F.coalesce(flip, F.lit(False)).cast("int")})
     rows = rows.withColumn("flips", F.sum("flip").over(W().rowsBetween(-2, 0)))
@@ -275,6 +275,14 @@ def failure_tags(panel: DataFrame) -> DataFrame:
     return missed.select("symbol", "date", conviction.alias("conviction"), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("UNEXPLAINED"))).alias("tags"))
 
 
+def vol_deciles(panel: DataFrame) -> DataFrame:
+    """(symbol, date, pct_rank, decile): the move expected of a day, ranked among the symbol's own so far, ties averaged,
+    as a share and in tenths, halves to the even one."""
+    rows = expanding_counts(panel.select("symbol", "date", "day_move"), ["symbol"], "date", "day_move")
+    share = F.when(F.col("day_move").isNotNull(), safe_div(F.col("below") + (F.col("same") + 1) / 2, F.col("seen")))
+    return rows.select("symbol", "date", r6(share).alias("pct_rank"), F.bround(clip(share * 10, 0, 10)).cast("int").alias("decile"))
+
+
 def failure_causes(panel: DataFrame, regime: DataFrame, quality: DataFrame, quarantine: float = 0.05) -> DataFrame:
     """``failure_tags`` and what was around the forecast: the regime changed on the date, an input was missing, or more
     than ``quarantine`` of the symbol's rows up to then aren't valid."""

@@ -10,7 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.expr import by, r6, rolling, rolling_pct_rank, safe_div
+from gristmill.functions.expr import by, r6, rolling, safe_div
+from gristmill.operators.order_statistics import COUNTS, rolling_counts
 
 ANNUAL = math.sqrt(252.0)
 #: Rows of a block of the exponential average: weights inside a block and the one before stay in range.
@@ -112,7 +113,6 @@ def price_features(bars: DataFrame) -> DataFrame:
             "rsi_14": 100 - 100 / (1 + c("avg_gain") / F.when(c("avg_loss") == 0, 1e-9).otherwise(c("avg_loss"))),
             "ema_12_gap": safe_div(c("close"), c("ema_12")) - 1,
             "macd_hist": c("macd") - c("macd_signal"),
-            "regime_vol_percentile": rolling_pct_rank("vol_20", 252, 60, W()),
         }
     )
 
@@ -149,8 +149,18 @@ def context_features(features: DataFrame, bench: DataFrame) -> DataFrame:
     return df.withColumns({"beta_60": safe_div(F.col("__cov"), F.col("__var_b")), "corr_bench_60": safe_div(F.col("__cov"), F.sqrt(F.col("__var_b") * F.col("__var_o")))}).drop("__cov", "__var_b", "__var_o", "__m")
 
 
-def feature_matrix(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    return context_features(price_features(bars), bench)
+def vol_percentile(df: DataFrame, n: int = 252, least: int = 60) -> DataFrame:
+    """``df`` with the rank of its volatility among the symbol's last n, ties averaged, as a share; null below ``least``
+    values."""
+    share = (F.col("below") + (F.col("same") + 1) / 2) / F.col("seen")
+    counted = rolling_counts(df, ["symbol"], "date", "vol_20", n)
+    return counted.withColumn("regime_vol_percentile", F.when(F.col("vol_20").isNotNull() & (F.col("seen") >= least), share)).drop(*COUNTS)
+
+
+def feature_matrix(bars: DataFrame, bench: DataFrame, percentile: bool = False) -> DataFrame:
+    """All features; the volatility's percentile, which is counted by itself, where it is asked for."""
+    df = context_features(price_features(bars), bench)
+    return vol_percentile(df) if percentile else df
 
 
 def select_features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -173,7 +183,8 @@ def lagged(df: DataFrame, columns: list[str], n: int = 1) -> DataFrame:
 
 def truncation_offenders(bars: DataFrame, bench: DataFrame, until: Column, columns: list[str]) -> DataFrame:
     """Rows whose features change when data after ``until`` is taken away: there should be none."""
-    full = feature_matrix(bars, bench).where(F.col("date") <= until).select("symbol", "date", F.array(*(F.col(c).cast("double") for c in columns)).alias("a"))
-    cut = feature_matrix(bars.where(F.col("date") <= until), bench.where(F.col("date") <= until)).select("symbol", "date", F.array(*(F.col(c).cast("double") for c in columns)).alias("b"))
+    percentile = "regime_vol_percentile" in columns
+    full = feature_matrix(bars, bench, percentile).where(F.col("date") <= until).select("symbol", "date", F.array(*(F.col(c).cast("double") for c in columns)).alias("a"))
+    cut = feature_matrix(bars.where(F.col("date") <= until), bench.where(F.col("date") <= until), percentile).select("symbol", "date", F.array(*(F.col(c).cast("double") for c in columns)).alias("b"))
     differs = F.exists(F.arrays_zip("a", "b"), lambda x: ~(x["a"].eqNullSafe(x["b"]) | F.coalesce(F.abs(x["a"] - x["b"]) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(x["a"])), F.lit(False))))
     return full.join(cut, ["symbol", "date"]).where(differs).select("symbol", "date")

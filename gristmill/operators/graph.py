@@ -106,9 +106,10 @@ def _merged(pairs: DataFrame, assigned: DataFrame, m: float, task_links: int = T
         assigned = written(moved(assigned, "community").select("node", "community", "k"), "assigned")
 
 
-def _moved(pairs: DataFrame, assigned: DataFrame, m: float, before: float, rounds: int) -> tuple[DataFrame, float]:
+def _moved(pairs: DataFrame, assigned: DataFrame, m: float, before: float, rounds: int, least: float = 1e-3) -> tuple[DataFrame, float]:
     """Single nodes moved to the neighbouring community that gains most. Moves of a round are made at once by a share of
-    the nodes, picked by a hash; a round that doesn't raise the modularity is taken back and the share cut."""
+    the nodes, picked by a hash; a round that doesn't raise the modularity is taken back and the share cut; one
+    that raises it by less than ``least`` is the last."""
     share = 2
     for i in range(rounds):
         sizes = assigned.groupBy("community").agg(F.sum("k").alias("size"))
@@ -123,7 +124,10 @@ def _moved(pairs: DataFrame, assigned: DataFrame, m: float, before: float, round
         after = written(assigned.join(best, "node", "left").select("node", F.coalesce(-F.col("move.c"), F.col("community")).alias("community"), "k"), "assigned")
         q = modularity(pairs, after)
         if q > before + 1e-10:
+            little = q < before + least
             assigned, before = after, q
+            if little:
+                break
         elif share >= 4:
             break
         else:
@@ -141,7 +145,7 @@ def communities(edges: DataFrame, passes: int = 3, rounds: int = 8, task_links:
     for _ in range(passes if m else 0):
         assigned = _merged(pairs, assigned, m, task_links)
         assigned, q = _moved(pairs, assigned, m, modularity(pairs, assigned), rounds)
-        if q <= best + 1e-9:
+        if q <= best + 1e-4:
             break
         best = q
     names = assigned.groupBy("community").agg(F.min("node").alias("least"))
@@ -158,8 +162,8 @@ def community_summary(found: DataFrame, groups: DataFrame) -> DataFrame:
 
 def eigenvector(edges: DataFrame, components: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """(node, eigen): in each component (``components``: node, component) the vector of length 1 that multiplying by the
-    weights keeps in proportion, 0 for a node without links. Power iteration on the weights plus a sixth of each component's largest strength on
-    the diagonal, so that a bipartite component settles too; scaled and written every sixth round, ended by the
+    weights keeps in proportion, 0 for a node without links. Power iteration on the weights plus a sixth of each
+    component's largest strength on the diagonal, so that a bipartite component settles too; scaled and written every sixth round, ended by the
     largest change."""
     pairs = written(canonical(edges), "pairs")
     part = components.select("node", "component")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6, rolling, safe_div
-
+from gristmill.operators.order_statistics import expanding_quantile
 
 
 def _days() -> Window:
@@ -29,9 +29,9 @@ def regime_changes(regimes: DataFrame) -> DataFrame:
 
 
 def detectors() -> dict[str, Column]:
+    """Conditions on the market's state, with ``dispersion_p95`` so far."""
     c, w = F.col, _days()
-    seen = w.rowsBetween(Window.unboundedPreceding, 0)
-    p95 = F.when(F.count("dispersion_20").over(seen) >= 250, F.percentile("dispersion_20", F.lit(0.95)).over(seen))
+    p95 = F.when(F.count("dispersion_20").over(w.rowsBetween(Window.unboundedPreceding, 0)) >= 250, F.col("dispersion_p95"))
     back = F.lag("drawdown", 10).over(w)
     return {
         "VOLATILITY_EXPANSION": safe_div(c("bench_vol_20"), c("bench_vol_60")) > 1.4,
@@ -47,6 +47,7 @@ def pattern_days(state: DataFrame, horizon: int = 5) -> DataFrame:
     """Each day with the benchmark's return over the next days and a flag for each pattern."""
     after = _days().rowsBetween(1, horizon)
     step = F.log1p(F.tanh("bench_ret_1") / 50)
+    state = expanding_quantile(state, "date", "dispersion_20", 0.95, "dispersion_p95")
     flagged = state.withColumn("forward", F.when(F.count(step).over(after) == horizon, F.exp(F.sum(step).over(after)) - 1))
     return flagged.withColumns({n: F.coalesce(d, F.lit(False)) for n, d in detectors().items()})
 

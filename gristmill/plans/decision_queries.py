@@ -78,6 +78,10 @@ def decision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.decision_quality(dc.decided(panel(spark, sf_dir)))
 
 
+def vol_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.vol_deciles(panel(spark, sf_dir))
+
+
 def failure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.failure_tags(panel(spark, sf_dir)).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
@@ -119,7 +123,7 @@ def experiment_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.select("arm", r6(F.col("brier")).alias("brier"), r6(gain).alias("gain"), F.when(gain > 0.0005, "SUPPORTED").otherwise("NOT SUPPORTED").alias("conclusion"))
 
 
-QUERIES = {f.__name__: f for f in (measured_inputs, measured_verdicts, failure_causes, gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, cemetery_topk, recommend_rank, forecast_audit, leaderboard_weights, market_pressure, experiment_arms)}
+QUERIES = {f.__name__: f for f in (measured_inputs, measured_verdicts, failure_causes, gate_checks, gate_verdicts, stress_grid, pretrade_edge, backtest_daily, backtest_summary, equity_curve, position_risk, decision_categories, decision_quality, failure_tags, vol_deciles, cemetery_topk, recommend_rank, forecast_audit, leaderboard_weights, market_pressure, experiment_arms)}
 
 _P = f"WITH {PANEL_SQL}"
 STATE_SQL = """s1 AS (SELECT date, any_value(bench_ret_1) AS bench_ret_1, any_value(bench_trend_20) AS bench_trend_20, any_value(bench_vol_20) AS bench_vol_20, any_value(bench_vol_60) AS bench_vol_60, any_value(market_breadth) AS market_breadth, stddev_samp(ret_1) AS dispersion FROM feat GROUP BY date),
@@ -216,6 +220,9 @@ ORACLES = {
     "decision_quality": f"""{_DEC}, q AS (SELECT count(*) AS n, avg(correct::INTEGER) AS acc, avg(correct::INTEGER) FILTER (acted) AS sel, avg(acted::INTEGER) AS cov, coalesce(avg(net) FILTER (acted), 0) AS m, coalesce(avg(net) FILTER (NOT acted), 0) AS m0, avg((net > 0)::INTEGER) FILTER (acted) AS win, median(net) FILTER (acted) AS med, min(net) FILTER (acted) AS worst, max(net) FILTER (acted) AS best, count(*) FILTER (acted) AS trades FROM dec)
       SELECT n, round(100 * acc, 6) AS forecast_accuracy_pct, round(100 * sel, 6) AS selective_accuracy_pct, round(100 * cov, 6) AS action_coverage_pct, round(100 * (1 - cov), 6) AS abstention_rate_pct, round(m, 6) AS mean_net_bps, round(cov * m, 6) AS decision_utility_bps, round(-m0, 6) AS downside_avoidance_bps, round(m - m0, 6) AS abstention_value_bps,
         round(100 * win, 6) AS net_win_rate_pct, round(med, 6) AS median_net_bps, round(worst, 6) AS worst_bps, round(best, 6) AS best_bps, trades FROM q""",
+    "vol_deciles": f"""{_P}, c AS (SELECT a.symbol, a.date, any_value(a.day_move) AS v, count(b.day_move) AS seen, count(*) FILTER (b.day_move < a.day_move) AS below, count(*) FILTER (b.day_move = a.day_move) AS same
+      FROM panel a JOIN panel b ON a.symbol = b.symbol AND b.date <= a.date GROUP BY 1, 2), s AS (SELECT symbol, date, CASE WHEN v IS NOT NULL THEN (below + (same + 1) / 2) / seen END AS share FROM c)
+      SELECT symbol, date, round(share, 6) AS pct_rank, CASE WHEN share IS NOT NULL THEN round_even(greatest(0, least(10, share * 10)), 0)::INTEGER END AS decile FROM s""",
     "failure_tags": f"{_FAIL} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM fail) GROUP BY 1",
     "failure_causes": f"{_CAUSES} SELECT symbol, date, CASE WHEN len(t) = 0 THEN 'UNEXPLAINED' ELSE array_to_string(t, '|') END AS tags FROM cz",
     "cemetery_topk": f"{_FAIL} SELECT symbol, date, round(conviction, 6) AS conviction, array_to_string(tags, '|') AS tags FROM fail ORDER BY round(conviction, 6) DESC, symbol, date LIMIT 40",

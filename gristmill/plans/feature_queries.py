@@ -13,12 +13,12 @@ from gristmill.plans.base_sql import ALL_FEATURES, BARS, FEATURES_SQL, features_
 from gristmill.sources import tables as tb
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.feature_matrix(tb.bars(spark, sf_dir), tb.benchmark_bars(spark, sf_dir))
+def matrix(spark: SparkSession, sf_dir: str, percentile: bool = False) -> DataFrame:
+    return ft.feature_matrix(tb.bars(spark, sf_dir), tb.benchmark_bars(spark, sf_dir), percentile)
 
 
 def _family(columns: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.select_features(matrix(spark, sf_dir), columns)
+    return ft.select_features(matrix(spark, sf_dir, "regime_vol_percentile" in columns), columns)
 
 
 def forward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
