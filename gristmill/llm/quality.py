@@ -5,8 +5,9 @@ Random indexing: each word has a fixed sparse index vector of two signed places,
 one by its form (its last two bytes and whether it has small letters). A word's vector is the sum of the
 index vectors of its neighbours over the whole corpus. Words and forms are hashed to a fixed number of rows,
 so the table of vectors has one size for any corpus; it is summed exactly, in integers, by a group-by over
-rows. A document's features are the mean vectors of its words and of its forms, and a few shares pooled from
-the same words. Labels come in only after that, from a bounded number of labelled rows."""
+rows. A document's features are pooled from the vectors of its words and of its forms alone: their mean, their root
+mean square, and the mean product of each with the one before it and the one before that, place by place, which is
+large where words come again. Labels come in only after that, from a bounded number of labelled rows."""
 
 from __future__ import annotations
 
@@ -58,16 +59,16 @@ def _context_sums(texts: DataFrame) -> DataFrame:
         table = np.zeros((WORD_ROWS + FORM_ROWS) * PLACES, np.int64)
         for batch in batches:
             column = textops.text_column(batch.column(0))
-            for a, b in textops.pieces(textops.raw(column)[1], 1 << 20):
+            for a, b in textops.pieces(textops.raw(column)[1], 1 << 21):
                 owner, h, word_row, form_row, _ = _terms(*textops.raw(column.slice(a, b - a)))
                 vectors = _index_vectors(h, form_row)
                 for lag in range(1, WINDOW + 1):
                     near = np.flatnonzero(owner[lag:] == owner[:-lag])
                     for me, other in ((near, near + lag), (near + lag, near)):
                         for place, sign in vectors:
-                            at, value = place[other], sign[other]
+                            at, value = place[other], sign[other].astype(float)
                             for rows in (word_row, form_row):
-                                np.add.at(table, rows[me] * PLACES + at, value)
+                                table += np.bincount(rows[me] * PLACES + at, value, minlength=len(table)).astype(np.int64)
         table = table.reshape(-1, PLACES)
         used = np.flatnonzero(table.any(axis=1))
         for i in range(0, len(used), 4096):
@@ -92,34 +93,33 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (table / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-N_FEATURES = 2 * PLACES + 6
+#: Pools of a document's vectors: mean, root mean square, products with the vectors one and two words before.
+LAGS = (1, 2)
+N_FEATURES = 2 * PLACES * (2 + len(LAGS))
 
 
 def _pooled(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
-    owner, h, word_row, form_row, length = _terms(data, offsets)
+    owner, _, word_row, form_row, _ = _terms(data, offsets)
     out = np.zeros((n, N_FEATURES), np.float32)
     if len(owner):
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        who, count = owner[first], np.diff(np.r_[first, len(owner)])
-        share = 1.0 / count[:, None]
-        out[who, :PLACES] = np.add.reduceat(table[word_row], first, axis=0) * share
-        out[who, PLACES : 2 * PLACES] = np.add.reduceat(table[form_row], first, axis=0) * share
-        for j, lag in enumerate((1, 2)):
-            same = np.zeros(len(h))
-            same[lag:] = (h[lag:] == h[:-lag]) & (owner[lag:] == owner[:-lag])
-            out[who, 2 * PLACES + j] = np.add.reduceat(same, first) / count
-        order = np.lexsort((h, owner))
-        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
-        out[who, 2 * PLACES + 2] = np.add.reduceat(new.astype(float), first) / count
-        out[who, 2 * PLACES + 3] = np.log1p(count)
-        out[who, 2 * PLACES + 4] = np.add.reduceat(length.astype(float), first) / count
-    out[:, 2 * PLACES + 5] = out[:, 2 * PLACES + 3] == 0
+        who, share = owner[first], 1.0 / np.diff(np.r_[first, len(owner)])[:, None]
+        pools = []
+        for rows in (word_row, form_row):
+            v = table[rows]
+            pools.append(np.add.reduceat(v, first, axis=0) * share)
+            pools.append(np.sqrt(np.add.reduceat(v * v, first, axis=0) * share))
+            for lag in LAGS:
+                product = np.zeros_like(v)
+                product[lag:] = v[lag:] * v[:-lag] * (owner[lag:] == owner[:-lag])[:, None]
+                pools.append(np.add.reduceat(product, first, axis=0) * share)
+        out[who] = np.concatenate(pools, axis=1)
     return out
 
 
 def document_features(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, features) of each row of ``docs``; a text without words has zeros and a mark."""
+    """(id, hash, features) of each row of ``docs``; a text without words has zeros."""
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(table)
