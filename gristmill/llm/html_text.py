@@ -164,6 +164,8 @@ LAYOUT_FIRST = frozenset("no not has have with without is hide show enable disab
 LAYOUT_LAST = frozenset("open opened closed close enabled disabled active inactive on off on left right none visible ready loaded supported".split())
 #: Share of a page's words from which on furniture that may hold the article counts as a wrapper of the page.
 WRAPPER = 0.5
+#: Share from which on an element without the first heading counts as the whole page.
+WHOLE = 0.8
 #: An element that closes the same or sibling elements left open before it, back to the container.
 _IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -195,13 +197,14 @@ def _furniture_words(attributes: str) -> Iterator[str]:
 
 
 def _furniture(tag: str, attributes: str, in_article: bool) -> int:
-    """0 for no furniture, 1 for furniture that may wrap an article, 2 for what never does."""
+    """0 for no furniture, 1 for furniture that may wrap an article, 2 for what never does, 3 for what doesn't unless
+    it wraps the whole page, as a class of a page with open comments may."""
     if tag in ("body", "html"):
         return 0
     kind = 2 if tag in LASTING_TAGS else 1 if tag in FURNITURE_TAGS or (tag == "header" and not in_article) else 0
     if kind < 2 and "=" in attributes and tag not in ARTICLE_TAGS:
         for word in _furniture_words(attributes):
-            kind = max(kind, 2 if word in LASTING_WORDS else 1)
+            kind = max(kind, 3 if word in LASTING_WORDS else 1)
     return kind or (2 if _HIDDEN.search(attributes) else 0)
 
 
@@ -210,7 +213,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     out, text, linked = [], [], []
     # furniture: numbers of the elements around that are some; ``lasting`` tells which never hold the article
     stack: list[tuple[str, tuple[int, ...], bool]] = []
-    lasting: list[bool] = []
+    lasting: list[int] = []
+    titles: list[bool] = []  # of each block, whether it is a first heading
     opened: dict[str, int] = {}
     furniture: tuple[int, ...] = ()
     article = in_link = False
@@ -222,6 +226,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             if whole:
                 n = whole.count(" ") + 1
                 out.append((whole, n, min(1.0, len("".join(linked).split()) / n), furniture, article))
+                titles.append(bool(opened.get("h1")))
             text.clear(), linked.clear()
 
     def pop() -> None:
@@ -286,19 +291,27 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 if tag in ARTICLE_TAGS or "role" in attributes and _ROLE.search(attributes):
                     article = True
                     if furniture:  # what may wrap an article does wrap this one
-                        furniture = tuple(i for i in furniture if lasting[i])
+                        furniture = tuple(i for i in furniture if lasting[i] > 1)
                 kind = _furniture(tag, attributes, article)
                 if kind:
                     furniture += (len(lasting),)
-                    lasting.append(kind == 2)
+                    lasting.append(kind)
     flush()
-    held, words = [0] * len(lasting), 0
-    for _, n, links, around, _ in out:
+    held, articles, headed = ([0.0] * len(lasting) for _ in range(3))
+    words = of_articles = 0.0
+    for (_, n, links, around, own), title in zip(out, titles, strict=True):
         plain = n * (1 - links)
-        words += plain
+        words, of_articles = words + plain, of_articles + plain * own
         for i in around:
-            held[i] += plain
-    counts = [last or n < WRAPPER * words for last, n in zip(lasting, held, strict=True)]
+            held[i], articles[i], headed[i] = held[i] + plain, articles[i] + plain * own, headed[i] or title
+
+    def counted(i: int) -> bool:
+        if lasting[i] < 3:
+            return lasting[i] == 2 or held[i] < WRAPPER * words
+        # an element that holds the page's first heading, or nearly all its text, and leaves no article outside
+        return held[i] < WRAPPER * words or articles[i] < of_articles or not (headed[i] or held[i] >= WHOLE * words)
+
+    counts = [counted(i) for i in range(len(lasting))]
     return [(whole, n, links, any(counts[i] for i in around), own) for whole, n, links, around, own in out]
 
 

@@ -364,3 +364,25 @@ def test_schema_keywords():
     assert chat_tools.violations([], s) == ["$: minItems"]
     assert chat_tools.violations(["abc", 1, "x"], s) == ["$[0]: maxLength", "$[1]: type", "$[2]: enum"]
     assert chat_tools.canonical({"b": 1.0, "a": ["é", None, 0.5]}) == '{"a":["é",null,0.5],"b":1}'
+
+
+PARAGRAPHS = ["The harbour office published the tide tables for the coming season on Monday morning.", "Fishers had asked for them since March, and three crews said that they would sail at once.", "The tables list every hour of high water together with the wind that is expected for it."]
+WRAPPERS = (
+    "comments-open-single page-with-comments reply-page discussion-page related-layout recommended-reading footer-fixed footer-sticky-layout cookie-banner-shown "
+    "cookies-accepted consent-given no-sidebar has-sidebar sidebar-left comments-closed single-post"
+).split()
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_class_of_the_whole_page_loses_no_article(name, tag):
+    body = "<h1>Tide tables for the season</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f'<html><body><div class="{name}"><nav><a href="/">Home</a> <a href="/n">News</a></nav><{tag}>{body}</{tag}></div></body></html>'
+    assert html_text.main_texts([page]) == [" ".join(["Tide tables for the season", *PARAGRAPHS])]
+
+
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_many_comments_are_no_article(inner):
+    said = "".join(f"<{inner}><p>I have sailed here for {i} years and the tables were never on time, whatever they say.</p></{inner}>" for i in range(30))
+    page = f'<html><body><article><h1>Tide tables for the season</h1>{"".join(f"<p>{p}</p>" for p in PARAGRAPHS)}</article><div class="comments">{said}</div></body></html>'
+    assert html_text.main_texts([page]) == [" ".join(["Tide tables for the season", *PARAGRAPHS])]
