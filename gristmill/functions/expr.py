@@ -33,11 +33,6 @@ def rolling(fn, c: str | Column, n: int, w: WindowSpec, partial: bool = False) -
     return value if partial else F.when(F.count(c).over(frame) == n, value)
 
 
-def quantile(c: str | Column, q: float) -> Column:
-    """Exact quantile with linear interpolation."""
-    return F.percentile(c, F.lit(q))
-
-
 def log_loss_term(p: Column, y: Column, eps: float = 1e-6) -> Column:
     p = clip(p, eps, 1 - eps)
     return -F.when(y == 1, F.ln(p)).otherwise(F.ln(1 - p))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expr import by, r6, safe_div, tags
 from gristmill.operators.features import W
+from gristmill.operators.order_statistics import exact_quantiles
+from gristmill.sources.lake import written
 
 #: Stop lists of the two presets of the inverted index.
 STOP_LOCAL = (
@@ -67,10 +69,11 @@ def _sliding(df: DataFrame) -> DataFrame:
     ret = safe_div(F.col("close"), F.lag("close", 1).over(W())) - 1
     diff = F.col("close") - F.lag("close", 1).over(W())
     df = df.withColumns({"ret": ret, "gap": F.datediff("date", F.lag("date", 1).over(W())), "flat": F.sum(F.when(diff == 0, 1).otherwise(0)).over(W().rowsBetween(-4, 0)) == 5})
-    whole = Window.partitionBy("symbol")
-    df = df.withColumn("dev", F.abs(F.col("ret") - F.median("ret").over(whole)))
-    mad = 1.4826 * F.median("dev").over(whole)
-    return df.withColumn("z", safe_div(F.col("dev"), F.when(mad > 0, mad)))
+    df = written(df, "sliding")
+    median = exact_quantiles(df, ["symbol"], "ret", [0.5]).select("symbol", F.col("q")[0].alias("median"))
+    df = df.join(median, "symbol", "left").withColumn("dev", F.abs(F.col("ret") - F.col("median"))).drop("median")
+    spread = exact_quantiles(df, ["symbol"], "dev", [0.5]).select("symbol", (1.4826 * F.col("q")[0]).alias("mad"))
+    return df.join(spread, "symbol", "left").withColumn("z", safe_div(F.col("dev"), F.when(F.col("mad") > 0, F.col("mad")))).drop("mad")
 
 
 def triage(bars: DataFrame, as_of: str, extreme: float = 0.35, gap_days: int = 12, z: float = 12.0) -> DataFrame:

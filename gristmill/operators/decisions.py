@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.expr import clip, quantile, r6, safe_div, tags
+from gristmill.functions.expr import clip, r6, safe_div, tags
 from gristmill.operators.features import W
-from gristmill.operators.order_statistics import expanding_counts
+from gristmill.operators.order_statistics import exact_quantiles, expanding_counts
+from gristmill.sources.lake import written
 
 TRADING_DAYS = 252
 
@@ -212,9 +213,10 @@ def equity_curve(daily: DataFrame) -> DataFrame:
 def performance(daily: DataFrame, rf: float = 0.065, confidence: float = 0.95) -> DataFrame:
     """One row for each strategy. Value at risk needs more than 20 sessions, volatility more than 2; the tail mean
     takes a second look at the rows, joined with one number a strategy."""
+    daily = written(daily, "daily")
     w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     rows = daily.withColumn("g", F.sum(F.log1p("net")).over(w)).withColumn("dd", F.exp(F.col("g") - F.max("g").over(w)) - 1)
-    var = daily.groupBy("strategy").agg(F.when(F.count("*") > 20, quantile("net", 1 - confidence)).otherwise(0.0).alias("var"))
+    var = exact_quantiles(daily, ["strategy"], "net", [1 - confidence]).select("strategy", F.when(F.col("n") > 20, F.col("q")[0]).otherwise(0.0).alias("var"))
     rows = rows.join(F.broadcast(var), "strategy")  # a handful of strategies
     down = F.when(F.col("net") < 0, F.col("net"))
     out = rows.groupBy("strategy").agg(
@@ -245,10 +247,12 @@ def decided(panel: DataFrame, costs: Costs = COSTS) -> DataFrame:
 def decision_quality(rows: DataFrame) -> DataFrame:
     a, net = F.col("acted"), F.col("net") * 10_000
     hit = F.col("correct").cast("double")
+    rows = written(rows.select("acted", "net", "correct"), "decided")
+    median = exact_quantiles(rows.where("acted").select((F.col("net") * 10_000).alias("bps")), [], "bps", [0.5]).agg(F.max(F.col("q")[0]).alias("med"))  # one row, also without trades
     out = rows.agg(
         F.count("*").alias("n"), F.avg(hit).alias("acc"), F.avg(F.when(a, hit)).alias("sel"), F.avg(a.cast("double")).alias("cov"), F.coalesce(F.avg(F.when(a, net)), F.lit(0.0)).alias("m"), F.coalesce(F.avg(F.when(~a, net)), F.lit(0.0)).alias("m0"),
-        F.avg(F.when(a, (net > 0).cast("double"))).alias("win"), F.median(F.when(a, net)).alias("med"), F.min(F.when(a, net)).alias("worst"), F.max(F.when(a, net)).alias("best"), F.count_if(a).alias("trades"),
-    )
+        F.avg(F.when(a, (net > 0).cast("double"))).alias("win"), F.min(F.when(a, net)).alias("worst"), F.max(F.when(a, net)).alias("best"), F.count_if(a).alias("trades"),
+    ).crossJoin(F.broadcast(median))
     c = F.col
     return out.select(
         "n", r6(100 * c("acc")).alias("forecast_accuracy_pct"), r6(100 * c("sel")).alias("selective_accuracy_pct"), r6(100 * c("cov")).alias("action_coverage_pct"), r6(100 * (1 - c("cov"))).alias("abstention_rate_pct"), r6(c("m")).alias("mean_net_bps"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.expr import clip, log_loss_term, quantile, r6, safe_div, tags
+from gristmill.functions.expr import clip, log_loss_term, r6, safe_div, tags
 from gristmill.operators.features import W
+from gristmill.operators.order_statistics import exact_quantiles
+from gristmill.sources.lake import written
 
 
 def _confusion(p: Column, y: Column) -> dict[str, Column]:
@@ -61,8 +63,10 @@ def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int
     frame has too few values, 0 with fewer than two bins."""
     long = lambda df, side: df.select(F.lit(side).alias("side"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("f")).select("side", "f.*").where("x is not null and not isnan(x)")
     ref, cur = long(reference, "ref"), long(current, "cur")
-    edges = ref.groupBy("feature").agg(F.count("*").alias("n_ref"), F.array_distinct(F.percentile("x", F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("e"))
-    rows = ref.unionByName(cur).join(F.broadcast(edges), "feature")
+    rows = written(ref.unionByName(cur), "unpivoted")
+    edges = exact_quantiles(rows.where("side = 'ref'"), ["feature"], "x", [i / bins for i in range(bins + 1)])
+    edges = written(edges.select("feature", F.col("n").alias("n_ref"), F.array_distinct("q").alias("e")), "edges")
+    rows = rows.join(F.broadcast(edges), "feature")
     inner = F.size("e") - 1
     place = F.size(F.filter("e", lambda x: x <= F.col("x"))) - 1
     b = F.when(F.col("x") == F.element_at("e", -1), inner - 1).when((place >= 0) & (place < inner), place)
@@ -153,4 +157,7 @@ def uncertainty(mean: Column, spread: Column, agreement: Column) -> Column:
 
 
 def quantile_summary(df: DataFrame, key: str, c: str) -> DataFrame:
-    return df.groupBy(key).agg(*(r6(quantile(c, q)).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))), r6(F.median(F.abs(F.col(c)))).alias("median_abs"))
+    """The median, 95th and 99th percentile and the median size of a value by key."""
+    plain = exact_quantiles(df, [key], c, [0.5, 0.95, 0.99]).select(key, *(r6(F.col("q")[i]).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    size = exact_quantiles(df.select(key, F.abs(c).alias("size")), [key], "size", [0.5]).select(key, r6(F.col("q")[0]).alias("median_abs"))
+    return plain.join(size, key)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from gristmill.sources.lake import written
+
 #: Rows of a block, and ranges of values of a key at most.
 BLOCK, RANGES = 4096, 256
 COUNTS = ("seen", "below", "same")
@@ -121,6 +123,40 @@ def expanding_counts(df: DataFrame, keys: list[str], order: str, value: str, blo
     return joined.select(*names, "seen", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("below", "same")))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], slots: int = RANGES) -> DataFrame:
+    """(keys, n, q): for each key the number of its values and their exact quantiles, linear between ranks, in the order
+    of ``shares``. Null and NaN count for nothing; a key without values is left out.
+
+    A sketch of each key cuts its values into ranges; counts by range tell which of them hold the ranks asked for, of
+    all quantiles at once; only values in those are ordered, equal ones as one row, a range at a time. So no task
+    holds a key's values: about ``slots`` times fewer at most. Counts and not the sketch decide, so it is exact."""
+    v = F.col(value).cast("double")
+    rows = written(df.select(*keys, v.alias("v")).where(v.isNotNull() & ~F.isnan(v)), "values")
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("v", [i / slots for i in range(1, slots)], 10 * slots).alias("edges"))
+    if keys:
+        placed = rows.join(edges, [*keys])
+    else:
+        placed = rows.crossJoin(F.broadcast(edges))  # one row
+    placed = placed.select(*keys, "v", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("slot"))
+    cells = placed.groupBy(*keys, "slot").agg(F.count("*").alias("m"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # a row a range
+    cells = cells.withColumns({"n": F.sum("m").over(whole), "upto": F.sum("m").over(whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))})
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(shares))))
+    at = F.col("a.q") * (F.col("n") - 1)
+    side = F.explode(F.array(*(F.struct(f(at).cast("long").alias("k"), F.lit(j).alias("side")) for j, f in enumerate((F.floor, F.ceil)))))
+    targets = cells.withColumn("a", asked).withColumn("t", side).where("t.k < upto and t.k >= upto - m")
+    targets = targets.select(*keys, "slot", "n", (F.col("upto") - F.col("m")).alias("before"), F.col("a.i").alias("i"), at.alias("at"), "t.k", "t.side")
+    wanted = targets.select(*keys, "slot", "before").distinct()
+    held = placed.join(wanted, [*keys, "slot"]).groupBy(*keys, "slot", "before", "v").agg(F.count("*").alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = held.withColumn("upto", upto).drop("before").join(targets, [*keys, "slot"]).where("k < upto and k >= upto - c")
+    ends = ranked.groupBy(*keys, "n", "i", "at").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("hi"))
+    low = F.floor("at")
+    value_at = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((low + 1 - F.col("at")) * F.col("lo") + (F.col("at") - low) * F.col("hi"))
+    out = ends.select(*keys, "n", F.struct("i", value_at.alias("q")).alias("e")).groupBy(*keys, "n").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return out.select(*keys, "n", F.col("e.q").alias("q"))
+
+
 def expanding_quantile(series: DataFrame, order: str, value: str, q: float, to: str) -> DataFrame:
     """``series``, one market's rows a day, with the exact quantile ``q`` (linear between ranks) of the values so far: two
     heaps hold those below and above it, so a row costs the logarithm of the rows before it."""

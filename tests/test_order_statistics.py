@@ -78,3 +78,23 @@ def test_a_long_key_takes_seconds(spark):
     total = od.expanding_counts(df, ["key"], "t", "v").agg(F.count("*"), F.sum("same"), F.max("seen")).first()
     assert tuple(total)[0] == tuple(total)[1] == tuple(total)[2] == 300_000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("slots", [256, 3])
+def test_exact_quantiles_of_keys(spark, slots):
+    rows = rows_of()
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {r["key"]: r for r in od.exact_quantiles(spark.createDataFrame(rows, SCHEMA).repartition(5), ["key"], "v", shares, slots=slots).collect()}
+    for key in ("a", "b", "c"):
+        own = [r[2] for r in rows if r[0] == key and r[2] is not None and r[2] == r[2]]
+        assert (key in got) == bool(own)
+        if own:
+            assert got[key]["n"] == len(own)
+            assert got[key]["q"] == pytest.approx(np.quantile(own, shares).tolist(), abs=1e-12)
+
+
+def test_exact_quantiles_of_all_rows_and_of_none(spark):
+    rows = [(float(i % 7),) for i in range(100)]
+    df = spark.createDataFrame(rows, "v double")
+    assert od.exact_quantiles(df, [], "v", [0.25, 0.9]).first()["q"] == pytest.approx(np.quantile([r[0] for r in rows], [0.25, 0.9]).tolist())
+    assert od.exact_quantiles(df.where("false"), [], "v", [0.5]).collect() == []
