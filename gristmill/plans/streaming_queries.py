@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6
 from gristmill.operators import sketches as sk
 from gristmill.sources import tables as tb
+from gristmill.sources.collections import Collection, upsert_stream
 from gristmill.sources.lake import shared_folder
-from gristmill.streaming import bus, state
+from gristmill.streaming import admission, bus, progress, state
 
 
 def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +38,45 @@ def tape_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.event_tape(tb.read(spark, sf_dir, "events")).select("event_id", "event_type", r6(F.col("ret"), 4).alias("ret"), "replayed")
 
 
+def _log(spark: SparkSession, rows: DataFrame, files: int, order: str) -> DataFrame:
+    """``rows`` as a stream of Parquet files, one a batch, cut by ranges of ``order``."""
+    path = f"{_folder(spark)}/log-{uuid.uuid4().hex}"
+    rows.repartitionByRange(files, order).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event twice, a while apart."""
+    events = tb.read(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value", "user_id")
+    return events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sent", F.unix_seconds("ts") + F.col("copy") * 86_400 * 8)
+
+
+def bloom_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with injected repeats, in batches that share their filters: no repeat is admitted."""
+    judged = bus.drain(admission.admit(_log(spark, _with_repeats(spark, sf_dir), 4, "sent")), _folder(spark))
+    return admission.admission_report(judged)
+
+
+def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches and rows of a stream by its own progress, and whether latencies are in order."""
+    events = tb.read(spark, sf_dir, "events").select("event_id", "ts", "value")
+    _, batches = progress.drain_measured(_log(spark, events, 4, "event_id").where("value > 20"), _folder(spark))
+    row = progress.latency(batches)
+    ordered = (F.col("p50_ms") <= F.col("p95_ms")) & (F.col("p95_ms") <= F.col("p99_ms"))
+    return row.select("batches", "rows_in", "rows_out", ordered.alias("ordered"), (F.col("rows_per_s") > 0).alias("measured"))
+
+
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, upserted batch by batch, and the first batches once more."""
+    folder = f"{_folder(spark)}/collection-{uuid.uuid4().hex}"
+    rows = tb.read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    kept = Collection(spark, folder, ["user_id"], {"event_type": "string"}, newest="at", buckets=4)
+    stream = _log(spark, rows, 3, "event_id")
+    for attempt in ("first", "again"):  # the second run begins anew, as after a lost checkpoint
+        upsert_stream(stream, kept, f"{folder}/checkpoint-{attempt}", "events")
+    return kept.read().select("user_id", "event_id", "event_type")
+
+
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = stream_of(spark, sf_dir)
     twice = events.select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
@@ -98,11 +140,14 @@ def reservoir_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.reservoir(tb.read(spark, sf_dir, "events"), "event_id").select("event_id")
 
 
-QUERIES = {f.__name__: f for f in (tape_with_duplicates, dedup_stream, welford_stream, welford_batch, tumbling_counts, session_counts, decay_stream, decay_batch, dgim_estimate, exact_window_ones, fm_distinct, bloom_stats, reservoir_k)}
+QUERIES = {f.__name__: f for f in (bloom_admission, stream_latency, stream_upsert, tape_with_duplicates, dedup_stream, welford_stream, welford_batch, tumbling_counts, session_counts, decay_stream, decay_batch, dgim_estimate, exact_window_ones, fm_distinct, bloom_stats, reservoir_k)}
 _WELFORD = """WITH z AS (SELECT event_type, event_id, count(value) OVER w AS n, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   SELECT event_type, event_id, round(z, 6) AS z FROM z WHERE n >= 30 AND abs(z) >= 3"""
 _DECAY = "WITH l AS (SELECT event_type, max(ts) AS last FROM events GROUP BY 1) SELECT event_type, round(sum(pow(2.0, -(epoch_us(last) - epoch_us(ts)) / 1e6 / 86400)), 4) AS attention FROM events JOIN l USING (event_type) GROUP BY 1"
 ORACLES = {
+    "bloom_admission": "SELECT 2 * count(*) AS events, count(DISTINCT event_id) AS admitted, 0 AS repeats_admitted, 0 AS new_refused, true AS as_expected FROM events",
+    "stream_latency": "SELECT 4 AS batches, count(*) AS rows_in, count(*) FILTER (value > 20) AS rows_out, true AS ordered, true AS measured FROM events",
+    "stream_upsert": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "tape_with_duplicates": """WITH t AS (SELECT event_id, event_type, round(value / nullif(lag(value) OVER w, 0) - 1, 4) AS ret, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
       SELECT event_id, event_type, ret, false AS replayed FROM t UNION ALL SELECT event_id, event_type, ret, true FROM t WHERE n % 50 = 1""",
     "dedup_stream": "SELECT event_id FROM events",
