@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6
 from gristmill.plans.base_sql import BARS
 from gristmill.sources import lake as lk
+from gristmill.sources import readers
 from gristmill.sources import tables as tb
+from gristmill.streaming import bus
 
 
 def scratch(spark: SparkSession) -> str:
@@ -110,13 +115,52 @@ def xml_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.from_xml("x", "title string, id int").alias("i")).select("i.id", "i.title")
 
 
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files with an item an event, written and read back: title, source and day of publication."""
+    readers.register(spark)
+    events = tb.read(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss").alias("at"))
+    folder = scratch(spark)
+
+    def feed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["<rss version='2.0'><channel><title>events</title>"]})
+        for b in batches:
+            items = "<item><title>" + b["event_type"] + " &amp; " + b["event_id"].astype(str) + "</title><pubDate>" + b["at"] + " +0000</pubDate>"
+            yield pd.DataFrame({"value": items + np.where(b["event_id"] % 2 == 0, "<source url='x'>even</source></item>", "</item>")})
+        yield pd.DataFrame({"value": ["</channel></rss>"]})
+
+    events.repartition(3, "event_id").mapInPandas(feed, "value string").write.text(folder)
+    return spark.read.format("feed").load(folder).select("title", F.to_date("published_at").alias("day"), "source")
+
+
+def _event_log(spark: SparkSession, sf_dir: str) -> str:
+    folder = scratch(spark)
+    events = tb.read(spark, sf_dir, "events").select("event_id", "event_type", "value").withColumn("line", F.to_json(F.struct("*")))
+    broken = F.when(F.col("event_id") % 100 == 0, F.array(F.lit(""), F.lit('{"event_id": '), F.col("line"))).otherwise(F.array("line"))
+    events.select("event_id", F.explode(broken).alias("value")).repartition(3, "event_id").select("value").write.text(folder)
+    return folder
+
+
+def json_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of JSON lines, blank and broken ones among them, read with a filter that reaches the reader."""
+    readers.register(spark)
+    log = spark.read.format("json_log").schema("event_id long, event_type string, value double").load(_event_log(spark, sf_dir))
+    return log.where("event_type = 'click' and value > 50").select("event_id", "value")
+
+
+def json_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as a stream, by bytes of each file."""
+    readers.register(spark)
+    log = spark.readStream.format("json_log").schema("event_id long, event_type string, value double").load(_event_log(spark, sf_dir))
+    return bus.drain(log, scratch(spark)).groupBy("event_type").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
 def map_reduce_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest price of each symbol and year, combined in tasks before the shuffle."""
     key = F.concat_ws("/", "symbol", F.year("date").cast("string"))
     return tb.bars(spark, sf_dir).groupBy(key.alias("key")).agg(F.max("high").alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (bars_from_orders, bars_from_lineitem, bars_from_events_hourly, lake_roundtrip, inventory_counts, text_formats, file_fingerprint, document_upsert, document_find, document_merge, provenance, xml_feed, map_reduce_volume)}
+QUERIES = {f.__name__: f for f in (bars_from_orders, bars_from_lineitem, bars_from_events_hourly, lake_roundtrip, inventory_counts, text_formats, file_fingerprint, document_upsert, document_find, document_merge, provenance, xml_feed, feed_items, json_log_scan, json_log_stream, map_reduce_volume)}
 ORACLES = {
     "bars_from_orders": f"WITH {BARS} SELECT * FROM bars",
     "bars_from_lineitem": """WITH x AS (SELECT *, l_extendedprice / l_quantity AS pr, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey} AS k FROM lineitem)
@@ -131,5 +175,8 @@ ORACLES = {
     "document_merge": "SELECT 's.' || s_suppkey AS path, CASE WHEN s_suppkey > 40 THEN 'new' ELSE 'old' END AS value FROM supplier",
     "provenance": f"WITH {BARS} SELECT symbol, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY 1",
     "xml_feed": "SELECT n_nationkey AS id, n_name || ' & co' AS title FROM nation",
+    "feed_items": "SELECT event_type || ' & ' || event_id AS title, CAST(ts AS DATE) AS day, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'events' END AS source FROM events",
+    "json_log_scan": "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 50",
+    "json_log_stream": "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1",
     "map_reduce_volume": f"WITH {BARS} SELECT symbol || '/' || year(date) AS key, max(high) AS value FROM bars GROUP BY 1",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import socket
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,41 @@ def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def reachable(servers: str, timeout_s: float = 1.0) -> bool:
+    """Whether any of ``host:port,...`` takes a connection."""
+    for server in servers.split(","):
+        host, _, port = server.strip().rpartition(":")
+        try:
+            with socket.create_connection((host, int(port)), timeout_s):
+                return True
+        except (OSError, ValueError):
+            continue
+    return False
+
+
+def kafka_here(spark: SparkSession) -> bool:
+    """Whether Spark's Kafka package is on the class path."""
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.kafka010.KafkaSourceProvider", False, spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        return True
+    except Exception:  # the class loader's error comes through the gateway
+        return False
+
+
+def choose(spark: SparkSession, schema: T.StructType | str, log: str, servers: str | None = None, topic: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """A stream of the topic, or of the log where that can't be, and what was chosen: mode, place and reason. A topic
+    that is asked for and can't be read is told, never passed over in silence."""
+    if not servers or not topic:
+        reason = "no servers or topic given"
+    elif not kafka_here(spark):
+        reason = "Spark's Kafka package is missing"
+    elif not reachable(servers):
+        reason = f"no server of {servers} answers"
+    else:
+        return kafka(spark, servers, topic, schema), {"mode": "kafka", "place": f"{servers}/{topic}", "reason": "a server answers"}
+    return json_log(spark, log, schema), {"mode": "log", "place": log, "reason": reason}
+
+
 def kafka(spark: SparkSession, servers: str, topic: str, schema: T.StructType | str) -> DataFrame:
     """JSON values of a topic from the earliest offset. Needs Spark's Kafka package on the class path."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
