@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expr import r6, rolling, safe_div
 from gristmill.operators.order_statistics import expanding_quantile
+from gristmill.sources.lake import written
 
 
 def _days() -> Window:
@@ -63,19 +64,58 @@ def pattern_library(state: DataFrame, horizon: int = 5) -> DataFrame:
     )
 
 
-def similar_states(state: DataFrame, columns: list[str], k: int = 3, apart: int = 20, least: int = 50, days: DataFrame | None = None) -> DataFrame:
-    """For each of ``days`` (column date; each month's last if none are given) the k nearest earlier states by
-    distance, at least ``apart`` sessions before and scaled by what was known then. Days pair with those asked for
-    only, a market's sessions being a row a day; a state's scale comes from its own past."""
+def _boxes(rows: DataFrame, columns: list[str], n: int, size: int) -> DataFrame:
+    """``rows`` with ``box``: about ``size`` rows that lie together, by cutting each column in turn into equal parts."""
+    parts = max(1, round((n / size) ** (1 / len(columns))))
+    out = rows.withColumn("box", F.lit(0))
+    for c in columns:
+        out = out.withColumn("box", F.col("box") * parts + F.ntile(parts).over(Window.partitionBy("box").orderBy(c, "date")) - 1)
+    return out
+
+
+def state_pairs(state: DataFrame, columns: list[str], k: int, apart: int, least: int, days: DataFrame | None, size: int = 48, first: int = 3) -> DataFrame:
+    """(date, match, distance) of all pairs that ``similar_states`` compares: the k nearest of each day are among them.
+
+    States are put in boxes. A day's least distance to a box is that to its edges; boxes of which all days are too late
+    are left out. The day is compared with its ``first`` nearest boxes, and then with those whose least distance is no
+    more than the k-th that was found. The boxes' edges go to each day as one array, an entry for ``size`` days."""
     w = _days()
     seen = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = state.na.drop(subset=columns).withColumn("i", F.row_number().over(w))
     rows = rows.withColumns({f"{n}_{c}": f(c).over(seen) for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))})
+    rows = written(rows.select("date", "i", *columns, *(f"s_{c}" for c in columns)), "states")
     asks = rows.withColumn("last", F.lead("date", 1).over(w)).where("last is null or month(last) <> month(date)") if days is None else rows.join(days.select("date").distinct(), "date", "left_semi")
     asks = asks.where(F.col("i") > least + apart)
-    a, b = asks.alias("a"), rows.select("date", "i", *columns).alias("b")
-    terms = [F.pow(safe_div(F.col(f"a.{c}") - F.col(f"b.{c}"), F.col(f"a.s_{c}")), 2) for c in columns]
-    pairs = a.join(b, F.col("b.i") <= F.col("a.i") - apart).select(F.col("a.date").alias("date"), F.col("b.date").alias("match"), F.sqrt(sum(terms)).alias("distance"))
+    boxed = written(_boxes(rows.select("date", "i", *columns), columns, rows.count(), size), "boxes")
+    edges = boxed.groupBy("box").agg(F.min("i").alias("from"), *(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    edges = edges.agg(F.collect_list(F.struct(*edges.columns)).alias("boxes"))  # one row
+
+    def gap(b: Column, c: str) -> Column:
+        outside = F.greatest(b[f"lo_{c}"] - F.col(c), F.col(c) - b[f"hi_{c}"], F.lit(0.0))
+        return F.pow(F.coalesce(safe_div(outside, F.col(f"s_{c}")), F.lit(0.0)), 2)
+
+    near = F.transform(F.filter("boxes", lambda b: b["from"] <= F.col("i") - apart), lambda b: F.struct(F.sqrt(sum(gap(b, c) for c in columns)).alias("bound"), b["box"].alias("box")))
+    asks = written(asks.crossJoin(F.broadcast(edges)).withColumn("near", F.sort_array(near)).drop("boxes"), "asks")  # one row
+
+    def compared(part: DataFrame) -> DataFrame:
+        """``part`` (the asking days with a box) against all earlier states in the box."""
+        b = boxed.select("box", F.col("date").alias("match"), F.col("i").alias("j"), *(F.col(c).alias(f"b_{c}") for c in columns))
+        terms = [F.pow(safe_div(F.col(c) - F.col(f"b_{c}"), F.col(f"s_{c}")), 2) for c in columns]
+        return part.join(b, "box").where(F.col("j") <= F.col("i") - apart).select("date", "match", F.sqrt(sum(terms)).alias("distance"))
+
+    begun = written(compared(asks.withColumn("box", F.explode(F.slice("near", 1, first)["box"]))), "compared")
+    place = F.row_number().over(Window.partitionBy("date").orderBy(F.asc_nulls_last("distance")))
+    kth = begun.withColumn("place", place).where(F.col("place") == k).select("date", F.col("distance").alias("kth"))
+    rest = F.filter(F.slice("near", first + 1, 1 << 30), lambda x: F.col("kth").isNull() | (x["bound"] <= F.col("kth") * (1 + 1e-9)))
+    more = compared(asks.join(kth, "date", "left").withColumn("box", F.explode(F.transform(rest, lambda x: x["box"]))))
+    return begun.union(more)
+
+
+def similar_states(state: DataFrame, columns: list[str], k: int = 3, apart: int = 20, least: int = 50, days: DataFrame | None = None) -> DataFrame:
+    """For each of ``days`` (column date; each month's last if none are given) the k nearest earlier states by
+    distance, at least ``apart`` sessions before and scaled by what was known then; a state's scale comes from its own
+    past. Exact, and without all pairs."""
+    pairs = state_pairs(state, columns, k, apart, least, days)
     place = F.row_number().over(Window.partitionBy("date").orderBy("distance", "match"))
     return pairs.withColumn("place", place).where(F.col("place") <= k).select("date", "match", "place", r6(F.col("distance")).alias("distance"))
 
