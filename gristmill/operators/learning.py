@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.expr import clip
 from gristmill.operators import boosting as bo
+from gristmill.operators import mixture as mx
 from gristmill.operators.joins import asof
 from gristmill.sources.lake import written
 
@@ -162,42 +166,63 @@ def regime_ensemble(panel: DataFrame, regime: DataFrame, members: tuple[str, ...
     return out.select("symbol", "date", "regime", clip(0.5 + (p - 0.5) * pull, 1e-4, 1 - 1e-4).alias("p_final"), *((F.col(f"v_{m}") / total).alias(f"w_{m}") for m in members))
 
 
+def _names(model: mx.Mixture, columns: list[str]) -> list[str]:
+    """Names of a mixture's components by their centres: the most volatile, then the lowest and highest trend if they
+    fall and rise."""
+    trend, vol = model.mean[:, columns.index("bench_trend_20")], model.mean[:, columns.index("bench_vol_20")]
+    names = ["SIDEWAYS"] * len(trend)
+    names[int(np.argmax(vol))] = "HIGH_VOLATILITY"
+    rest = [i for i in range(len(names)) if names[i] == "SIDEWAYS"]
+    if rest and trend[low := min(rest, key=lambda i: trend[i])] < 0:
+        names[low] = "BEAR"
+    rest = [i for i in rest if names[i] == "SIDEWAYS"]
+    if rest and trend[high := max(rest, key=lambda i: trend[i])] > 0:
+        names[high] = "BULL"
+    return names
+
+
+def _regimes(rows: DataFrame, columns: list[str], models: list[mx.Mixture | None], unsure: float) -> DataFrame:
+    """(date, regime, confidence) of rows with their fold in ``test``, by its model; TRANSITION where no name is likely
+    enough, and where the fold has no model."""
+    named = [None if m is None else (m, _names(m, columns)) for m in models]  # some numbers a fold
+    d = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)], axis=1)
+            fold = batch.column(d).to_numpy()
+            regime, sure = np.full(len(x), "TRANSITION", object), np.zeros(len(x))
+            for f in np.unique(fold):
+                if named[f]:
+                    model, names = named[f]
+                    own, kinds = fold == f, sorted(set(names))
+                    p = model.posterior(x[own])
+                    by_name = np.stack([p[:, [n == kind for n in names]].sum(axis=1) for kind in kinds], axis=1)
+                    top = by_name.argmax(axis=1)
+                    sure[own] = np.round(by_name.max(axis=1), 6)
+                    regime[own] = np.where(by_name.max(axis=1) < unsure, "TRANSITION", np.array(kinds, object)[top])
+            yield pa.record_batch([batch.column(d + 1), pa.array(regime, pa.string()), pa.array(sure)], names=["date", "regime", "confidence"])
+
+    return rows.select(*columns, "test", "date").mapInArrow(run, "date date, regime string, confidence double")
+
+
 def regime_mixture(state: DataFrame, columns: list[str], k: int = 4, seed: int = 7, unsure: float = 0.55, least: int = 250, apply: DataFrame | None = None) -> DataFrame:
-    """Gaussian mixture over the market's state, its components named by their centres: the most volatile, then the
-    lowest and highest trend if they fall and rise; TRANSITION where no name is likely enough,
-    and throughout with fewer than ``least`` days. Scaler and mixture are fitted on ``state``; the days of ``apply``
-    are labelled, or those of ``state`` itself."""
-    rows = state.na.drop(subset=columns)
+    """Gaussian mixture over the market's state, the likeliest of four starts. Scaler and mixture are fitted on
+    ``state``; the days of ``apply`` are labelled, or those of ``state`` itself."""
+    rows = written(state.na.drop(subset=columns).select("date", *columns, F.lit(0).alias("first"), F.col("date").alias("key")), "state")
+    found = mx.fit(rows, columns, 1, k, seed=seed, least=least)
     days = rows if apply is None else apply.na.drop(subset=columns)
-    if rows.limit(least).count() < least:
-        return days.select("date", F.lit("TRANSITION").alias("regime"), F.lit(0.0).alias("confidence"))
-    steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    scaler = Pipeline(stages=steps).fit(rows)
-    model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(scaler.transform(rows))
-    centres = [g.mean.toArray() for g in model.gaussians]
-    trend, vol = columns.index("bench_trend_20"), columns.index("bench_vol_20")
-    names = ["SIDEWAYS"] * len(centres)
-    names[max(range(len(centres)), key=lambda i: centres[i][vol])] = "HIGH_VOLATILITY"
-    rest = [i for i in range(len(centres)) if names[i] == "SIDEWAYS"]
-    if rest and centres[min(rest, key=lambda i: centres[i][trend])][trend] < 0:
-        names[min(rest, key=lambda i: centres[i][trend])] = "BEAR"
-    rest = [i for i in rest if names[i] == "SIDEWAYS"]
-    if rest and centres[max(rest, key=lambda i: centres[i][trend])][trend] > 0:
-        names[max(rest, key=lambda i: centres[i][trend])] = "BULL"
-    posterior = model.transform(scaler.transform(days)).withColumn("q", vector_to_array("probability"))
-    by_name = [F.struct(sum((F.get("q", F.lit(i)) for i, n in enumerate(names) if n == name), F.lit(0.0)).alias("p"), F.lit(name).alias("name")) for name in sorted(set(names))]
-    top = F.array_max(F.array(*by_name))
-    return posterior.select("date", F.when(top["p"] < unsure, "TRANSITION").otherwise(top["name"]).alias("regime"), F.round(top["p"], 6).alias("confidence"))
+    return _regimes(days.withColumn("test", F.lit(0)), columns, [m[0] if m else None for m in found], unsure)
 
 
-def regime_history(state: DataFrame, columns: list[str], first_months: int = 36, step_months: int = 6, least: int = 250, **settings) -> DataFrame:
+def regime_history(state: DataFrame, columns: list[str], first_months: int = 36, step_months: int = 6, least: int = 250, k: int = 4, seed: int = 7, unsure: float = 0.55) -> DataFrame:
     """Regimes by mixtures that are refitted at each fold's cut, on earlier days only, and name the days up to the
-    next cut. Days before the first cut, and of folds with fewer than ``least`` earlier days, are left out."""
-    rows = state.na.drop(subset=columns).coalesce(1).sortWithinPartitions("date").cache()  # a row a day; its order sets the mixture's start
-    out = rows.select("date", F.lit("").alias("regime"), F.lit(0.0).alias("confidence")).limit(0)
-    for fold in folds(rows, first_months, step_months).orderBy("fold").collect():  # two rows a year
-        past = rows.where(F.col("date") < F.lit(fold["cut"]))
-        if past.limit(least).count() == least:
-            until = rows.where((F.col("date") >= F.lit(fold["cut"])) & (F.col("date") < F.lit(fold["until"])))
-            out = out.union(regime_mixture(past, columns, least=least, apply=until, **settings))
-    return out
+    next cut; all folds and starts are fitted in the same passes. Days before the first cut, and of folds with fewer than
+    ``least`` earlier days, are left out."""
+    rows = written(state.na.drop(subset=columns).select("date", *columns), "state")
+    cuts = [f["cut"] for f in folds(rows, first_months, step_months).orderBy("fold").collect()]  # two rows a year
+    upto = F.size(F.filter(F.array(*(F.lit(c).cast("date") for c in cuts)) if cuts else F.array().cast("array<date>"), lambda c: c <= F.col("date")))
+    placed = written(rows.withColumns({"first": upto, "test": upto - 1, "key": F.col("date")}), "placed_state")
+    found = mx.fit(placed, columns, len(cuts), k, seed=seed, least=least)
+    fitted = [i for i, m in enumerate(found) if m]
+    return _regimes(placed.where(F.col("test").isin(fitted)), columns, [m[0] if m else None for m in found], unsure)
