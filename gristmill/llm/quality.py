@@ -148,12 +148,14 @@ class Network:
     w2: np.ndarray
     b2: float
     temperature: float = 1.0
+    empty: float = 0.5  # the score of a text without words, which has nothing to pool
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
+        return np.where(x.any(axis=1), p, self.empty)
 
 
 def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, hidden: int = 32, epochs: int = 60, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> Network:
@@ -210,7 +212,11 @@ def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     rows = features.join(own, "id").select("id", "y", fold("id").alias("fold"), "features").orderBy("id", "y").toArrow()
     y = rows["y"].to_numpy().astype(float) if rows.num_rows else np.empty(0)
     x = rows["features"].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, N_FEATURES) if rows.num_rows else np.empty((0, N_FEATURES))
-    return fit(x, y, rows["fold"].to_numpy() == 1 if rows.num_rows else np.empty(0, bool))
+    held, full = rows["fold"].to_numpy() == 1 if rows.num_rows else np.empty(0, bool), x.any(axis=1)
+    net = fit(x[full], y[full], held[full])
+    # texts without words: their own labels, and one more that is as likely 1 as any label
+    net.empty = float((y[~full].sum() + (y.mean() if len(y) else 0.5)) / ((~full).sum() + 1))
+    return net
 
 
 def score(features: DataFrame, net: Network) -> DataFrame:
@@ -228,7 +234,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row for each row of ``docs``: (id_col, held_out, score, predicted, text_hash).
 
     ``held_out``: the crc32 of the id as text is divisible by 5; such rows' labels are never learned from.
-    The score depends on the text alone. Null and empty texts get the score of a text without words. Null
+    The score depends on the text alone. Null and empty texts get the score of a text without words, the share of label 1
+    among labelled ones and one more of the share among all. Null
     ids and repeated rows stay. Empty tables of documents give an empty result, of labels a score of a
     half. Other columns of either table are not read."""
     features = materialize(document_features(docs, word_vectors(docs, text_col), id_col, text_col), "features")
