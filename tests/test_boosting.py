@@ -42,6 +42,11 @@ def found(df):
     return sorted((r["symbol"], r["date"], r["fold"], r["p"]) for r in df.collect())
 
 
+def test_the_references_size():
+    b = bo.Boosting()
+    assert (b.rounds, b.depth, b.rate, b.row_share, b.column_share, b.l2, b.least_weight) == (350, 4, 0.045, 0.85, 0.8, 2.0, 8.0)
+
+
 def test_one_task_a_fold_and_one_job_a_level_grow_the_same_trees(spark):
     placed = placed_of(spark, rows_of(), CUTS)
     one = found(bo.walk_forward_boosting(placed, CUTS, ["a", "b", "c"], SMALL))

@@ -174,7 +174,7 @@ def test_models_have_the_references_size(spark):
 
 def test_distinct_sketch(spark):
     got = sketches.fm_distinct(spark.range(40_000), "id", 1024).first()[0]
-    assert abs(got - 40_000) / 40_000 < 0.35
+    assert abs(got - 40_000) / 40_000 < 3 * 0.78 / 1024**0.5
 
 
 def test_bloom_has_no_false_negatives(spark):
@@ -192,7 +192,8 @@ def test_dgim_stays_close_and_small():
         if bit:
             buckets = state.dgim_add(buckets, at, window)
     exact = sum(bits[-window:])
-    assert abs(state.dgim_estimate(buckets, len(bits) - 1, window) - exact) / exact < 0.5
+    inside = [b for b in buckets if b[0] > len(bits) - 1 - window]
+    assert abs(state.dgim_estimate(buckets, len(bits) - 1, window) - exact) <= inside[-1][1] / 2 + 1  # half of the oldest bucket
     assert len(buckets) < 4 * 10
 
 
