@@ -136,11 +136,18 @@ def bloom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.bloom_stats(tb.read(spark, sf_dir, "events"), "event_id")
 
 
+def reservoir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of ``reservoir_k``, kept while the events come in batches."""
+    events = tb.read(spark, sf_dir, "events").select("event_id", "ts")
+    out = bus.drain(state.reservoir(_log(spark, events, 3, "event_id")), _folder(spark), "update")
+    return _last_batch(out, ["split"]).orderBy("h", "event_id").limit(500).select("event_id")
+
+
 def reservoir_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.reservoir(tb.read(spark, sf_dir, "events"), "event_id").select("event_id")
 
 
-QUERIES = {f.__name__: f for f in (bloom_admission, stream_latency, stream_upsert, tape_with_duplicates, dedup_stream, welford_stream, welford_batch, tumbling_counts, session_counts, decay_stream, decay_batch, dgim_estimate, exact_window_ones, fm_distinct, bloom_stats, reservoir_k)}
+QUERIES = {f.__name__: f for f in (bloom_admission, reservoir_stream, stream_latency, stream_upsert, tape_with_duplicates, dedup_stream, welford_stream, welford_batch, tumbling_counts, session_counts, decay_stream, decay_batch, dgim_estimate, exact_window_ones, fm_distinct, bloom_stats, reservoir_k)}
 _WELFORD = """WITH z AS (SELECT event_type, event_id, count(value) OVER w AS n, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   SELECT event_type, event_id, round(z, 6) AS z FROM z WHERE n >= 30 AND abs(z) >= 3"""
 _DECAY = "WITH l AS (SELECT event_type, max(ts) AS last FROM events GROUP BY 1) SELECT event_type, round(sum(pow(2.0, -(epoch_us(last) - epoch_us(ts)) / 1e6 / 86400)), 4) AS attention FROM events JOIN l USING (event_type) GROUP BY 1"

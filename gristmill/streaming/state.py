@@ -97,3 +97,21 @@ def dgim_counts(bits: DataFrame, key: str = "key", window: int = 256) -> DataFra
         yield pd.DataFrame({key: [k[0]], "at": [at], "ones": [dgim_estimate(buckets, at, window)], "buckets": [len(buckets)]})
 
     return bits.select(key, "at", "bit").groupBy(key).applyInPandasWithState(update, f"{key} string, at long, ones long, buckets long", "ends array<long>, sizes array<long>, at long", "update", GroupStateTimeout.NoTimeout)
+
+
+def reservoir(events: DataFrame, key: str = "event_id", k: int = 500, seed: int = 7, splits: int = 16) -> DataFrame:
+    """(split, h, key): of each split of the keys the k with the least hashes so far; the k least of all splits are a
+    uniform sample of the stream, the same as the batch operator's. State is k rows a split, whatever has come."""
+
+    def update(s: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(dict(zip(("h", "id"), state.get, strict=True))) if state.exists else None
+        for frame in frames:
+            new = frame[["h", "id"]].nsmallest(k, ["h", "id"])
+            held = new if held is None else pd.concat([held, new]).nsmallest(k, ["h", "id"])
+        state.update((held["h"].tolist(), held["id"].tolist()))
+        yield held.assign(split=s[0])[["split", "h", "id"]]
+
+    h = F.xxhash64(key, F.lit(seed))
+    rows = events.select(F.pmod(F.shiftright(h, 7), F.lit(splits)).cast("int").alias("split"), h.alias("h"), F.col(key).alias("id"))
+    out = rows.groupBy("split").applyInPandasWithState(update, "split int, h long, id long", "hs array<long>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
+    return out.withColumnRenamed("id", key)

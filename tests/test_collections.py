@@ -118,3 +118,10 @@ def test_batches_share_filters_and_full_ones_turn_over(spark, tmp_path):
     small = bus.drain(admission.admit(stream, filters=1, bits=1 << 14, capacity=100), str(tmp_path / "out2"))
     # ids from more than two turns ago are forgotten, later ones are not
     assert small.where("admitted").count() > 1000
+
+
+def test_the_streams_sample_is_the_batchs(spark, small):
+    from gristmill.plans.streaming_queries import reservoir_k, reservoir_stream
+
+    stream, batch = ({r["event_id"] for r in q(spark, small).collect()} for q in (reservoir_stream, reservoir_k))
+    assert stream == batch and len(stream) == 500
