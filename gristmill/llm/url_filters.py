@@ -61,7 +61,8 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, at
     null URL or one without a host. A null time matches nothing. Repeated captures stay. Empty tables and
     columns of other names are fine."""
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("t")).withColumn("host", host_of("url"))
-    own = own.withColumn("keys", F.coalesce(keys_of(F.col("host"), section_of("url")), F.array(F.lit(None).cast("string"))))
+    invalid = own.where("host is null")  # has no key, so it doesn't go to the join, where all of them would meet in one task
+    own = own.where("host is not null").withColumn("keys", keys_of(F.col("host"), section_of("url")))
     asked = own.select("id", "url", "t", "host", F.size("keys").alias("asks"), F.explode("keys").alias("key"))
     found = intervals(entries).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("since", "until", "verdict", "category"))).alias("spans"))
     pattern = F.substring_index("key", ":", -1)
@@ -71,16 +72,10 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, at
     judged = asked.join(found, "key", "left").withColumn("best", F.array_min(F.transform(active, rank)))
     best = judged.groupBy("id", "url", "t", "host").agg(F.min("best").alias("best"), F.count("*").alias("rows"), F.max("asks").alias("asks"))
     best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("rows") / F.col("asks")).cast("int"))))
-    return best.select(
-        F.col("id").alias(id_col),
-        F.col("url").alias(url_col),
-        "host",
-        F.col("t").alias(at_col),
-        F.when(F.col("host").isNull(), "invalid").otherwise(F.coalesce("best.verdict", F.lit("none"))).alias("verdict"),
-        F.col("best.key").alias("matched"),
-        F.col("best.category").alias("category"),
-        F.col("best.since").alias("active_since"),
-    )
+    names = (F.col("id").alias(id_col), F.col("url").alias(url_col), "host", F.col("t").alias(at_col))
+    decided = best.select(*names, F.coalesce("best.verdict", F.lit("none")).alias("verdict"), F.col("best.key").alias("matched"), F.col("best.category").alias("category"), F.col("best.since").alias("active_since"))
+    nothing = (F.lit(None).cast(decided.schema[c].dataType).alias(c) for c in ("matched", "category", "active_since"))
+    return decided.union(invalid.select(*names, F.lit("invalid").alias("verdict"), *nothing))
 
 
 #: The day from which the query's captures and list count.
