@@ -386,3 +386,15 @@ def test_many_comments_are_no_article(inner):
     said = "".join(f"<{inner}><p>I have sailed here for {i} years and the tables were never on time, whatever they say.</p></{inner}>" for i in range(30))
     page = f'<html><body><article><h1>Tide tables for the season</h1>{"".join(f"<p>{p}</p>" for p in PARAGRAPHS)}</article><div class="comments">{said}</div></body></html>'
     assert html_text.main_texts([page]) == [" ".join(["Tide tables for the season", *PARAGRAPHS])]
+
+
+def test_a_vocabulary_whose_ids_are_not_those_of_parts_gets_whole_texts():
+    texts = ["It's 12 o'clock, isn't it?  Yes!", "", "naïve ÉTÉ 漢字", "a-b c_d", " lead and trail "]
+    column = pa.array(texts, pa.large_string())
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = token_files.Encoder(queries.tokenizer(name))
+        ids, counts = encoder.encode(column)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [library(name).encode(t, add_special_tokens=False).ids for t in texts]
+        if name == "word_bpe_49k.json":
+            assert encoder.by_parts
