@@ -120,6 +120,16 @@ def test_batches_share_filters_and_full_ones_turn_over(spark, tmp_path):
     assert small.where("admitted").count() > 1000
 
 
+def test_full_filters_forget_nothing_and_refuse_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for k, ids in enumerate(([*range(2000), *range(50)], [*range(1000, 4000)], [*range(9000), None, None], [*range(9000), None])):
+        spark.createDataFrame([(i, k) for i in ids], "event_id long, batch long").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("event_id long, batch long").option("maxFilesPerTrigger", 1).parquet(path)
+    sizes = {"filters": 2, "bits": 1 << 10}  # far too small, so that most new ids look old
+    judged = bus.drain(admission.admit_exactly(stream, capacity=100, **sizes), str(tmp_path / "out"))
+    assert tuple(admission.admission_report(judged, **sizes).first())[:4] == (23053, 9001, 0, 0)
+
+
 def test_the_streams_sample_is_the_batchs(spark, small):
     from gristmill.plans.streaming_queries import reservoir_k, reservoir_stream
 
