@@ -74,6 +74,14 @@ def test_rounds_of_best_pairs_find_the_groups(spark):
     assert brute_modularity(w, [label[v] for v in nodes]) >= brute_modularity(w, [(v - 10) // 5 for v in nodes]) - 0.02
 
 
+def test_a_hub_does_not_cost_a_round_a_neighbour(spark, monkeypatch):
+    rounds, real = [], gr.written
+    monkeypatch.setattr(gr, "written", lambda df, name: (rounds.append(name), real(df, name))[1])
+    label = gr.communities(run(spark, [(1, i, 1.0) for i in range(2, 62)]), task_links=0).collect()
+    assert len(label) == 61 and {r["community"] for r in label} == {1}
+    assert rounds.count("merges") <= 12 and len(rounds) <= 60
+
+
 def brute_betweenness(nodes, length):
     n, total = len(nodes), np.zeros(len(nodes))
     for s in range(n):
