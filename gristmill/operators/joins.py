@@ -17,13 +17,25 @@ def cutoff(date: str | object):
 
 def news_window(sessions: DataFrame, news: DataFrame, days: int = 5) -> DataFrame:
     """For each (symbol, date) the news from ``days`` days before the cutoff to it, both included: count, mean
-    sentiment and strength (0 without news), and whether there is any. Sessions and news go through one
-    shuffle and one range window; no session is paired with each of its news."""
-    asks = sessions.select("symbol", cutoff("date").alias("t"), "date", F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("strength"))
-    told = news.select("symbol", F.col("published_at").alias("t"), F.lit(None).cast("date").alias("date"), F.col("sentiment").alias("s"), F.abs("sentiment").alias("strength"))
+    sentiment and strength (0 without news), and whether there is any. News are summed first by symbol and minute, one
+    on the minute's beginning apart from those inside it: windows begin and end where a minute begins, so none cuts a
+    sum. Sessions and sums go through one shuffle and one range window, whose rows per symbol the minutes bound; no
+    session is paired with each of its news."""
+    minute = F.date_trunc("minute", "published_at")
+    at = F.when(minute == F.col("published_at"), minute).otherwise(minute + F.expr("INTERVAL 30 SECONDS"))
+    values = {"s": F.col("sentiment").cast("double"), "strength": F.abs("sentiment").cast("double")}
+    parts = {}
+    for c, x in values.items():  # sums of decimals are the same in any order; values that are none, such as NaN, are summed apart
+        fits = x.try_cast("decimal(18,12)")
+        parts |= {c: F.sum(fits), f"{c}_odd": F.sum(F.when(fits.isNull(), x))}
+    sums = news.groupBy("symbol", at.alias("t")).agg(F.count("sentiment").alias("n"), *(x.alias(c) for c, x in parts.items()))
+    asks = sessions.select("symbol", cutoff("date").alias("t"), "date")
+    told = sums.withColumn("date", F.lit(None).cast("date"))
     w = Window.partitionBy("symbol").orderBy(F.unix_micros("t")).rangeBetween(-days * 86_400_000_000, 0)
-    out = asks.union(told).select("symbol", "date", F.count("s").over(w).alias("news_count"), F.avg("s").over(w).alias("s"), F.avg("strength").over(w).alias("st"))
-    return out.where("date is not null").select("symbol", "date", "news_count", r6(F.coalesce("s", F.lit(0.0))).alias("news_sentiment"), r6(F.coalesce("st", F.lit(0.0))).alias("news_strength"), (F.col("news_count") > 0).cast("double").alias("news_available"))
+    total = asks.unionByName(told, allowMissingColumns=True).select("symbol", "date", *(F.sum(c).over(w).alias(c) for c in ("n", *parts))).where("date is not null")
+    mean = lambda c: F.try_divide(F.coalesce(F.col(c).cast("double") + F.col(f"{c}_odd"), F.col(c).cast("double"), F.col(f"{c}_odd")), F.col("n"))
+    out = total.select("symbol", "date", F.coalesce("n", F.lit(0).cast("long")).alias("news_count"), mean("s").alias("s"), mean("strength").alias("st"))
+    return out.select("symbol", "date", "news_count", r6(F.coalesce("s", F.lit(0.0))).alias("news_sentiment"), r6(F.coalesce("st", F.lit(0.0))).alias("news_strength"), (F.col("news_count") > 0).cast("double").alias("news_available"))
 
 
 def news_slice(news: DataFrame, date: str, days: int = 5) -> DataFrame:

@@ -60,6 +60,19 @@ def test_news_after_the_cutoff_does_not_count(spark):
     assert (row["news_count"], row["news_sentiment"], row["news_strength"]) == (2, 0.0, 0.5)
 
 
+def test_news_are_summed_before_the_window(spark):
+    sessions = spark.createDataFrame([("a", dt.date(2024, 1, 10)), ("b", dt.date(2024, 1, 10)), ("c", None)], "symbol string, date date")
+    day = F.to_timestamp(F.lit("2024-01-09 00:00:00"))
+    news = spark.range(40_000).select(F.lit("a").alias("symbol"), (day + F.make_dt_interval(secs=F.col("id") % 90 + 0.5)).alias("published_at"), F.when(F.col("id") % 2 == 0, 0.1).otherwise(-0.7).alias("sentiment"))
+    spoilt = spark.createDataFrame([("b", dt.datetime(2024, 1, 9), float("nan")), ("b", dt.datetime(2024, 1, 9), 0.5)], "symbol string, published_at timestamp, sentiment double")
+    out = joins.news_window(sessions, news.union(spoilt))
+    got = {r["symbol"]: tuple(r)[2:] for r in out.collect()}
+    assert got["a"] == (40_000, -0.3, 0.4, 1.0) and set(got) == {"a", "b"}
+    assert got["b"][0] == 2 and got["b"][1] != got["b"][1]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan.split("Window")[-1]  # what the window's one task of a symbol reads
+
+
 def test_asof_takes_the_last_not_later(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k long, t long")
     right = spark.createDataFrame([(1, 3, 10), (1, 5, 11), (1, 5, 12), (1, 6, 13)], "k long, t long, id long")
