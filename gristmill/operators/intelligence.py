@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gristmill.functions.expr import r6, rolling, safe_div
 from gristmill.operators.order_statistics import expanding_quantile
@@ -213,11 +218,77 @@ def _minima(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+#: Edges that a task contracts at once, some 100 bytes each.
+CHUNK_EDGES = 1 << 21
+
+
+def contracted(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node reachable from each of the nodes 0 to n - 1 by the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            return label
+        np.minimum.at(label, high, low)
+        while not (label[label] == label).all():
+            label = label[label]
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of batches in tables of about ``rows``."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _stars(edges: DataFrame, rows: int = CHUNK_EDGES) -> DataFrame:
+    """(src, dst) with the same components as ``edges``: each node of a task's chunk with the least one that the chunk
+    links to it, which may be itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_chunks(batches, rows):
+            ends = [c.to_numpy() for c in table.columns]
+            nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+            root = nodes[contracted(at[: len(ends[0])], at[len(ends[0]) :], len(nodes))]
+            yield pa.record_batch([pa.array(x, table.schema.field(0).type) for x in (nodes, root)], names=["src", "dst"])
+
+    return edges.mapInArrow(run, StructType([StructField(c, edges.schema["src"].dataType) for c in ("src", "dst")]))
+
+
+def item_links(groups: DataFrame, rows: int = CHUNK_EDGES) -> DataFrame:
+    """(src, dst) between different items, with the same components as all pairs of items of a group, from ``groups``
+    (group, item: long). A chunk of a task links its items, and tells each of its groups' least item; groups that more
+    than one chunk has then link those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_chunks(batches, rows):
+            (items, x), (names, y) = (np.unique(table[c].to_numpy(), return_inverse=True) for c in ("item", "group"))
+            root = items[contracted(x, y + len(items), len(items) + len(names))]
+            own, of_group = root[: len(items)], root[len(items) :]
+            linked = own != items
+            columns = [pa.array([None] * int(linked.sum()), pa.int64()), pa.array(items[linked]), pa.array(own[linked])], [pa.array(names), pa.array(of_group), pa.array(of_group)]
+            for c in columns:
+                yield pa.record_batch(c, names=["group", "src", "dst"])
+
+    known = groups.where("group is not null and item is not null").select("group", "item")
+    found = known.mapInArrow(run, "group long, src long, dst long").checkpoint()
+    told = found.where("group is not null").select("group", "src")
+    split = told.groupBy("group").agg(F.min("src").alias("dst"), F.max("src").alias("last")).where("dst <> last").select("group", "dst")
+    return found.where("group is null").select("src", "dst").union(told.join(split, "group").where("src <> dst").select("src", "dst").distinct())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, by alternating large and small stars until nothing changes;
-    an error if that isn't so after ``rounds``. A checkpoint each round cuts the lineage."""
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").checkpoint()
-    current = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
+    an error if that isn't so after ``rounds``. Tasks contract their own edges first. A checkpoint each round cuts the
+    lineage."""
+    edges = _stars(edges.select("src", "dst").where("src is not null and dst is not null")).checkpoint()
+    current = edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(rounds):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -124,6 +124,17 @@ def test_components_of_a_long_chain(spark):
     assert {tuple(r) for r in intelligence.components(edges).collect()} == {(i, 0) for i in range(101)} | {(200, 200)}
 
 
+def test_items_are_linked_in_tasks_and_across_them(spark):
+    groups = [(1, 10), (1, 11), (2, 11), (2, 12), (3, 40), (3, 40), (4, 50), (4, 51), (5, 60), (5, None), (None, 61), (6, 12), (6, 9)]
+    want = {(i, 9) for i in (9, 10, 11, 12)} | {(50, 50), (51, 50)}  # 40 and 60 have no other item in their groups
+    for rows in (2, 1000):
+        for parts in (1, 5):
+            links = intelligence.item_links(spark.createDataFrame(groups, "group long, item long").repartition(parts), rows)
+            assert {tuple(r) for r in intelligence.components(links).collect()} == want
+    dense = spark.range(20_000).select((F.col("id") % 997).alias("group"), (F.col("id") % 101).alias("item"))
+    assert intelligence.item_links(dense).count() < 5_000  # not an edge a row
+
+
 def test_components_of_all_orders(spark, small):
     lines = [tuple(r) for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
     parts = {}
