@@ -82,6 +82,17 @@ def test_a_hub_does_not_cost_a_round_a_neighbour(spark, monkeypatch):
     assert rounds.count("merges") <= 12 and len(rounds) <= 60
 
 
+def test_many_copies_of_a_graph_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], gr.written
+    monkeypatch.setattr(gr, "written", lambda df, name: (rounds.append(name), real(df, name))[1])
+    one = planted(1, 12, 0.5, 0.0, 5)
+    edges = [(a + 1000 * i, b + 1000 * i, 1.0) for i in range(60) for a, b, _ in one]
+    label = {r["node"]: r["community"] for r in gr.communities(run(spark, edges), task_links=60).collect()}
+    nodes, w = matrix(edges)
+    assert brute_modularity(w, [label[v] for v in nodes]) >= brute_modularity(w, [v // 1000 for v in nodes]) - 1e-9
+    assert rounds.count("merges") <= 7 and len(rounds) <= 30
+
+
 def brute_betweenness(nodes, length):
     n, total = len(nodes), np.zeros(len(nodes))
     for s in range(n):
