@@ -93,6 +93,13 @@ def test_many_copies_of_a_graph_take_few_rounds(spark, monkeypatch):
     assert rounds.count("merges") <= 7 and len(rounds) <= 30
 
 
+def test_tables_too_large_to_send_give_the_same_communities(spark, monkeypatch):
+    edges = run(spark, planted(5, 12, 0.6, 0.03, 8))
+    sent = sorted(map(tuple, gr.communities(edges, task_links=40).collect()))
+    monkeypatch.setattr(gr, "SENT_ROWS", 0)
+    assert sorted(map(tuple, gr.communities(edges, task_links=40).collect())) == sent
+
+
 def brute_betweenness(nodes, length):
     n, total = len(nodes), np.zeros(len(nodes))
     for s in range(n):
